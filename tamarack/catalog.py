@@ -1,0 +1,4 @@
+"""The registered queries of the engine proper."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
