@@ -1,7 +1,7 @@
 """Operators for preparing training data at scale; nothing else in the library imports this subpackage."""
 
-from . import lm, simhash, suffix, urls
+from . import lm, sharding, simhash, suffix, urls
 
-MODULES = [urls, simhash, lm, suffix]
+MODULES = [urls, sharding, simhash, lm, suffix]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
