@@ -67,22 +67,29 @@ def metrics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     }
 
 
+def once(x: Column) -> Column:
+    return F.explode(F.array(x))
+
+
 def scored(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """All columns, with `_metrics` (a struct), and `_keep` compiled from the table.
 
     A null text counts as an empty one: all its metrics are 0, and it fails `n_words`.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    parts = docs.withColumn("_text", t).withColumn("_words", F.filter(F.split(F.lower("_text"), "[ \t\n\r\f]+"), lambda w: w != "")).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x != ""))
-    every = metrics(F.col("_text"), F.col("_words"), F.col("_lines"))
-    out = parts.withColumn("_metrics", F.struct(*[c.alias(n) for n, c in every.items()]))
+    words = F.filter(F.split(F.lower(t), "[ \t\n\r\f]+"), lambda w: w != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
+    # A generator of one row holds what is computed: the optimizer would copy plain projections into each rule.
+    parts = docs.withColumn("_parts", once(F.struct(t.alias("t"), words.alias("w"), lines.alias("l"))))
+    every = metrics(F.col("_parts.t"), F.col("_parts.w"), F.col("_parts.l"))
+    out = parts.withColumn("_metrics", once(F.struct(*[c.alias(n) for n, c in every.items()])))
     keep = F.lit(True)
     for r in rules:
         if r.metric not in every:
             raise ValueError(f"no metric {r.metric}; there are {', '.join(every)}")
         value = F.col("_metrics")[r.metric]
         keep = keep & (F.lit(True) if r.low is None else value >= r.low) & (F.lit(True) if r.high is None else value <= r.high)
-    return out.withColumn("_keep", keep).drop("_text", "_words", "_lines")
+    return out.withColumn("_keep", keep).drop("_parts")
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
