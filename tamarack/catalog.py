@@ -1,4 +1,490 @@
-"""The registered queries of the engine proper."""
+"""The registered queries of the engine proper, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.analysis import LOWER, UPPER
+from .operators.aggregations import Aggregator
+from .plans.search import Searcher
+from .schema import Schema
+from .streaming.ingest import latest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- tables as indexes
+
+DOCUMENTS = Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "text"}], "keyword_fields": [{"name": "lang"}, {"name": "source"}], "numeric_fields": [{"name": "n_chars", "i64": True}]})
+EVENTS = Schema.from_json({"doc_id_field": "id", "keyword_fields": [{"name": "event_type"}], "numeric_fields": [{"name": "ts", "i64": True}, {"name": "user_id", "i64": True}, {"name": "value"}, {"name": "maybe"}]})
+LINEITEM = Schema.from_json({"doc_id_field": "id", "keyword_fields": [{"name": "l_returnflag"}, {"name": "l_linestatus"}], "numeric_fields": [{"name": "l_quantity"}, {"name": "l_extendedprice"}, {"name": "l_discount"}, {"name": "ship", "i64": True}]})
+ORDERS = Schema.from_json({"doc_id_field": "id", "keyword_fields": [{"name": "o_orderstatus"}, {"name": "o_orderpriority"}], "numeric_fields": [{"name": "o_totalprice"}, {"name": "o_orderdate", "i64": True}, {"name": "o_custkey", "i64": True}]})
+FOLDED = Schema.from_json({"doc_id_field": "id", "numeric_fields": [{"name": "o_totalprice"}], "nested_fields": [{"name": "item", "fields": [{"type": "keyword", "name": "flag"}, {"type": "numeric", "name": "quantity"}, {"type": "numeric", "name": "line", "i64": True}]}]})
+PART = Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "p_name"}], "keyword_fields": [{"name": "p_brand"}, {"name": "p_type"}], "numeric_fields": [{"name": "p_size", "i64": True}, {"name": "p_retailprice"}]})
+VECTORS = Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "text"}], "keyword_fields": [{"name": "lang"}], "vector_fields": [{"name": "v", "dim": 64, "metric": "Cosine"}, {"name": "w", "dim": 64, "metric": "L2"}]})
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf: str) -> Searcher:
+    d = read(spark, sf, "documents")
+    return Searcher(d.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source", "n_chars"), DOCUMENTS)
+
+
+def events(spark: SparkSession, sf: str) -> Searcher:
+    e = read(spark, sf, "events")
+    return Searcher(e.select(F.col("event_id").cast("string").alias("id"), "event_type", F.unix_millis("ts").alias("ts"), "user_id", "value", F.when(F.col("value") > 50, F.col("value")).alias("maybe")), EVENTS)
+
+
+def lineitem(spark: SparkSession, sf: str) -> Searcher:
+    x = read(spark, sf, "lineitem")
+    return Searcher(x.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", F.unix_millis("l_shipdate").alias("ship")), LINEITEM)
+
+
+def orders(spark: SparkSession, sf: str) -> Searcher:
+    x = read(spark, sf, "orders")
+    return Searcher(x.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority", "o_totalprice", F.unix_millis("o_orderdate").alias("o_orderdate"), "o_custkey"), ORDERS)
+
+
+def part(spark: SparkSession, sf: str) -> Searcher:
+    x = read(spark, sf, "part")
+    return Searcher(x.select(F.col("p_partkey").cast("string").alias("id"), "p_name", "p_brand", "p_type", F.col("p_size").cast("long").alias("p_size"), "p_retailprice"), PART)
+
+
+def folded(spark: SparkSession, sf: str) -> Searcher:
+    o, x = read(spark, sf, "orders"), read(spark, sf, "lineitem")
+    lines = x.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_linenumber").cast("long").alias("line"))).alias("item"))
+    joined = o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left")
+    return Searcher(joined.select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice", "item"), FOLDED)
+
+
+def with_vectors(spark: SparkSession, sf: str) -> Searcher:
+    d, e = read(spark, sf, "documents"), read(spark, sf, "embeddings")
+    joined = d.join(e, d["doc_id"] == e["vec_id"], "left")
+    return Searcher(joined.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", F.col("embedding").alias("v"), F.col("embedding").alias("w")), VECTORS)
+
+
+def scores(s: Searcher, request: dict) -> DataFrame:
+    """(id, score) of everything that matches."""
+    found, _ = s.matches(request)
+    return found.select(s.id_, F.round("_score", 6).alias("score"))
+
+
+def buckets(s: Searcher, aggs: dict, name: str, where: dict | None = None) -> DataFrame:
+    found, _ = s.matches({"query": {"type": "match_all"}} | ({"filter": where} if where else {}))
+    return Aggregator(s.schema, s.docs).frame(found, aggs, name).drop("_ord")
+
+
+def flat(df: DataFrame, *columns: str) -> DataFrame:
+    """Parts of metrics as columns, rounded: `name=metric.part`."""
+    out = []
+    for c in columns:
+        name, _, path = c.rpartition("=")
+        c = F.col(path)
+        out.append((F.round(c.cast("double"), 6) if name not in ("key", "doc_count", "count", "n") else c).alias(name))
+    return df.select(*out)
+
+
+# ---------------------------------------------------------------- SQL of the same
+
+TOK = f"tok AS (SELECT doc_id, doc_id::VARCHAR AS id, text, lang, source, n_chars, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)"
+has = lambda t: f"list_contains(w, '{t}')"
+
+
+def bm25_sql(terms: dict[str, float], with_: str = TOK) -> str:
+    """CTEs ending in s: everything of tok, and b<i>, the score of term i."""
+    n = list(terms)
+    dfs = ", ".join(f"sum({has(t)}::INTEGER)::DOUBLE AS df{i}" for i, t in enumerate(n))
+    tfs = ", ".join(f"len(list_filter(w, lambda x: x = '{t}'))::DOUBLE AS tf{i}" for i, t in enumerate(n))
+    one = lambda i, t: f"(CASE WHEN tf{i} > 0 THEN (greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 0) + 1) * (tf{i} * 1.9) / (tf{i} + 0.9 * (0.6 + 0.4 * greatest(len(w), CASE WHEN len(w) > 0 THEN 0 ELSE greatest(avgdl, 1) END) / avgdl)) * {terms[t]} ELSE 0 END) AS b{i}"
+    return f"WITH {with_}, st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl, {dfs} FROM tok), tf AS (SELECT *, {tfs} FROM tok), s AS (SELECT *, {', '.join(one(i, t) for i, t in enumerate(n))} FROM tf, st)"
+
+
+# ---------------------------------------------------------------- full text
+
+
+@query(bm25_sql({"worthless": 1, "the": 1, "idiot": 1}) + " SELECT id, round(b0 + b1 + b2, 6) AS score FROM s WHERE (b0 > 0 OR b1 > 0 OR b2 > 0) AND lower(lang) = 'en' ORDER BY b0 + b1 + b2 DESC, id LIMIT 10")
+def bm25_top10(spark: SparkSession, sf: str) -> DataFrame:
+    r = documents(spark, sf).search({"query": "worthless the idiot", "filter": {"KeywordEq": {"field": "lang", "value": "EN"}}, "limit": 10})
+    return r.hits.limit(10).select("id", F.round("_score", 6).alias("score"))
+
+
+@query(bm25_sql({"worthless": 1, "pathetic": 1, "garbage": 2}) + f" SELECT id, round(b0 + b1 + b2, 6) AS score FROM s WHERE {has('the')} AND b0 + b1 + b2 > 0 AND NOT {has('idiot')} AND ((b0 > 0)::INT + (b1 > 0)::INT + (b2 > 0)::INT) >= 1 AND n_chars BETWEEN 100 AND 5000")
+def bool_must_should_not(spark: SparkSession, sf: str) -> DataFrame:
+    should = [{"type": "term", "field": "text", "value": "worthless"}, {"type": "term", "field": "text", "value": "pathetic"}, {"type": "term", "field": "text", "value": "garbage", "boost": 2.0}]
+    must = {"type": "phrase", "field": "text", "terms": ["the"]}
+    q = {"type": "bool", "must": [must], "should": should, "must_not": [{"type": "term", "field": "text", "value": "idiot"}], "filter": [{"I64Range": {"field": "n_chars", "min": 100, "max": 5000}}], "minimum_should_match": 1}
+    return scores(documents(spark, sf), {"query": q})
+
+
+@query(bm25_sql({"the": 1, "that": 1, "worthless": 1, "with": 1}) + " SELECT id, round(b0 + b1 + b2 + b3, 6) AS score FROM s WHERE (b0 > 0)::INT + (b1 > 0)::INT + (b2 > 0)::INT + (b3 > 0)::INT >= 3")
+def min_should_match(spark: SparkSession, sf: str) -> DataFrame:
+    q = {"type": "multi_match", "query": "the that worthless with", "fields": ["text"], "match_type": "most_fields", "minimum_should_match": "70%"}
+    return scores(documents(spark, sf), {"query": q})
+
+
+_KW = "k AS (SELECT (greatest(ln((count(*) - sum((lower(source) = 'src1')::INT) + 0.5) / (sum((lower(source) = 'src1')::INT) + 0.5)), 0) + 1) AS idf FROM documents)"
+
+
+@query(bm25_sql({"src1": 1, "worthless": 1}, f"{TOK}, {_KW}") + " SELECT id, round(b0 + CASE WHEN lower(source) = 'src1' THEN 2 * idf ELSE 0 END + b1, 6) AS score FROM s, k WHERE b0 > 0 OR b1 > 0 OR lower(source) = 'src1'")
+def multi_match_most(spark: SparkSession, sf: str) -> DataFrame:
+    q = {"type": "multi_match", "query": "SRC1 worthless", "fields": [{"field": "text"}, {"field": "source", "boost": 2.0}], "match_type": "most_fields"}
+    return scores(documents(spark, sf), {"query": q})
+
+
+@query(bm25_sql({"src1": 1, "worthless": 1}, f"{TOK}, {_KW}") + ", f AS (SELECT id, b0 + b1 AS t, CASE WHEN lower(source) = 'src1' THEN 2 * idf ELSE 0 END AS k FROM s, k) SELECT id, round(greatest(t, k) + 0.3 * least(t, k), 6) AS score FROM f WHERE t > 0 OR k > 0")
+def multi_match_best(spark: SparkSession, sf: str) -> DataFrame:
+    q = {"type": "multi_match", "query": "SRC1 worthless", "fields": [{"field": "text"}, {"field": "source", "boost": 2.0}], "tie_breaker": 0.3}
+    return scores(documents(spark, sf), {"query": q})
+
+
+@query(bm25_sql({"src1": 1, "worthless": 1}, f"{TOK}, {_KW}") + " SELECT id, round(b0 + CASE WHEN lower(source) = 'src1' THEN idf ELSE 0 END + b1, 6) AS score FROM s, k WHERE (b0 > 0 OR lower(source) = 'src1') AND b1 > 0")
+def multi_match_cross(spark: SparkSession, sf: str) -> DataFrame:
+    q = {"type": "multi_match", "query": "src1 worthless", "fields": ["text", "source"], "match_type": "cross_fields", "operator": "and"}
+    return scores(documents(spark, sf), {"query": q})
+
+
+@query(bm25_sql({"worthless": 1.5, "pathetic": 1}) + " SELECT id, round(greatest(b0, b1) + 0.4 * (b0 + b1 - greatest(b0, b1)), 6) AS score FROM s WHERE b0 > 0 OR b1 > 0")
+def dis_max_tie(spark: SparkSession, sf: str) -> DataFrame:
+    q = {"type": "dis_max", "queries": [{"type": "term", "field": "text", "value": "worthless", "boost": 1.5}, {"type": "term", "field": "text", "value": "Pathetic"}], "tie_breaker": 0.4}
+    return scores(documents(spark, sf), {"query": q})
+
+
+_PAIR = f"WITH {TOK} SELECT id FROM tok WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0"
+
+
+@query(_PAIR)
+def phrase_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": "phrase", "field": "text", "terms": ["Of", "the"]}}).select("id")
+
+
+@query(f"WITH {TOK} SELECT id FROM tok WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND (w[i + 1] = 'and' OR (i + 2 <= len(w) AND w[i + 2] = 'and')))) > 0")
+def phrase_slop1(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": "phrase", "field": "text", "terms": ["of", "and"], "slop": 1}}).select("id")
+
+
+@query(bm25_sql({"worthless": 1}) + f" SELECT id, round(b0, 6) AS score FROM s WHERE b0 > 0 AND NOT {has('und')} AND len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0")
+def query_string_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": 'text:Worthless -und "of the"'})
+
+
+_TERMS = f"WITH {TOK}, t AS (SELECT DISTINCT unnest(w) AS term FROM tok), hit AS (SELECT list(term ORDER BY term) AS ts FROM (SELECT term FROM t WHERE <where> ORDER BY term LIMIT <n>)) SELECT id FROM tok, hit WHERE len(list_intersect(w, ts)) > 0"
+
+
+def expanded(spark: SparkSession, sf: str, kind: str, value: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": kind, "field": "text", "value": value}}).select("id")
+
+
+@query(_TERMS.replace("<where>", "starts_with(term, 'worth')").replace("<n>", "50"))
+def prefix_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return expanded(spark, sf, "prefix", "Worth")
+
+
+@query(_TERMS.replace("<where>", "term LIKE 'wo%le_s'").replace("<n>", "100"))
+def wildcard_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return expanded(spark, sf, "wildcard", "wo*le?s")
+
+
+@query(_TERMS.replace("<where>", "regexp_full_match(term, 'path(etic|os)')").replace("<n>", "100"))
+def regex_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return expanded(spark, sf, "regex", "path(etic|os)")
+
+
+@query(f"WITH {TOK}, t AS (SELECT DISTINCT unnest(w) AS term FROM tok), near AS (SELECT term FROM t WHERE starts_with(term, 'i') AND levenshtein(term, 'idiat') BETWEEN 1 AND 2 ORDER BY term LIMIT 50), hit AS (SELECT list(term) AS ts FROM (SELECT term FROM near UNION SELECT 'idiat')) SELECT id FROM tok, hit WHERE len(list_intersect(w, ts)) > 0")
+def fuzzy_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": "query_string", "query": "idiat"}, "fuzzy": {"max_edits": 2}}).select("id")
+
+
+@query(f"WITH {TOK}, t AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(w)) AS term FROM tok) GROUP BY term), c AS (SELECT term, df FROM t WHERE starts_with(term, 'wor') ORDER BY term LIMIT 64) SELECT term AS text, df::DOUBLE AS score, df AS doc_freq FROM c ORDER BY df DESC, term LIMIT 5")
+def suggest_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).suggest({"type": "completion", "field": "text", "prefix": "so Wor"})
+
+
+@query(bm25_sql({"worthless": 1}) + " SELECT id, round(CASE WHEN b0 = 0 THEN 1 ELSE b0 END * (pow(0.5, abs(n_chars - 1000) / 500.0::DOUBLE) + CASE WHEN lang = 'en' THEN 2 ELSE 0 END), 6) AS score FROM s WHERE b0 > 0")
+def function_score_decay(spark: SparkSession, sf: str) -> DataFrame:
+    fs = [{"type": "decay", "field": "n_chars", "origin": 1000.0, "scale": 500.0, "decay": 0.5, "function": "exp"}, {"type": "weight", "weight": 2.0, "filter": {"KeywordEq": {"field": "lang", "value": "en"}}}]
+    return scores(documents(spark, sf), {"query": {"type": "function_score", "query": {"type": "term", "field": "text", "value": "worthless"}, "functions": fs}})
+
+
+@query("SELECT p_partkey::VARCHAR AS id, round(ln(1 + 1.5 * p_size) + 1.0, 6) AS score FROM part WHERE ln(1 + 1.5 * p_size) + 1.0 >= 3")
+def field_value_factor(spark: SparkSession, sf: str) -> DataFrame:
+    fs = [{"type": "field_value_factor", "field": "p_size", "factor": 1.5, "modifier": "log1p"}]
+    return scores(part(spark, sf), {"query": {"type": "function_score", "query": {"type": "match_all"}, "functions": fs, "boost_mode": "sum", "min_score": 3.0}})
+
+
+@query("SELECT p_partkey::VARCHAR AS id, round(sqrt(p_retailprice) * 0.5, 6) AS score FROM part")
+def rank_feature(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(part(spark, sf), {"query": {"type": "rank_feature", "field": "p_retailprice", "modifier": "sqrt", "boost": 0.5}})
+
+
+@query("SELECT p_partkey::VARCHAR AS id, round(2 * (1 + p_retailprice / (p_size - 7.0::DOUBLE)), 6) AS score FROM part WHERE p_size <> 7")
+def script_score(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(part(spark, sf), {"query": {"type": "script_score", "query": {"type": "match_all"}, "script": "_score + p_retailprice / (p_size - k)", "params": {"k": 7}, "boost": 2.0}})
+
+
+@query("SELECT doc_id::VARCHAR AS id, 2.5::DOUBLE AS score FROM documents WHERE lower(source) IN ('src3', 'src4')")
+def constant_score(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": "constant_score", "filter": {"KeywordIn": {"field": "source", "values": ["SRC3", "src4"]}}, "boost": 2.5}})
+
+
+@query(
+    bm25_sql({"worthless": 1, "pathetic": 1})
+    + ", r AS (SELECT id, b0, b1, row_number() OVER (ORDER BY b0 DESC, id) AS rn FROM s WHERE b0 > 0), x AS (SELECT id, rn <= 20 AS win, rn, CASE WHEN rn <= 20 AND b1 > 0 THEN b0 + b1 ELSE b0 END AS sc FROM r), o AS (SELECT id, sc, row_number() OVER (ORDER BY win DESC, CASE WHEN win THEN sc END DESC NULLS LAST, CASE WHEN NOT win THEN rn END, id) AS pos FROM x) SELECT id, round(sc, 6) AS score FROM o WHERE pos <= 30"
+)
+def rescore_window(spark: SparkSession, sf: str) -> DataFrame:
+    r = documents(spark, sf).search({"query": {"type": "term", "field": "text", "value": "worthless"}, "limit": 30, "rescore": {"window_size": 20, "query": {"type": "term", "field": "text", "value": "pathetic"}}})
+    return r.hits.limit(30).select("id", F.round("_score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- filters
+
+
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE (lower(o_orderstatus) = 'o' OR lower(o_orderpriority) IN ('1-urgent', '2-high')) AND o_totalprice BETWEEN 50000 AND 150000")
+def filter_kw_range(spark: SparkSession, sf: str) -> DataFrame:
+    either = {"Or": [{"KeywordEq": {"field": "o_orderstatus", "value": "O"}}, {"KeywordIn": {"field": "o_orderpriority", "values": ["1-URGENT", "2-high"]}}]}
+    return scores(orders(spark, sf), {"query": {"type": "match_all"}, "filter": {"And": [either, {"F64Range": {"field": "o_totalprice", "min": 50000.0, "max": 150000.0}}]}}).select("id")
+
+
+@query("SELECT event_id::VARCHAR AS id FROM events WHERE NOT coalesce(value > 50 AND value BETWEEN 0 AND 80, false)")
+def filter_not_null_safe(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(events(spark, sf), {"query": {"type": "match_all"}, "filter": {"Not": {"F64Range": {"field": "maybe", "min": 0.0, "max": 80.0}}}}).select("id")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND lower(l_returnflag) = 'r' AND l_quantity BETWEEN 40 AND 50 AND l_linenumber BETWEEN 1 AND 2)")
+def nested_same_object(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda f: {"Nested": {"path": "item", "filter": f}}
+    both = {"And": [of({"KeywordEq": {"field": "flag", "value": "R"}}), of({"F64Range": {"field": "quantity", "min": 40.0, "max": 50.0}}), of({"I64Range": {"field": "line", "min": 1, "max": 2}})]}
+    return scores(folded(spark, sf), {"query": {"type": "match_all"}, "filter": both}).select("id")
+
+
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND lower(l_returnflag) = 'r') AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND lower(l_returnflag) = 'a')")
+def nested_any_object(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(folded(spark, sf), {"query": {"type": "match_all"}, "filter": {"And": [{"KeywordEq": {"field": "item.flag", "value": "r"}}, {"KeywordEq": {"field": "item.flag", "value": "a"}}]}}).select("id")
+
+
+# ---------------------------------------------------------------- vectors
+
+QUERY_VECTOR = [((i * 7) % 11 - 5) / 5 for i in range(64)]
+_QV = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
+
+
+@query(f"SELECT vec_id::VARCHAR AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 5) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_QV}) DESC, vec_id::VARCHAR LIMIT 10")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    r = with_vectors(spark, sf).search({"query": {"type": "vector", "field": "v", "vector": QUERY_VECTOR, "k": 10}, "limit": 10})
+    return r.hits.limit(10).select("id", F.round("_score", 5).alias("score"))
+
+
+@query(f"SELECT vec_id::VARCHAR AS id, round(-list_distance(embedding::DOUBLE[], {_QV}), 5) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY list_distance(embedding::DOUBLE[], {_QV}), vec_id::VARCHAR LIMIT 10")
+def knn_l2_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    r = with_vectors(spark, sf).search({"query": {"type": "vector", "field": "w", "vector": QUERY_VECTOR, "k": 10}, "limit": 10, "filter": {"KeywordEq": {"field": "lang", "value": "fr"}}})
+    return r.hits.limit(10).select("id", F.round("_score", 5).alias("score"))
+
+
+@query(
+    bm25_sql({"worthless": 1})
+    + f", c AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {_QV}) AS v FROM embeddings JOIN tok ON doc_id = vec_id WHERE {has('worthless')} ORDER BY v DESC, vec_id::VARCHAR LIMIT 200) SELECT id, round(0.7 * b0 + 0.3 * coalesce(v, -1), 5) AS score FROM s LEFT JOIN c ON vec_id = doc_id WHERE b0 > 0 ORDER BY 0.7 * b0 + 0.3 * coalesce(v, -1) DESC, id LIMIT 100"
+)
+def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
+    r = with_vectors(spark, sf).search({"query": {"type": "term", "field": "text", "value": "worthless"}, "vector_query": ["v", QUERY_VECTOR, 0.7], "limit": 100})
+    return r.hits.limit(100).select("id", F.round("_score", 5).alias("score"))
+
+
+# ---------------------------------------------------------------- aggregations
+
+
+@query("SELECT l_returnflag AS key, count(*) AS doc_count, count(l_quantity) AS count, round(min(l_quantity), 6) AS min, round(max(l_quantity), 6) AS max, round(sum(l_quantity), 6) AS sum, round(avg(l_quantity), 6) AS avg FROM lineitem GROUP BY 1")
+def terms_stats(spark: SparkSession, sf: str) -> DataFrame:
+    b = buckets(lineitem(spark, sf), {"flags": {"type": "terms", "field": "l_returnflag", "aggs": {"q": {"type": "stats", "field": "l_quantity"}}}}, "flags")
+    return flat(b, "key=key", "doc_count=doc_count", "count=q.count", "min=q.min", "max=q.max", "sum=q.sum", "avg=q.avg")
+
+
+@query("SELECT l_returnflag AS k0, l_linestatus AS k1, count(*) AS n, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1, 2")
+def terms_nested(spark: SparkSession, sf: str) -> DataFrame:
+    s = lineitem(spark, sf)
+    found, _ = s.matches({"query": {"type": "match_all"}})
+    agg = Aggregator(s.schema, s.docs)
+    levels, _, _ = agg.levels({"a": {"type": "terms", "field": "l_returnflag", "aggs": {"b": {"type": "terms", "field": "l_linestatus", "aggs": {"p": {"type": "stats", "field": "l_extendedprice"}}}}}}, [], 0)
+    agg.build(levels[0], found)
+    return levels[0].children[0].frame.select(F.col("_b0").alias("k0"), F.col("_b1").alias("k1"), F.col("doc_count").alias("n"), F.round("_m_p.avg", 4).alias("price"))
+
+
+@query("WITH c AS (SELECT event_type AS key, count(*) AS doc_count FROM events WHERE value BETWEEN 0 AND 1 GROUP BY 1) SELECT * FROM c WHERE doc_count <= 2000")
+def rare_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return buckets(events(spark, sf), {"r": {"type": "rare_terms", "field": "event_type", "max_doc_count": 2000}}, "r", {"F64Range": {"field": "value", "min": 0.0, "max": 1.0}})
+
+
+@query("WITH fg AS (SELECT source AS key, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1), bg AS (SELECT source AS key, count(*) AS m FROM documents GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents WHERE lang = 'fr') AS ft, (SELECT count(*) FROM documents) AS bt) SELECT key, n AS doc_count, m AS bg_count, round((n / ft) / (m / bt), 6) AS score FROM fg JOIN bg USING (key), t")
+def significant_terms(spark: SparkSession, sf: str) -> DataFrame:
+    s = documents(spark, sf)
+    found, _ = s.matches({"query": {"type": "match_all"}, "filter": {"KeywordEq": {"field": "lang", "value": "fr"}}})
+    agg = Aggregator(s.schema, s.docs)
+    levels, _, _ = agg.levels({"s": {"type": "significant_terms", "field": "source", "size": 50}}, [], 0)
+    agg.build(levels[0], found)
+    return levels[0].frame.select(F.col("_b0").alias("key"), "doc_count", "bg_count", F.round("score", 6).alias("score"))
+
+
+@query("SELECT i AS key, count(l.l_quantity) AS doc_count, round(coalesce(sum(l_extendedprice), 0), 4) AS total FROM (VALUES (0, 0, 10), (1, 10, 30), (2, 25, 1000), (3, 2000, 3000)) r(i, lo, hi) LEFT JOIN lineitem l ON l_quantity BETWEEN lo AND hi GROUP BY 1")
+def range_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    rs = [{"to": 10.0}, {"from": 10.0, "to": 30.0}, {"from": 25.0, "to": 1000.0}, {"from": 2000.0}]
+    b = buckets(lineitem(spark, sf), {"r": {"type": "range", "field": "l_quantity", "ranges": rs, "aggs": {"p": {"type": "stats", "field": "l_extendedprice"}}}}, "r")
+    return b.select("key", "doc_count", F.round("p.sum", 4).alias("total"))
+
+
+_MS = lambda c: f"(epoch_us({c}) // 1000)"
+
+
+@query(f"SELECT i AS key, count(*) AS doc_count FROM (VALUES (0, 1704067200000, 1704672000000), (1, 1704672000000, 1706000000000)) r(i, lo, hi) JOIN events ON {_MS('ts')} BETWEEN lo AND hi GROUP BY 1")
+def date_range(spark: SparkSession, sf: str) -> DataFrame:
+    rs = [{"from": "2024-01-01T00:00:00Z", "to": "2024-01-08T00:00:00Z"}, {"from": "2024-01-08T00:00:00Z", "to": "1706000000000"}]
+    return buckets(events(spark, sf), {"r": {"type": "date_range", "field": "ts", "ranges": rs}}, "r")
+
+
+@query("SELECT floor((o_totalprice - 500) / 25000) * 25000.0::DOUBLE + 500.0::DOUBLE AS key, count(*) AS doc_count FROM orders GROUP BY 1")
+def histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return buckets(orders(spark, sf), {"h": {"type": "histogram", "field": "o_totalprice", "interval": 25000.0, "offset": 500.0}}, "h")
+
+
+@query("SELECT k * 10.0::DOUBLE AS key, count(value) AS doc_count FROM range(0, 31) r(k) LEFT JOIN (SELECT value FROM events WHERE value BETWEEN 0 AND 300) ON floor(value / 10) = k GROUP BY 1")
+def histogram_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    bounds = {"min": 0.0, "max": 300.0}
+    return buckets(events(spark, sf), {"h": {"type": "histogram", "field": "value", "interval": 10.0, "hard_bounds": bounds, "extended_bounds": bounds}}, "h")
+
+
+@query(f"SELECT ceil(({_MS('ts')} - 1800000) / 21600000.0::DOUBLE)::BIGINT * 21600000 + 1800000 AS key, count(*) AS doc_count, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def date_hist_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    b = buckets(events(spark, sf), {"d": {"type": "date_histogram", "field": "ts", "fixed_interval": "6h", "offset": "30m", "aggs": {"v": {"type": "stats", "field": "value"}}}}, "d")
+    return b.select("key", "doc_count", F.round("v.avg", 6).alias("mean"))
+
+
+@query("SELECT epoch_ms(date_trunc('month', l_shipdate)) AS key, count(*) AS doc_count FROM lineitem GROUP BY 1")
+def date_hist_month(spark: SparkSession, sf: str) -> DataFrame:
+    return buckets(lineitem(spark, sf), {"d": {"type": "date_histogram", "field": "ship", "calendar_interval": "month"}}, "d")
+
+
+@query("WITH g AS (SELECT l_returnflag AS flag, floor(l_quantity / 10) * 10.0::DOUBLE AS q, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT flag, q, n FROM g WHERE flag > 'A' OR (flag = 'A' AND q > 20) ORDER BY flag, q LIMIT 7")
+def composite_page2(spark: SparkSession, sf: str) -> DataFrame:
+    sources = [{"type": "terms", "name": "flag", "field": "l_returnflag"}, {"type": "histogram", "name": "q", "field": "l_quantity", "interval": 10.0}]
+    s = lineitem(spark, sf)
+    found, _ = s.matches({"query": {"type": "match_all"}})
+    f = Aggregator(s.schema, s.docs).frame(found, {"c": {"type": "composite", "sources": sources, "size": 7, "after": {"flag": "A", "q": 20.0}}}, "c")
+    return f.where("_ord <= 7").select("key.flag", "key.q", F.col("doc_count").alias("n"))
+
+
+@query("SELECT count(*) AS count, round(sum(coalesce(maybe, 7)), 4) AS sum, round(var_pop(coalesce(maybe, 7)), 4) AS variance, round(stddev_pop(coalesce(maybe, 7)), 4) AS std_deviation FROM (SELECT CASE WHEN value > 50 THEN value END AS maybe FROM events)")
+def ext_stats(spark: SparkSession, sf: str) -> DataFrame:
+    s = events(spark, sf)
+    found, _ = s.matches({"query": {"type": "match_all"}})
+    x = Aggregator(s.schema, s.docs).grouped(found, [], {"m": ("extended_stats", {"field": "maybe", "missing": 7})}).select("_m_m.*")
+    return x.select("count", *[F.round(c, 4).alias(c) for c in ("sum", "variance", "std_deviation")])
+
+
+@query("SELECT event_type AS key, count(*) AS doc_count, count(DISTINCT user_id) AS users, count(CASE WHEN value > 50 THEN value END) AS filled FROM events GROUP BY 1")
+def cardinality(spark: SparkSession, sf: str) -> DataFrame:
+    b = buckets(events(spark, sf), {"t": {"type": "terms", "field": "event_type", "aggs": {"users": {"type": "cardinality", "field": "user_id"}, "filled": {"type": "value_count", "field": "maybe"}}}}, "t")
+    return b.select("key", "doc_count", "users", "filled")
+
+
+@query("SELECT o_orderstatus AS key, round(quantile_cont(o_totalprice, 0.25), 6) AS p25, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.99), 6) AS p99, round(100.0 * sum((o_totalprice <= 100000)::INT) / count(*), 6) AS r FROM orders GROUP BY 1")
+def percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    aggs = {"p": {"type": "percentiles", "field": "o_totalprice", "percents": [25.0, 50.0, 99.0]}, "r": {"type": "percentile_ranks", "field": "o_totalprice", "values": [100000.0]}}
+    b = buckets(orders(spark, sf), {"s": {"type": "terms", "field": "o_orderstatus", "aggs": aggs}}, "s")
+    return b.select("key", *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p25", "p50", "p99"))], F.round(F.get("r", F.lit(0)), 6).alias("r"))
+
+
+@query("WITH r AS (SELECT o_orderpriority AS key, o_orderkey::VARCHAR AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey::VARCHAR) AS rank FROM orders) SELECT key, rank::INTEGER AS rank, id FROM r WHERE rank BETWEEN 2 AND 4")
+def top_hits(spark: SparkSession, sf: str) -> DataFrame:
+    hits = {"type": "top_hits", "size": 3, "from": 1, "sort": [{"field": "o_totalprice", "order": "desc"}]}
+    b = buckets(orders(spark, sf), {"t": {"type": "terms", "field": "o_orderpriority", "aggs": {"h": hits}}}, "t")
+    return b.select("key", F.explode("h").alias("x")).select("key", "x.rank", "x.id")
+
+
+@query("SELECT count(*) AS doc_count, round(avg(value), 6) AS mean FROM events WHERE lower(event_type) = 'click'")
+def filter_agg(spark: SparkSession, sf: str) -> DataFrame:
+    b = buckets(events(spark, sf), {"f": {"type": "filter", "filter": {"KeywordEq": {"field": "event_type", "value": "Click"}}, "aggs": {"v": {"type": "stats", "field": "value"}}}}, "f")
+    return b.select("doc_count", F.round("v.avg", 6).alias("mean"))
+
+
+_DAYS = "b AS (SELECT epoch_ms(date_trunc('day', ts)) AS key, count(*) AS doc_count, sum(value) AS total FROM events GROUP BY 1)"
+_DAILY = {"type": "date_histogram", "field": "ts", "calendar_interval": "day"}
+
+
+def daily(spark: SparkSession, sf: str, **pipelines: dict) -> DataFrame:
+    return buckets(events(spark, sf), {"d": _DAILY | {"aggs": {"v": {"type": "stats", "field": "value"}} | pipelines}}, "d")
+
+
+@query(f"WITH {_DAYS} SELECT key, doc_count FROM b ORDER BY total DESC, key LIMIT 5 OFFSET 2")
+def bucket_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return daily(spark, sf, top={"type": "bucket_sort", "sort": [{"v.sum": "desc"}], "from": 2, "size": 5}).select("key", "doc_count")
+
+
+@query(f"WITH {_DAYS} SELECT key, round((total - lag(total) OVER (ORDER BY key)) / 2, 4) AS d FROM b")
+def derivative(spark: SparkSession, sf: str) -> DataFrame:
+    return daily(spark, sf, d={"type": "derivative", "buckets_path": "v.sum", "unit": 2.0}).select("key", F.round("d", 4).alias("d"))
+
+
+@query(f"WITH {_DAYS} SELECT key, round(avg(total) OVER (ORDER BY key ROWS 2 PRECEDING), 4) AS m FROM b")
+def moving_avg(spark: SparkSession, sf: str) -> DataFrame:
+    return daily(spark, sf, m={"type": "moving_avg", "buckets_path": "v.sum", "window": 3}).select("key", F.round("m", 4).alias("m"))
+
+
+@query(f"WITH {_DAYS} SELECT key, round((total - 100) / doc_count * 2, 4) AS x, round(avg(total) OVER (), 4) AS mean, round(sum(doc_count) OVER (), 4) AS n FROM b")
+def bucket_script(spark: SparkSession, sf: str) -> DataFrame:
+    x = daily(spark, sf, x={"type": "bucket_script", "buckets_path": {"t": "v.sum", "c": "_count"}, "script": "(t - 100) / c * 2"}, mean={"type": "avg_bucket", "buckets_path": "v.sum"}, n={"type": "sum_bucket", "buckets_path": "_count"})
+    return x.select("key", *[F.round(c, 4).alias(c) for c in ("x", "mean", "n")])
+
+
+# ---------------------------------------------------------------- order, pages, groups, changes
+
+
+@query("WITH r AS (SELECT event_type AS \"group\", event_id::VARCHAR AS id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id::VARCHAR) AS rn FROM (SELECT * FROM events ORDER BY value DESC, event_id::VARCHAR LIMIT 201)) SELECT id, round(value, 6) AS value FROM r WHERE rn = 1")
+def collapse_top1(spark: SparkSession, sf: str) -> DataFrame:
+    r = events(spark, sf).search({"query": {"type": "match_all"}, "sort": [{"field": "value", "order": "desc"}], "limit": 100, "candidate_size": 200, "collapse": {"field": "event_type"}})
+    return r.hits.select("id", F.round("_s0", 6).alias("value"))
+
+
+@query("SELECT event_id::VARCHAR AS id, CASE WHEN value > 50 THEN value END AS v FROM events ORDER BY v NULLS LAST, event_id::VARCHAR LIMIT 50")
+def sort_missing_last(spark: SparkSession, sf: str) -> DataFrame:
+    r = events(spark, sf).search({"query": {"type": "match_all"}, "sort": [{"field": "maybe"}], "limit": 50})
+    return r.hits.limit(50).select("id", F.col("_s0").alias("v"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS id FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey::VARCHAR LIMIT 20 OFFSET 20")
+def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
+    s = orders(spark, sf)
+    request = {"query": {"type": "match_all"}, "sort": [{"field": "o_orderpriority"}, {"field": "o_totalprice", "order": "desc"}], "limit": 20}
+    _, cursor = s.search(request).page()
+    return s.search(request | {"cursor": cursor}).hits.limit(20).select("id")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return latest(e, "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def delete_anti(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events")
+    gone = e.where(F.col("event_type") == "error").select("user_id").distinct()
+    return e.join(gone, "user_id", "left_anti").select("event_id", "value")
+
+
+def highlights(spark: SparkSession, sf: str) -> DataFrame:
+    """The best ten documents with the words of the query marked."""
+    r = documents(spark, sf).search({"query": "worthless pathetic", "limit": 10, "highlight": {"fields": {"text": {"fragment_size": 80}}}})
+    return r.hits.limit(10).select("id", F.col("highlights.text").alias("fragments"))
+
+
+QUERIES["highlights"] = highlights
