@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analysis import LOWER, UPPER
+from .functions.columns import wall_ms
 from .operators.aggregations import Aggregator
 from .plans.search import Searcher
 from .schema import Schema
@@ -45,17 +46,17 @@ def documents(spark: SparkSession, sf: str) -> Searcher:
 
 def events(spark: SparkSession, sf: str) -> Searcher:
     e = read(spark, sf, "events")
-    return Searcher(e.select(F.col("event_id").cast("string").alias("id"), "event_type", F.unix_millis("ts").alias("ts"), "user_id", "value", F.when(F.col("value") > 50, F.col("value")).alias("maybe")), EVENTS)
+    return Searcher(e.select(F.col("event_id").cast("string").alias("id"), "event_type", wall_ms(F.col("ts")).alias("ts"), "user_id", "value", F.when(F.col("value") > 50, F.col("value")).alias("maybe")), EVENTS)
 
 
 def lineitem(spark: SparkSession, sf: str) -> Searcher:
     x = read(spark, sf, "lineitem")
-    return Searcher(x.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", F.unix_millis("l_shipdate").alias("ship")), LINEITEM)
+    return Searcher(x.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", wall_ms(F.col("l_shipdate")).alias("ship")), LINEITEM)
 
 
 def orders(spark: SparkSession, sf: str) -> Searcher:
     x = read(spark, sf, "orders")
-    return Searcher(x.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority", "o_totalprice", F.unix_millis("o_orderdate").alias("o_orderdate"), "o_custkey"), ORDERS)
+    return Searcher(x.select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus", "o_orderpriority", "o_totalprice", wall_ms(F.col("o_orderdate")).alias("o_orderdate"), "o_custkey"), ORDERS)
 
 
 def part(spark: SparkSession, sf: str) -> Searcher:
@@ -439,7 +440,7 @@ def moving_avg(spark: SparkSession, sf: str) -> DataFrame:
     return daily(spark, sf, m={"type": "moving_avg", "buckets_path": "v.sum", "window": 3}).select("key", F.round("m", 4).alias("m"))
 
 
-@query(f"WITH {_DAYS} SELECT key, round((total - 100) / doc_count * 2, 4) AS x, round(avg(total) OVER (), 4) AS mean, round(sum(doc_count) OVER (), 4) AS n FROM b")
+@query(f"WITH {_DAYS} SELECT key, round((total - 100) / doc_count * 2, 4) AS x, round(avg(total) OVER (), 4) AS mean, round((sum(doc_count) OVER ())::DOUBLE, 4) AS n FROM b")
 def bucket_script(spark: SparkSession, sf: str) -> DataFrame:
     x = daily(spark, sf, x={"type": "bucket_script", "buckets_path": {"t": "v.sum", "c": "_count"}, "script": "(t - 100) / c * 2"}, mean={"type": "avg_bucket", "buckets_path": "v.sum"}, n={"type": "sum_bucket", "buckets_path": "_count"})
     return x.select("key", *[F.round(c, 4).alias(c) for c in ("x", "mean", "n")])
@@ -474,10 +475,10 @@ def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     return latest(e, "user_id", ["ts", "event_id"]).drop("ts")
 
 
-@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300)")
 def delete_anti(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
-    gone = e.where(F.col("event_type") == "error").select("user_id").distinct()
+    gone = e.where(F.col("value") > 300).select("user_id").distinct()
     return e.join(gone, "user_id", "left_anti").select("event_id", "value")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import AggregationError
+from ..functions.columns import date_ms, utc_date
 from ..schema import Field, Schema
 from .filters import compile_filter
 from .highlight import highlighted
@@ -255,7 +256,7 @@ class Aggregator:
             unit = CALENDAR.get(x["calendar_interval"])
             if unit is None:
                 raise bad(f"unknown calendar interval {x['calendar_interval']}")
-            return lambda v: F.unix_millis(F.date_trunc(unit, F.timestamp_millis(v - off))) + off
+            return lambda v: date_ms(utc_date(v - off) if unit == "day" else F.trunc(utc_date(v - off), unit)) + off
         if not x.get("fixed_interval"):
             raise bad("date_histogram needs an interval")
         step = duration_ms(x["fixed_interval"])
@@ -425,8 +426,8 @@ class Aggregator:
             off = duration_ms(x["offset"]) if x.get("offset") else 0
             unit = CALENDAR[x["calendar_interval"]]
             step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month", "quarter": "interval 3 months", "year": "interval 1 year"}[unit]
-            ends = [F.timestamp_millis(to_key(F.lit(v)) - off) for v in (low, high)]
-            return F.transform(F.sequence(*ends, F.expr(step)), lambda t: F.unix_millis(t) + off)
+            ends = [utc_date(to_key(F.lit(v)) - off) for v in (low, high)]
+            return F.transform(F.sequence(*ends, F.expr(step)), lambda t: date_ms(t) + off)
         step = duration_ms(x["fixed_interval"])
         if (high - low) // step >= MAX_BUCKETS:
             raise bad(f"more than {MAX_BUCKETS} buckets")
@@ -436,7 +437,7 @@ class Aggregator:
         """Each key for each parent bucket; the added ones have count 0 and the metrics of nothing."""
         spark = frame.sparkSession
         parents = frame.select(*level.parents).distinct() if level.parents else spark.range(1).select()
-        wanted = parents.withColumn(level.key, F.explode(keys).cast(frame.schema[level.key].dataType))
+        wanted = parents.withColumn(level.key, F.explode(keys.cast(T.ArrayType(frame.schema[level.key].dataType))))
         out = wanted.join(frame, level.path, "full").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
         for name, (kind, x) in level.metrics.items():
             if kind != "top_hits":
