@@ -22,19 +22,22 @@ CENTROIDS = 3
 #: Labelled documents for each language that the centroids are fitted to, at most.
 SAMPLE = 600
 #: A document is rejected below this share of the least similarity (1 in 200 left out) among sampled documents of its size.
-SLACK = 0.6
+SLACK = 0.5
 BANDS = 20
+#: Bytes as they count: letters, and all bytes of other scripts, as they are; digits, signs and white space as a space.
+SIGNS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, dimension, count) of each distinct trigram of each text, in the order of rows."""
+    """(row, dimension, count) of each distinct trigram of each text, in the order of rows; those with two spaces don't count."""
     if len(data) < 3:
         z = np.zeros(0, np.int64)
         return z, z, z
-    d = data.astype(np.uint32)
+    d = SIGNS[data].astype(np.uint32)
     code = ((d[:-2] << np.uint32(16) | d[1:-1] << np.uint32(8) | d[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 15)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    same = row[:-2] == row[2:]
+    gap = d == 32
+    same = (row[:-2] == row[2:]) & ~(gap[1:-1] & (gap[:-2] | gap[2:]))
     key = np.sort((row[:-2][same] << 15) | code[same])
     if not len(key):
         z = np.zeros(0, np.int64)
