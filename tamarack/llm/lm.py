@@ -31,6 +31,9 @@ from .common import GOLD, Tokenizer, chunks, materialize, mix64, partitions, tab
 
 ALPHA = 0.4
 BROADCAST_MB = 256
+#: Words in a partition of n-grams, and words exploded at a time: what bounds a Python worker's memory.
+PART_WORDS = 200_000
+FLUSH_WORDS = 800_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def _count_batches(batches):
             h, c = np.unique(h, return_counts=True)
             kept.append((h, c))
             n += len(h)
-            if n > 4_000_000:
+            if n > 1_000_000:
                 h, c = flush(kept)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
                 kept, n = [], 0
@@ -115,7 +118,7 @@ def _explode_batches(shared, parts: int):
                     held.append((doc_ids[a + row], ids[np.searchsorted(vocabulary, unique)][at], texts + row))
                     texts += b - a
                     size += len(h)
-                    if size > 4_000_000:
+                    if size > FLUSH_WORDS:
                         yield flush()
                         held, size = [], 0
         if held:
@@ -194,7 +197,7 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, broadcast_mb: int = BR
     by_hash = np.argsort(h)
     count = np.concatenate([[0], c[by_count]]).astype(np.uint32 if total < 1 << 32 else np.uint64)
     shared = spark.sparkContext.broadcast((h[by_hash].tobytes() + ids[by_hash].tobytes() + count.tobytes(), int(size)))
-    parts = partitions(spark)
+    parts = max(partitions(spark), -(-int(total) // PART_WORDS))
     rows = _texts(docs).mapInArrow(_explode_batches(shared, parts), "p int, docs binary, sizes binary, rows binary")
     partial = rows.groupBy("p").applyInArrow(_score_partition(shared, parts, int(total), alpha), "doc_id long, s double, n long")
     return _finish(partial)
