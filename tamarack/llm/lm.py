@@ -32,8 +32,8 @@ from .common import GOLD, Tokenizer, chunks, materialize, mix64, partitions, tab
 ALPHA = 0.4
 BROADCAST_MB = 256
 #: Words in a partition of n-grams, and words exploded at a time: what bounds a Python worker's memory.
-PART_WORDS = 200_000
-FLUSH_WORDS = 800_000
+PART_WORDS = 300_000
+FLUSH_WORDS = 1_000_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _explode_batches(shared, parts: int):
                 out["p"].append(int(k))
                 out["docs"].append(d[first].tobytes())
                 out["sizes"].append(np.diff(np.append(first, len(d))).astype(np.uint32).tobytes())
-                out["rows"].append(b"".join(_planes(y[o]) for y in (v, w, u, x)))
+                out["rows"].append(pa.compress(b"".join(_planes(y[o]) for y in (v, w, u, x)), "zstd", asbytes=True))
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("p", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("rows", pa.binary())]))
 
         for batch in batches:
@@ -165,7 +165,8 @@ def _score_partition(shared, parts: int, total: int, alpha: float):
         count = np.frombuffer(raw, np.uint32 if total < 1 << 32 else np.uint64, n + 1, 12 * n)
         doc = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32)) for d, s in zip(t.column("docs").to_pylist(), t.column("sizes").to_pylist())]
         cols = [[], [], [], []]
-        for raw_rows in t.column("rows").to_pylist():
+        for packed, many in zip(t.column("rows").to_pylist(), doc):
+            raw_rows = pa.decompress(packed, 16 * len(many), "zstd", asbytes=True)
             step = len(raw_rows) // 4
             for k in range(4):
                 cols[k].append(_unplanes(raw_rows[k * step : (k + 1) * step]))
