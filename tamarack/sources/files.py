@@ -58,13 +58,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, schema: Schema) -> DataFrame:
-    """From (value, _seq)."""
+    """From (value), and _seq where there is one."""
     lines = lines.where(F.trim("value") != "")
     declared = F.array(*[F.lit(n) for n in (schema.doc_id_field, *schema.fields)])
     parsed = lines.withColumn("_doc", F.from_json("value", schema.struct(), {"mode": "PERMISSIVE"})).withColumn("_keys", F.json_object_keys("value"))
     extra = F.array_except("_keys", declared)
     trouble = F.when(F.col("_keys").isNull(), F.lit("not a JSON object")).when(F.size(extra) > 0, F.concat(F.lit("undeclared fields: "), F.array_join(extra, ", ")))
-    flat = parsed.select("value", "_seq", "_doc.*", trouble.alias("_trouble"))
+    flat = parsed.select("value", *[c for c in ("_seq",) if c in lines.columns], "_doc.*", trouble.alias("_trouble"))
     checked = flat.withColumn("_trouble", F.coalesce("_trouble", schema.problem(flat)))
     message = F.concat(F.col("_trouble"), F.lit(" in: "), F.substring("value", 1, 200))
     # assert_true raises while the rows are read; its result is null, and the filter keeps it from being optimized away.

@@ -12,8 +12,7 @@ from ..sources.index import Index
 
 def documents(spark: SparkSession, folder: str, index: Index) -> DataFrame:
     """A stream of JSON-lines files as they arrive, read with the declared schema."""
-    lines = spark.readStream.text(folder).withColumn("_seq", F.monotonically_increasing_id())
-    return parse_lines(lines, index.schema)
+    return parse_lines(spark.readStream.text(folder), index.schema)
 
 
 def upsert_batch(index: Index):
