@@ -1,4 +1,4 @@
-"""Filter trees as null-safe predicates: every compiled filter is true or false, never null."""
+"""Filter trees as null-safe predicates: a compiled filter is true or false, never null, unless it is only to be filtered by."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def two_valued(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def any_value(path: str, fields: dict[str, Field], get: Get, kinds: tuple[str, ...], test: Callable[[Column], Column]) -> Column:
+def any_value(path: str, fields: dict[str, Field], get: Get, kinds: tuple[str, ...], test: Callable[[Column], Column], exact: bool = True) -> Column:
     """Whether some value under a dotted path passes; false for unknown fields, other kinds and fields that aren't fast."""
     head, _, rest = (path, "", "") if path in fields else path.partition(".")
     f = fields.get(head)
@@ -31,22 +31,26 @@ def any_value(path: str, fields: dict[str, Field], get: Get, kinds: tuple[str, .
         return two_valued(F.exists(c, inner)) if f.many else two_valued(c.isNotNull() & inner(c))
     if f.kind not in kinds or not f.fast:
         return F.lit(False)
-    return two_valued(F.exists(c, test)) if f.many else two_valued(test(c))
+    found = F.exists(c, test) if f.many else test(c)
+    return two_valued(found) if exact else found
 
 
-def compile_filter(spec: dict, fields: dict[str, Field], get: Get = F.col) -> Column:
-    """KeywordEq, KeywordIn, I64Range, F64Range, Nested, And, Or and Not, over top-level columns or the fields of an object."""
+def compile_filter(spec: dict, fields: dict[str, Field], get: Get = F.col, exact: bool = True) -> Column:
+    """KeywordEq, KeywordIn, I64Range, F64Range, Nested, And, Or and Not, over top-level columns or the fields of an object.
+
+    With `exact` false, null may stand for false: plain comparisons then reach the Parquet scan.
+    """
     if not isinstance(spec, dict) or len(spec) != 1:
         raise RequestError(f"not a filter: {spec!r}")
     kind, x = next(iter(spec.items()))
     if kind == "KeywordEq":
-        return any_value(x["field"], fields, get, ("keyword",), lambda c: F.lower(c) == x["value"].lower())
+        return any_value(x["field"], fields, get, ("keyword",), lambda c: F.lower(c) == x["value"].lower(), exact)
     if kind == "KeywordIn":
-        return any_value(x["field"], fields, get, ("keyword",), lambda c: F.lower(c).isin([v.lower() for v in x["values"]]))
+        return any_value(x["field"], fields, get, ("keyword",), lambda c: F.lower(c).isin([v.lower() for v in x["values"]]), exact)
     if kind == "I64Range":
-        return any_value(x["field"], fields, get, ("i64",), lambda c: c.between(int(x["min"]), int(x["max"])))
+        return any_value(x["field"], fields, get, ("i64",), lambda c: c.between(int(x["min"]), int(x["max"])), exact)
     if kind == "F64Range":
-        return any_value(x["field"], fields, get, ("f64",), lambda c: c.between(float(x["min"]), float(x["max"])))
+        return any_value(x["field"], fields, get, ("f64",), lambda c: c.between(float(x["min"]), float(x["max"])), exact)
     if kind == "Nested":
         return nested(x["path"], [x["filter"]], fields, get)
     if kind == "And":
@@ -57,14 +61,14 @@ def compile_filter(spec: dict, fields: dict[str, Field], get: Get = F.col) -> Co
             if "Nested" in clause:
                 by_path.setdefault(clause["Nested"]["path"], []).append(clause["Nested"]["filter"])
             else:
-                out = out & compile_filter(clause, fields, get)
+                out = out & compile_filter(clause, fields, get, exact)
         for path, inner in by_path.items():
             out = out & nested(path, inner, fields, get)
         return out
     if kind == "Or":
         out = F.lit(False)
         for clause in x:
-            out = out | compile_filter(clause, fields, get)
+            out = out | compile_filter(clause, fields, get, exact)
         return out
     if kind == "Not":
         return ~compile_filter(x, fields, get)

@@ -14,6 +14,7 @@ from ..operators import vector
 from ..operators.aggregations import Aggregator
 from ..operators.filters import compile_filter
 from ..operators.highlight import highlighted
+from ..operators.scoring import sum_of
 from ..operators.sorting import SortPlan
 from ..schema import Schema
 from .features import dictionary, expand, matching_terms, with_features
@@ -84,9 +85,11 @@ class Searcher:
             df = df.where(candidates)
         df = df.where(plan.root.match())
         if request.get("filter"):
-            df = df.where(compile_filter(request["filter"], self.schema.fields))
+            df = df.where(compile_filter(request["filter"], self.schema.fields, exact=False))
         score = plan.root.score() if plan.root.score else F.lit(1.0)
         df = df.withColumn("_score", score.cast("double")).where("_score is not null") if need_score or plan.root.score else df.withColumn("_score", F.lit(0.0))
+        if request.get("explain"):
+            df = df.withColumn("_base", sum_of([plan.leaf_score(i) for i in range(plan.leaves)]) if plan.leaves else F.lit(0.0))
         return df.drop(*[c for c in df.columns if c.startswith(("_k", "_df", "_avg_", "_len_")) and c not in self.docs.columns] + ["_n"]), plan
 
     def search(self, request: dict) -> Result:
@@ -111,7 +114,7 @@ class Searcher:
             specs = [vector.clause_of(c) for c in (given if isinstance(given, list) and given and isinstance(given[0], (dict, list, tuple)) else [given])]
         clauses = vector.checked(specs, self.schema, limit)
         if clauses and vector.only_vectors(request["query"]):
-            pool = self.docs.where(compile_filter(request["filter"], self.schema.fields)) if request.get("filter") else self.docs
+            pool = self.docs.where(compile_filter(request["filter"], self.schema.fields, exact=False)) if request.get("filter") else self.docs
             found, plan = vector.vector_only(pool, clauses, self.schema, self.id_, request.get("vector_filter")), None
         else:
             found, plan = self.matches(request, order.by_score or not request.get("sort"))
@@ -130,7 +133,8 @@ class Searcher:
         if collapse:
             hits, result.groups = self._collapsed(hits.limit(max(window, limit) + 1), collapse, order)
         if request.get("explain"):
-            hits = hits.withColumn("_explanation", F.struct(F.col("_score").alias("final_score")))
+            base = F.col("_base") if "_base" in hits.columns else F.lit(None).cast("double")
+            hits = hits.withColumn("_explanation", F.struct(base.alias("base_score"), F.col("_score").alias("final_score")))
         result.hits = self._shown(hits, request, plan).limit(limit + 1)
         if request.get("aggs"):
             result.aggregations = Aggregator(self.schema, self.docs).run(aggregated, request["aggs"])
