@@ -19,7 +19,16 @@ from .stemmer import stem
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[\\p{IsAlphabetic}\\p{N}]+"
-ENGLISH = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: Common English words, long ones first.
+ENGLISH = tuple((
+    "because himself through between another "
+    "should before "
+    "could would since while there where these those being which still under other after never their might about "
+    "said make take like came same come some here were more have each much such with both well will them from than been then when also into over your this that what want most must they only many very "
+    "had did and see the are use all him can who too her for our has was his get got but out you how now way any "
+    "be he me we if of an in on do to up or as is at it by my "
+    "a "
+).split())
 STOP_LISTS = {"en": ENGLISH, "english": ENGLISH}
 TOKENIZERS = ("default", "unicode", "whitespace")
 Tokens = list[tuple[str, int]]
@@ -29,10 +38,6 @@ def ascii_lower(s: str) -> str:
     return s.translate(str.maketrans(UPPER, LOWER))
 
 
-def is_word_sign(c: str) -> bool:
-    return c.isalnum()
-
-
 def tokenize(name: str, text: str) -> list[str]:
     if name == "whitespace":
         return text.split()
@@ -41,7 +46,7 @@ def tokenize(name: str, text: str) -> list[str]:
         return re.findall(r"[^\W_]+(?:['’.:·][^\W_]+)*", text)
     out, word = [], []
     for c in ascii_lower(text):
-        if is_word_sign(c):
+        if c.isalnum():
             word.append(c)
         elif word:
             out.append("".join(word))

@@ -48,9 +48,54 @@ def places_of(name: str, term: str) -> Column:
     return F.transform(F.filter(F.col(f"_hits_{name}.hits"), lambda x: x["t"] == term), lambda x: x["p"])
 
 
-def with_features(docs: DataFrame, plan: Plan) -> DataFrame:
+POSTING_BUCKETS = 64
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def postings_of(docs: DataFrame, schema: Schema) -> DataFrame | None:
+    """(id, field, bucket, term, positions) of documents that have their _tok_ columns; None without text fields."""
+    out, id_ = None, schema.doc_id_field
+    for name in schema.text_fields():
+        toks = F.col(f"_tok_{name}")
+        if schema.index_analyzer(name).stacked:
+            one = docs.select(id_, F.explode(toks).alias("x")).select(id_, F.col("x.t").alias("term"), F.col("x.p").alias("p"))
+        else:
+            one = docs.select(id_, F.posexplode(toks).alias("p", "term")).where("term is not null")
+        lists = one.groupBy(id_, "term").agg(F.sort_array(F.collect_list("p")).alias("positions")).withColumn("field", F.lit(name))
+        out = lists if out is None else out.unionByName(lists)
+    return None if out is None else out.withColumn("bucket", bucket_of(F.col("term")))
+
+
+def from_postings(docs: DataFrame, postings: DataFrame, plan: Plan) -> DataFrame:
+    """As with_features(), for plans that score words of text fields only: reads the wanted terms' buckets, and of the documents those with such a term."""
+    schema, id_ = plan.schema, plan.schema.doc_id_field
+    wanted: dict[str, dict[str, int]] = {}
+    for (name, term), i in plan.keys.items():
+        if schema.fields[name].kind == "text":
+            wanted.setdefault(name, {})[term] = i
+    buckets = {t: b for t, b in docs.sparkSession.createDataFrame([(t,) for own in wanted.values() for t in own], "t string").select("t", bucket_of(F.col("t"))).collect()}
+    cond = F.lit(False)
+    for name, own in wanted.items():
+        cond = cond | ((F.col("field") == name) & F.col("bucket").isin(sorted({buckets[t] for t in own})) & F.col("term").isin(list(own)))
+    spots = [F.first(F.when((F.col("field") == n) & (F.col("term") == t), F.col("positions")), ignorenulls=True).alias(f"_k{i}") for n, own in wanted.items() for t, i in own.items()]
+    rows = postings.where(cond).groupBy(F.col(id_).alias("_pid"), F.col("_gen").alias("_pgen")).agg(*spots)
+    out = docs.join(rows, (docs[id_] == rows["_pid"]) & (docs["_gen"] == rows["_pgen"])).drop("_pid", "_pgen")
+    for (name, term), i in plan.keys.items():
+        if schema.fields[name].kind == "keyword":
+            out = out.withColumn(f"_k{i}", F.when(F.array_contains(keyword_terms(schema, name), term), F.array(F.lit(0))).otherwise(F.expr(NO_POSITIONS)))
+    stats = docs.agg(F.count("*").cast("double").alias("_n"), *[F.avg(f"_len_{n}").alias(f"_avg_{n}") for n in sorted(wanted)])
+    dfs = out.agg(*[F.coalesce(F.sum((F.size(f"_k{plan.keys[k]}") > 0).cast("double")), F.lit(0.0)).alias(f"_df{plan.keys[k]}") for k in plan.scored])
+    return out.crossJoin(F.broadcast(stats.crossJoin(dfs)))  # one row
+
+
+def with_features(docs: DataFrame, plan: Plan, postings: DataFrame | None = None) -> DataFrame:
     """The documents with _k<i>, _len_<field> and, where words are scored, the statistics _n, _df<i> and _avg_<field>."""
     schema = plan.schema
+    if postings is not None and plan.scored and all(schema.fields[n].kind == "text" for n, _ in plan.scored):
+        return from_postings(docs, postings, plan)
     texts = sorted(plan.text_fields)
     out = docs
     for name in texts:

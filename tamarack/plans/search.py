@@ -59,9 +59,9 @@ class Result:
 class Searcher:
     """Answers requests over one snapshot: documents with _gen and the id, and their schema."""
 
-    def __init__(self, docs: DataFrame, schema: Schema, generation: int = 1) -> None:
+    def __init__(self, docs: DataFrame, schema: Schema, generation: int = 1, postings: DataFrame | None = None) -> None:
         self.docs = docs if "_gen" in docs.columns else docs.withColumn("_gen", F.lit(1))
-        self.schema, self.generation, self.id_ = schema, generation, schema.doc_id_field
+        self.schema, self.generation, self.id_, self.postings = schema, generation, schema.doc_id_field, postings
         self._terms: dict[str, DataFrame] = {}
 
     def terms(self, name: str) -> DataFrame:
@@ -79,7 +79,7 @@ class Searcher:
     def matches(self, request: dict, need_score: bool = True) -> tuple[DataFrame, Plan]:
         """All matching documents with _score; documents whose score is dropped are not among them."""
         plan = self.plan(request["query"], request.get("fields"), request.get("fuzzy"))
-        df = with_features(self.docs, plan)
+        df = with_features(self.docs, plan, self.postings)
         candidates = plan.candidates()
         if candidates is not None:
             df = df.where(candidates)
@@ -90,7 +90,7 @@ class Searcher:
         df = df.withColumn("_score", score.cast("double")).where("_score is not null") if need_score or plan.root.score else df.withColumn("_score", F.lit(0.0))
         if request.get("explain"):
             df = df.withColumn("_base", sum_of([plan.leaf_score(i) for i in range(plan.leaves)]) if plan.leaves else F.lit(0.0))
-        return df.drop(*[c for c in df.columns if c.startswith(("_k", "_df", "_avg_", "_len_")) and c not in self.docs.columns] + ["_n"]), plan
+        return df.drop(*[c for c in df.columns if c.startswith(("_k", "_df", "_avg_", "_len_", "_tok_")) and (c not in self.docs.columns or c.startswith(("_len_", "_tok_")))] + ["_n"]), plan
 
     def search(self, request: dict) -> Result:
         began = time.time()
@@ -152,7 +152,7 @@ class Searcher:
         if n < 1:
             raise RequestError("window_size must be at least 1")
         top = hits.limit(window + 1).withColumn("_rank", F.row_number().over(Window.orderBy(*order.order())))
-        again, _ = Searcher(self.docs, self.schema, self.generation).matches_all(spec["query"])
+        again, _ = Searcher(self.docs, self.schema, self.generation, self.postings).matches_all(spec["query"])
         both = top.join(again, self.id_, "left").withColumn("_in", F.col("_rank") <= n)
         a, b = F.col("_score"), F.col("_again")
         mode = spec.get("score_mode", "total")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +126,3 @@ def as_json_line(doc: dict, schema: Schema) -> str:
 
     return json.dumps({schema.doc_id_field: doc[schema.doc_id_field]} | {n: shaped(f, doc[n]) for n, f in schema.fields.items() if n in doc}, ensure_ascii=False)
 
-
-def valid_name(name: str) -> bool:
-    return bool(re.fullmatch(r"[\w.-]+", name))

@@ -2,6 +2,7 @@
 
     schema.json, manifest.json         the manifest lists the committed generations, and is replaced by a rename
     data/_gen=N                        documents of commit N with their tokens, one row a key
+    postings/_gen=N/field=/bucket=     positions of each term in each document, by the hash of the term
     gone/_gen=N                        keys that commit N wrote or deleted: earlier rows of them are dead
     pending/<n>                        operations that are not committed yet; they survive a restart
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
-from ..plans.features import analyzed
+from ..plans.features import analyzed, postings_of
 from ..plans.search import Result, Searcher
 from ..schema import Schema
 from .files import Folder, as_json_line, check_documents, parse_lines, read_ids, read_jsonl
@@ -124,19 +125,31 @@ class Index:
         latest = Window.partitionBy(id_).orderBy(F.desc("_batch"), F.desc("_seq"))
         last = ops.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "_batch", "_seq")
         fresh = analyzed(last.where("not _delete").drop("_delete"), self.schema, self.schema.text_fields())
-        fresh.write.mode("overwrite").parquet(f"{self.path}/data/_gen={gen}")
+        self._write(fresh, gen)
         ops.select(id_).distinct().write.mode("overwrite").parquet(f"{self.path}/gone/_gen={gen}")
         self._set_manifest([*state["generations"], gen], gen)
         self.folder.delete("pending")
         return gen
 
+    def _write(self, docs: DataFrame, gen: int) -> None:
+        for name in self.schema.text_fields():
+            toks = F.col(f"_tok_{name}")
+            alone = self.schema.fields[name].many and not self.schema.index_analyzer(name).stacked
+            docs = docs.withColumn(f"_len_{name}", F.size(F.array_compact(toks)) if alone else F.size(toks))
+        docs.write.mode("overwrite").parquet(f"{self.path}/data/_gen={gen}")
+        written = self.spark.read.parquet(f"{self.path}/data/_gen={gen}")
+        postings = postings_of(written, self.schema)
+        if postings is not None:
+            spread = postings.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term")
+            spread.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{self.path}/postings/_gen={gen}")
+
     def compact(self) -> int:
         """Rewrites the live documents as one generation; nothing to do for one or none."""
         state = self.manifest()
         if len(state["generations"]) <= 1:
             return state["last"]
         gen = state["last"] + 1
-        self._live(state["generations"]).drop("_gen").write.mode("overwrite").parquet(f"{self.path}/data/_gen={gen}")
+        self._write(self._live(state["generations"]).drop("_gen"), gen)
         empty = self.spark.createDataFrame([], f"`{self.schema.doc_id_field}` string")
         empty.write.mode("overwrite").parquet(f"{self.path}/gone/_gen={gen}")
         self._set_manifest([gen], gen)
@@ -156,10 +169,21 @@ class Index:
         gone = read("gone").groupBy(F.col(id_).alias("_key")).agg(F.max("_gen").cast("int").alias("_last"))
         return docs.join(gone, (docs[id_] == gone["_key"]) & (docs["_gen"] < gone["_last"]), "left_anti")
 
+    def _postings(self, generations: list[int]) -> DataFrame | None:
+        """Of dead documents too: they meet no live row of their generation."""
+        if not generations or not self.schema.text_fields():
+            return None
+        out = None
+        kinds = f"`{self.schema.doc_id_field}` string, term string, positions array<int>, field string, bucket int"
+        for g in generations:
+            one = self.spark.read.schema(kinds).parquet(f"{self.path}/postings/_gen={g}").withColumn("_gen", F.lit(g))
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def reader(self) -> Searcher:
         """A snapshot: later commits don't change what it sees."""
         state = self.manifest()
-        return Searcher(self._live(state["generations"]), self.schema, state["last"])
+        return Searcher(self._live(state["generations"]), self.schema, state["last"], self._postings(state["generations"]))
 
     def search(self, request: dict) -> Result:
         return self.reader().search(request)

@@ -82,3 +82,23 @@ def test_schema_rules_and_round_trip():
     for bad in ({"doc_id_field": "body"}, {"text_fields": [{"name": "body", "analyzer": "none"}]}, {"vector_fields": [{"name": "v", "dim": 0}]}, {"keyword_fields": [{"name": "body"}]}):
         with pytest.raises(SchemaError):
             Schema.from_json(SCHEMA | bad)
+
+
+def test_postings_give_what_a_scan_gives(spark, tmp_path):
+    from tamarack.sources.index import in_memory
+
+    schema = {"text_fields": [{"name": "body"}, {"name": "title", "analyzer": "grams"}], "keyword_fields": [{"name": "tag"}], "analyzers": [{"name": "grams", "filters": [{"type": "edge_ngram", "min": 1, "max": 4}]}]}
+    docs = [{"_id": str(i), "body": f"rust w{i % 3} engine {'fast ' * (i % 4)}end", "title": f"name{i % 2}", "tag": "x"} for i in range(9)] + [{"_id": "e", "body": ""}]
+    index = Index.create(spark, f"{tmp_path}/i", schema)
+    index.add(docs)
+    index.commit()
+    index.add([{"_id": "3", "body": "rust fast fast"}, {"_id": "1", "body": "nothing"}])
+    index.delete(["2"])
+    index.commit()
+    live = index.reader()
+    scan = in_memory(live.docs.drop("_tok_body", "_tok_title", "_len_body", "_len_title"), schema)
+    term = lambda f, v: {"type": "term", "field": f, "value": v}
+    queries = ["fast engine", "rust -w0", '"fast fast" rust', {"type": "bool", "must": [term("title", "name")], "must_not": [term("body", "w1")]}, {"type": "prefix", "field": "body", "value": "w"}, {"type": "bool", "should": [term("tag", "x"), term("body", "fast")]}, "absent"]
+    for q in queries:
+        both = [[(h["_id"], round(h["_score"], 9)) for h in s.search({"query": q, "limit": 50}).page()[0]] for s in (live, scan)]
+        assert both[0] == both[1], q
