@@ -9,7 +9,7 @@ from .functions.analysis import LOWER, UPPER
 from .functions.columns import wall_ms
 from .operators.aggregations import Aggregator
 from .plans.search import Searcher
-from .schema import Schema
+from .schema import Field, Schema
 from .streaming.ingest import latest
 
 QUERIES: dict = {}
@@ -26,13 +26,15 @@ def query(sql: str):
 
 # ---------------------------------------------------------------- tables as indexes
 
-DOCUMENTS = Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "text"}], "keyword_fields": [{"name": "lang"}, {"name": "source"}], "numeric_fields": [{"name": "n_chars", "i64": True}]})
-EVENTS = Schema.from_json({"doc_id_field": "id", "keyword_fields": [{"name": "event_type"}], "numeric_fields": [{"name": "ts", "i64": True}, {"name": "user_id", "i64": True}, {"name": "value"}, {"name": "maybe"}]})
-LINEITEM = Schema.from_json({"doc_id_field": "id", "keyword_fields": [{"name": "l_returnflag"}, {"name": "l_linestatus"}], "numeric_fields": [{"name": "l_quantity"}, {"name": "l_extendedprice"}, {"name": "l_discount"}, {"name": "ship", "i64": True}]})
-ORDERS = Schema.from_json({"doc_id_field": "id", "keyword_fields": [{"name": "o_orderstatus"}, {"name": "o_orderpriority"}], "numeric_fields": [{"name": "o_totalprice"}, {"name": "o_orderdate", "i64": True}, {"name": "o_custkey", "i64": True}]})
-FOLDED = Schema.from_json({"doc_id_field": "id", "numeric_fields": [{"name": "o_totalprice"}], "nested_fields": [{"name": "item", "fields": [{"type": "keyword", "name": "flag"}, {"type": "numeric", "name": "quantity"}, {"type": "numeric", "name": "line", "i64": True}]}]})
-PART = Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "p_name"}], "keyword_fields": [{"name": "p_brand"}, {"name": "p_type"}], "numeric_fields": [{"name": "p_size", "i64": True}, {"name": "p_retailprice"}]})
-VECTORS = Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "text"}], "keyword_fields": [{"name": "lang"}], "vector_fields": [{"name": "v", "dim": 64, "metric": "Cosine"}, {"name": "w", "dim": 64, "metric": "L2"}]})
+_ITEM = Field("item", "nested", True, fields={"flag": Field("flag", "keyword", fast=True), "quantity": Field("quantity", "f64", fast=True), "line": Field("line", "i64", fast=True)})
+DOCUMENTS = Schema.of("id", text="text", keyword="lang source", i64="n_chars")
+EVENTS = Schema.of("id", keyword="event_type", i64="ts user_id", f64="value maybe")
+LINEITEM = Schema.of("id", keyword="l_returnflag l_linestatus", i64="ship", f64="l_quantity l_extendedprice l_discount")
+ORDERS = Schema.of("id", keyword="o_orderstatus o_orderpriority", i64="o_orderdate o_custkey", f64="o_totalprice")
+FOLDED = Schema.of("id", f64="o_totalprice", more=[_ITEM])
+PART = Schema.of("id", text="p_name", keyword="p_brand p_type", i64="p_size", f64="p_retailprice")
+VECTORS = Schema.of("id", text="text", keyword="lang", more=[Field("v", "vector", dim=64), Field("w", "vector", dim=64, metric="L2")])
+MATCH_ALL = {"type": "match_all"}
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -77,6 +79,10 @@ def with_vectors(spark: SparkSession, sf: str) -> Searcher:
     return Searcher(joined.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", F.col("embedding").alias("v"), F.col("embedding").alias("w")), VECTORS)
 
 
+def word(value: str, boost: float = 1.0) -> dict:
+    return {"type": "term", "field": "text", "value": value, "boost": boost}
+
+
 def scores(s: Searcher, request: dict) -> DataFrame:
     """(id, score) of everything that matches."""
     found, _ = s.matches(request)
@@ -84,7 +90,7 @@ def scores(s: Searcher, request: dict) -> DataFrame:
 
 
 def buckets(s: Searcher, aggs: dict, name: str, where: dict | None = None) -> DataFrame:
-    found, _ = s.matches({"query": {"type": "match_all"}} | ({"filter": where} if where else {}))
+    found, _ = s.matches({"query": MATCH_ALL} | ({"filter": where} if where else {}))
     return Aggregator(s.schema, s.docs).frame(found, aggs, name).drop("_ord")
 
 
@@ -124,9 +130,9 @@ def bm25_top10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(bm25_sql({"worthless": 1, "pathetic": 1, "garbage": 2}) + f" SELECT id, round(b0 + b1 + b2, 6) AS score FROM s WHERE {has('the')} AND b0 + b1 + b2 > 0 AND NOT {has('idiot')} AND ((b0 > 0)::INT + (b1 > 0)::INT + (b2 > 0)::INT) >= 1 AND n_chars BETWEEN 100 AND 5000")
 def bool_must_should_not(spark: SparkSession, sf: str) -> DataFrame:
-    should = [{"type": "term", "field": "text", "value": "worthless"}, {"type": "term", "field": "text", "value": "pathetic"}, {"type": "term", "field": "text", "value": "garbage", "boost": 2.0}]
+    should = [word("worthless"), word("pathetic"), word("garbage", 2.0)]
     must = {"type": "phrase", "field": "text", "terms": ["the"]}
-    q = {"type": "bool", "must": [must], "should": should, "must_not": [{"type": "term", "field": "text", "value": "idiot"}], "filter": [{"I64Range": {"field": "n_chars", "min": 100, "max": 5000}}], "minimum_should_match": 1}
+    q = {"type": "bool", "must": [must], "should": should, "must_not": [word("idiot")], "filter": [{"I64Range": {"field": "n_chars", "min": 100, "max": 5000}}], "minimum_should_match": 1}
     return scores(documents(spark, sf), {"query": q})
 
 
@@ -159,7 +165,7 @@ def multi_match_cross(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(bm25_sql({"worthless": 1.5, "pathetic": 1}) + " SELECT id, round(greatest(b0, b1) + 0.4 * (b0 + b1 - greatest(b0, b1)), 6) AS score FROM s WHERE b0 > 0 OR b1 > 0")
 def dis_max_tie(spark: SparkSession, sf: str) -> DataFrame:
-    q = {"type": "dis_max", "queries": [{"type": "term", "field": "text", "value": "worthless", "boost": 1.5}, {"type": "term", "field": "text", "value": "Pathetic"}], "tie_breaker": 0.4}
+    q = {"type": "dis_max", "queries": [word("worthless", 1.5), word("Pathetic")], "tie_breaker": 0.4}
     return scores(documents(spark, sf), {"query": q})
 
 
@@ -216,13 +222,13 @@ def suggest_prefix(spark: SparkSession, sf: str) -> DataFrame:
 @query(bm25_sql({"worthless": 1}) + " SELECT id, round(CASE WHEN b0 = 0 THEN 1 ELSE b0 END * (pow(0.5, abs(n_chars - 1000) / 500.0::DOUBLE) + CASE WHEN lang = 'en' THEN 2 ELSE 0 END), 6) AS score FROM s WHERE b0 > 0")
 def function_score_decay(spark: SparkSession, sf: str) -> DataFrame:
     fs = [{"type": "decay", "field": "n_chars", "origin": 1000.0, "scale": 500.0, "decay": 0.5, "function": "exp"}, {"type": "weight", "weight": 2.0, "filter": {"KeywordEq": {"field": "lang", "value": "en"}}}]
-    return scores(documents(spark, sf), {"query": {"type": "function_score", "query": {"type": "term", "field": "text", "value": "worthless"}, "functions": fs}})
+    return scores(documents(spark, sf), {"query": {"type": "function_score", "query": word("worthless"), "functions": fs}})
 
 
 @query("SELECT p_partkey::VARCHAR AS id, round(ln(1 + 1.5 * p_size) + 1.0, 6) AS score FROM part WHERE ln(1 + 1.5 * p_size) + 1.0 >= 3")
 def field_value_factor(spark: SparkSession, sf: str) -> DataFrame:
     fs = [{"type": "field_value_factor", "field": "p_size", "factor": 1.5, "modifier": "log1p"}]
-    return scores(part(spark, sf), {"query": {"type": "function_score", "query": {"type": "match_all"}, "functions": fs, "boost_mode": "sum", "min_score": 3.0}})
+    return scores(part(spark, sf), {"query": {"type": "function_score", "query": MATCH_ALL, "functions": fs, "boost_mode": "sum", "min_score": 3.0}})
 
 
 @query("SELECT p_partkey::VARCHAR AS id, round(sqrt(p_retailprice) * 0.5, 6) AS score FROM part")
@@ -232,7 +238,7 @@ def rank_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey::VARCHAR AS id, round(2 * (1 + p_retailprice / (p_size - 7.0::DOUBLE)), 6) AS score FROM part WHERE p_size <> 7")
 def script_score(spark: SparkSession, sf: str) -> DataFrame:
-    return scores(part(spark, sf), {"query": {"type": "script_score", "query": {"type": "match_all"}, "script": "_score + p_retailprice / (p_size - k)", "params": {"k": 7}, "boost": 2.0}})
+    return scores(part(spark, sf), {"query": {"type": "script_score", "query": MATCH_ALL, "script": "_score + p_retailprice / (p_size - k)", "params": {"k": 7}, "boost": 2.0}})
 
 
 @query("SELECT doc_id::VARCHAR AS id, 2.5::DOUBLE AS score FROM documents WHERE lower(source) IN ('src3', 'src4')")
@@ -245,7 +251,7 @@ def constant_score(spark: SparkSession, sf: str) -> DataFrame:
     + ", r AS (SELECT id, b0, b1, row_number() OVER (ORDER BY b0 DESC, id) AS rn FROM s WHERE b0 > 0), x AS (SELECT id, rn <= 20 AS win, rn, CASE WHEN rn <= 20 AND b1 > 0 THEN b0 + b1 ELSE b0 END AS sc FROM r), o AS (SELECT id, sc, row_number() OVER (ORDER BY win DESC, CASE WHEN win THEN sc END DESC NULLS LAST, CASE WHEN NOT win THEN rn END, id) AS pos FROM x) SELECT id, round(sc, 6) AS score FROM o WHERE pos <= 30"
 )
 def rescore_window(spark: SparkSession, sf: str) -> DataFrame:
-    r = documents(spark, sf).search({"query": {"type": "term", "field": "text", "value": "worthless"}, "limit": 30, "rescore": {"window_size": 20, "query": {"type": "term", "field": "text", "value": "pathetic"}}})
+    r = documents(spark, sf).search({"query": word("worthless"), "limit": 30, "rescore": {"window_size": 20, "query": word("pathetic")}})
     return r.hits.limit(30).select("id", F.round("_score", 6).alias("score"))
 
 
@@ -255,24 +261,24 @@ def rescore_window(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey::VARCHAR AS id FROM orders WHERE (lower(o_orderstatus) = 'o' OR lower(o_orderpriority) IN ('1-urgent', '2-high')) AND o_totalprice BETWEEN 50000 AND 150000")
 def filter_kw_range(spark: SparkSession, sf: str) -> DataFrame:
     either = {"Or": [{"KeywordEq": {"field": "o_orderstatus", "value": "O"}}, {"KeywordIn": {"field": "o_orderpriority", "values": ["1-URGENT", "2-high"]}}]}
-    return scores(orders(spark, sf), {"query": {"type": "match_all"}, "filter": {"And": [either, {"F64Range": {"field": "o_totalprice", "min": 50000.0, "max": 150000.0}}]}}).select("id")
+    return scores(orders(spark, sf), {"query": MATCH_ALL, "filter": {"And": [either, {"F64Range": {"field": "o_totalprice", "min": 50000.0, "max": 150000.0}}]}}).select("id")
 
 
 @query("SELECT event_id::VARCHAR AS id FROM events WHERE NOT coalesce(value > 50 AND value BETWEEN 0 AND 80, false)")
 def filter_not_null_safe(spark: SparkSession, sf: str) -> DataFrame:
-    return scores(events(spark, sf), {"query": {"type": "match_all"}, "filter": {"Not": {"F64Range": {"field": "maybe", "min": 0.0, "max": 80.0}}}}).select("id")
+    return scores(events(spark, sf), {"query": MATCH_ALL, "filter": {"Not": {"F64Range": {"field": "maybe", "min": 0.0, "max": 80.0}}}}).select("id")
 
 
 @query("SELECT o_orderkey::VARCHAR AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND lower(l_returnflag) = 'r' AND l_quantity BETWEEN 40 AND 50 AND l_linenumber BETWEEN 1 AND 2)")
 def nested_same_object(spark: SparkSession, sf: str) -> DataFrame:
     of = lambda f: {"Nested": {"path": "item", "filter": f}}
     both = {"And": [of({"KeywordEq": {"field": "flag", "value": "R"}}), of({"F64Range": {"field": "quantity", "min": 40.0, "max": 50.0}}), of({"I64Range": {"field": "line", "min": 1, "max": 2}})]}
-    return scores(folded(spark, sf), {"query": {"type": "match_all"}, "filter": both}).select("id")
+    return scores(folded(spark, sf), {"query": MATCH_ALL, "filter": both}).select("id")
 
 
 @query("SELECT o_orderkey::VARCHAR AS id FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND lower(l_returnflag) = 'r') AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND lower(l_returnflag) = 'a')")
 def nested_any_object(spark: SparkSession, sf: str) -> DataFrame:
-    return scores(folded(spark, sf), {"query": {"type": "match_all"}, "filter": {"And": [{"KeywordEq": {"field": "item.flag", "value": "r"}}, {"KeywordEq": {"field": "item.flag", "value": "a"}}]}}).select("id")
+    return scores(folded(spark, sf), {"query": MATCH_ALL, "filter": {"And": [{"KeywordEq": {"field": "item.flag", "value": "r"}}, {"KeywordEq": {"field": "item.flag", "value": "a"}}]}}).select("id")
 
 
 # ---------------------------------------------------------------- vectors
@@ -298,7 +304,7 @@ def knn_l2_filtered(spark: SparkSession, sf: str) -> DataFrame:
     + f", c AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {_QV}) AS v FROM embeddings JOIN tok ON doc_id = vec_id WHERE {has('worthless')} ORDER BY v DESC, vec_id::VARCHAR LIMIT 200) SELECT id, round(0.7 * b0 + 0.3 * coalesce(v, -1), 5) AS score FROM s LEFT JOIN c ON vec_id = doc_id WHERE b0 > 0 ORDER BY 0.7 * b0 + 0.3 * coalesce(v, -1) DESC, id LIMIT 100"
 )
 def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
-    r = with_vectors(spark, sf).search({"query": {"type": "term", "field": "text", "value": "worthless"}, "vector_query": ["v", QUERY_VECTOR, 0.7], "limit": 100})
+    r = with_vectors(spark, sf).search({"query": word("worthless"), "vector_query": ["v", QUERY_VECTOR, 0.7], "limit": 100})
     return r.hits.limit(100).select("id", F.round("_score", 5).alias("score"))
 
 
@@ -314,7 +320,7 @@ def terms_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT l_returnflag AS k0, l_linestatus AS k1, count(*) AS n, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1, 2")
 def terms_nested(spark: SparkSession, sf: str) -> DataFrame:
     s = lineitem(spark, sf)
-    found, _ = s.matches({"query": {"type": "match_all"}})
+    found, _ = s.matches({"query": MATCH_ALL})
     agg = Aggregator(s.schema, s.docs)
     levels, _, _ = agg.levels({"a": {"type": "terms", "field": "l_returnflag", "aggs": {"b": {"type": "terms", "field": "l_linestatus", "aggs": {"p": {"type": "stats", "field": "l_extendedprice"}}}}}}, [], 0)
     agg.build(levels[0], found)
@@ -329,7 +335,7 @@ def rare_terms(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH fg AS (SELECT source AS key, count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY 1), bg AS (SELECT source AS key, count(*) AS m FROM documents GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents WHERE lang = 'fr') AS ft, (SELECT count(*) FROM documents) AS bt) SELECT key, n AS doc_count, m AS bg_count, round((n / ft) / (m / bt), 6) AS score FROM fg JOIN bg USING (key), t")
 def significant_terms(spark: SparkSession, sf: str) -> DataFrame:
     s = documents(spark, sf)
-    found, _ = s.matches({"query": {"type": "match_all"}, "filter": {"KeywordEq": {"field": "lang", "value": "fr"}}})
+    found, _ = s.matches({"query": MATCH_ALL, "filter": {"KeywordEq": {"field": "lang", "value": "fr"}}})
     agg = Aggregator(s.schema, s.docs)
     levels, _, _ = agg.levels({"s": {"type": "significant_terms", "field": "source", "size": 50}}, [], 0)
     agg.build(levels[0], found)
@@ -378,7 +384,7 @@ def date_hist_month(spark: SparkSession, sf: str) -> DataFrame:
 def composite_page2(spark: SparkSession, sf: str) -> DataFrame:
     sources = [{"type": "terms", "name": "flag", "field": "l_returnflag"}, {"type": "histogram", "name": "q", "field": "l_quantity", "interval": 10.0}]
     s = lineitem(spark, sf)
-    found, _ = s.matches({"query": {"type": "match_all"}})
+    found, _ = s.matches({"query": MATCH_ALL})
     f = Aggregator(s.schema, s.docs).frame(found, {"c": {"type": "composite", "sources": sources, "size": 7, "after": {"flag": "A", "q": 20.0}}}, "c")
     return f.where("_ord <= 7").select("key.flag", "key.q", F.col("doc_count").alias("n"))
 
@@ -386,7 +392,7 @@ def composite_page2(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT count(*) AS count, round(sum(coalesce(maybe, 7)), 4) AS sum, round(var_pop(coalesce(maybe, 7)), 4) AS variance, round(stddev_pop(coalesce(maybe, 7)), 4) AS std_deviation FROM (SELECT CASE WHEN value > 50 THEN value END AS maybe FROM events)")
 def ext_stats(spark: SparkSession, sf: str) -> DataFrame:
     s = events(spark, sf)
-    found, _ = s.matches({"query": {"type": "match_all"}})
+    found, _ = s.matches({"query": MATCH_ALL})
     x = Aggregator(s.schema, s.docs).grouped(found, [], {"m": ("extended_stats", {"field": "maybe", "missing": 7})}).select("_m_m.*")
     return x.select("count", *[F.round(c, 4).alias(c) for c in ("sum", "variance", "std_deviation")])
 
@@ -451,20 +457,20 @@ def bucket_script(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH r AS (SELECT event_type AS \"group\", event_id::VARCHAR AS id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id::VARCHAR) AS rn FROM (SELECT * FROM events ORDER BY value DESC, event_id::VARCHAR LIMIT 201)) SELECT id, round(value, 6) AS value FROM r WHERE rn = 1")
 def collapse_top1(spark: SparkSession, sf: str) -> DataFrame:
-    r = events(spark, sf).search({"query": {"type": "match_all"}, "sort": [{"field": "value", "order": "desc"}], "limit": 100, "candidate_size": 200, "collapse": {"field": "event_type"}})
+    r = events(spark, sf).search({"query": MATCH_ALL, "sort": [{"field": "value", "order": "desc"}], "limit": 100, "candidate_size": 200, "collapse": {"field": "event_type"}})
     return r.hits.select("id", F.round("_s0", 6).alias("value"))
 
 
 @query("SELECT event_id::VARCHAR AS id, CASE WHEN value > 50 THEN value END AS v FROM events ORDER BY v NULLS LAST, event_id::VARCHAR LIMIT 50")
 def sort_missing_last(spark: SparkSession, sf: str) -> DataFrame:
-    r = events(spark, sf).search({"query": {"type": "match_all"}, "sort": [{"field": "maybe"}], "limit": 50})
+    r = events(spark, sf).search({"query": MATCH_ALL, "sort": [{"field": "maybe"}], "limit": 50})
     return r.hits.limit(50).select("id", F.col("_s0").alias("v"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS id FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey::VARCHAR LIMIT 20 OFFSET 20")
 def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     s = orders(spark, sf)
-    request = {"query": {"type": "match_all"}, "sort": [{"field": "o_orderpriority"}, {"field": "o_totalprice", "order": "desc"}], "limit": 20}
+    request = {"query": MATCH_ALL, "sort": [{"field": "o_orderpriority"}, {"field": "o_totalprice", "order": "desc"}], "limit": 20}
     _, cursor = s.search(request).page()
     return s.search(request | {"cursor": cursor}).hits.limit(20).select("id")
 

@@ -79,6 +79,14 @@ class Schema:
             fields.append(Field(x["name"], "vector", nullable=x.get("nullable", True), dim=x["dim"], metric=x.get("metric", "Cosine")))
         return cls(fields, spec.get("doc_id_field", "_id"), spec.get("analyzers"))
 
+    @classmethod
+    def of(cls, id: str = "_id", text: str = "", keyword: str = "", i64: str = "", f64: str = "", more: list[Field] = ()) -> "Schema":
+        """A schema with default options from names set apart by spaces; names that end in * hold several values."""
+        fields = []
+        for kind, names in (("text", text), ("keyword", keyword), ("i64", i64), ("f64", f64)):
+            fields += [Field(n.rstrip("*"), kind, n.endswith("*"), fast=kind != "text", indexed=kind in ("text", "keyword")) for n in names.split()]
+        return cls([*fields, *more], id)
+
     @staticmethod
     def _keyword(x: dict) -> Field:
         return Field(x["name"], "keyword", x.get("many", False), x.get("stored", True), x.get("indexed", True), x.get("fast", True), x.get("nullable", True))

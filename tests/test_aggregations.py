@@ -3,9 +3,10 @@
 import pytest
 
 from tamarack.errors import AggregationError
+from tamarack.schema import Schema
 from tamarack.sources.index import in_memory
 
-SCHEMA = {"keyword_fields": [{"name": "tag"}, {"name": "tags", "many": True}], "numeric_fields": [{"name": "views", "i64": True}, {"name": "ts", "i64": True}, {"name": "scores", "many": True}]}
+SCHEMA = Schema.of(keyword="tag tags*", i64="views ts", f64="scores*")
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,8 @@ def docs(spark):
 
 
 def run(docs, aggs, **more):
-    return docs.search({"query": {"type": "match_all"}, "aggs": aggs} | more).aggregations
+    request = dict(aggs=aggs, query=dict(type="match_all"), **more)
+    return docs.search(request).aggregations
 
 
 def counts(x):
@@ -56,7 +58,7 @@ def test_date_histograms(docs):
 
 def test_calendar(spark):
     ms = [1704067200000, 1706659200000, 1706745600000]  # 1 and 31 January, 1 February 2024
-    s = in_memory(spark.createDataFrame([(str(i), m) for i, m in enumerate(ms)], "_id string, ts long"), {"numeric_fields": [{"name": "ts", "i64": True}]})
+    s = in_memory(spark.createDataFrame([(str(i), m) for i, m in enumerate(ms)], "_id string, ts long"), Schema.of(i64="ts"))
     x = run(s, {"d": {"type": "date_histogram", "field": "ts", "calendar_interval": "month", "extended_bounds": {"min": "2024-01-01T00:00:00Z", "max": "2024-03-10T00:00:00Z"}}})["d"]
     assert counts(x) == [(1704067200000, 2), (1706745600000, 1), (1709251200000, 0)]
 
