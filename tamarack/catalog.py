@@ -41,8 +41,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores is small: it is dealt out, so that all of them tokenize. Larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf: str) -> Searcher:
-    d = read(spark, sf, "documents")
+    d = spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     return Searcher(d.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source", "n_chars"), DOCUMENTS)
 
 
