@@ -19,6 +19,8 @@ from .common import chunks, table, text_buffers
 
 DIMENSIONS = 1 << 15
 CENTROIDS = 3
+#: A cluster has at least this share of an even part of its language's sample, and so many documents.
+SHARE, LEAST = 0.2, 8
 #: Labelled documents for each language that the centroids are fitted to, at most.
 SAMPLE = 600
 #: A document is rejected below this share of the least similarity (1 in 200 left out) among sampled documents of its size.
@@ -119,22 +121,41 @@ def band(size: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), BANDS - 1)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of unit rows by spherical k-means; begins with the row nearest the mean, then the farthest rows."""
-    mean = x.mean(0)
-    chosen = [int((x @ mean).argmax())]
-    near = x @ x[chosen[0]]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[chosen[-1]])
-    c = x[chosen].copy()
-    for _ in range(rounds):
-        of = (x @ c.T).argmax(1)
-        for i in range(len(c)):
-            if (of == i).any():
-                m = x[of == i].mean(0)
+def cluster(x: np.ndarray, k: int, rounds: int = 12, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(unit centroids of unit rows by spherical k-means, the cluster of each row or -1).
+
+    Seeds are drawn as in k-means++ from a fixed generator. A cluster of under LEAST rows, or `share` of an even part of
+    them, is no kind of text but outliers: its rows are set aside and the rest is clustered anew. Once half of the rows
+    are set aside, all rows are one cluster.
+    """
+    rng, of = np.random.default_rng(0), np.zeros(len(x), np.int64)
+    rows, k = np.arange(len(x)), max(1, min(k, len(x) // LEAST))
+    while 2 * len(rows) > len(x):
+        y = x[rows]
+        chosen = [int(rng.integers(len(y)))]
+        while len(chosen) < min(k, len(y)):
+            far = np.maximum(1 - (y @ y[chosen].T).max(1).astype(np.float64), 0)
+            far[chosen] = 0
+            if far.sum() < 1e-6 * len(y):
+                break
+            chosen.append(int(rng.choice(len(y), p=far / far.sum())))
+        c = y[chosen].copy()
+        for _ in range(rounds):
+            near = (y @ c.T).argmax(1)
+            for i in np.unique(near):
+                m = y[near == i].mean(0)
                 c[i] = m / max(np.linalg.norm(m), 1e-12)
-    return c
+        near = (y @ c.T).argmax(1)
+        small = np.bincount(near, minlength=len(c)) < min(len(x), max(LEAST, share * len(x) / len(c)))
+        if not small.any():
+            of[:] = -1
+            of[rows] = near
+            return c, of
+        if not small[near].any():  # an empty cluster has no rows to set aside
+            k = int((~small).sum())
+        rows = rows[~small[near]]
+    m = x.mean(0)
+    return (m / max(np.linalg.norm(m), 1e-12))[None], of
 
 
 def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
@@ -147,7 +168,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Mo
     for lang, m in per.items():
         share = F.when(F.col("lang") == lang, min(1 << 30, int((1 << 30) * 0.9 * sample / m) if m > sample else 1 << 30)).otherwise(share)
     picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("lang", "text")
-    t = picked.mapInArrow(_sample_batches, "lang string, dims binary, counts binary").toArrow().sort_by([("lang", "ascending"), ("dims", "ascending")])
+    t = picked.mapInArrow(_sample_batches, "lang string, dims binary, counts binary").toArrow().sort_by([("lang", "ascending"), ("dims", "ascending"), ("counts", "ascending")])
     langs = np.array(t.column("lang").to_pylist(), object)
     dims = [np.frombuffer(x, np.uint16).astype(np.int64) for x in t.column("dims").to_pylist()]
     counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in t.column("counts").to_pylist()]
@@ -160,7 +181,7 @@ def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Mo
         for i, j in enumerate(own):
             x[i, dims[j]] = (1 + np.log(counts[j])) * idf[dims[j]]
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        c = cluster(x, centroids)
+        c, _ = cluster(x, centroids)
         columns.append(c)
         names += [lang] * len(c)
     matrix = np.ascontiguousarray((np.concatenate(columns) if columns else np.zeros((0, DIMENSIONS), np.float32)).T)

@@ -348,6 +348,35 @@ def test_language(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_language_clusters_hold_no_outliers():
+    rng = np.random.default_rng(3)
+    kinds = np.repeat(np.eye(40)[:3], 60, axis=0) + 0.1 * rng.random((180, 40))
+    x = np.concatenate([kinds, np.eye(40)[10:14]])
+    c, of = language.cluster((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), 3)
+    assert sorted(c[:, :3].argmax(1)) == [0, 1, 2] and (c[:, 10:14] < 0.2).all() and np.bincount(of[of >= 0]).min() >= 60
+    same = np.ones((30, 40), np.float32) / np.sqrt(np.float32(40))
+    for rows in (same, same[:1], same[:9]):
+        c, of = language.cluster(rows, 3)
+        assert len(c) == 1 and np.allclose(c[0], same[0], atol=1e-5) and len(of) == len(rows)
+
+
+def test_language_rejects_codes(spark, monkeypatch):
+    rng, sizes, cluster = random.Random(4), [], language.cluster
+
+    def counted(x, k):
+        c, of = cluster(x, k)
+        sizes.append(np.bincount((x @ c.T).argmax(1), minlength=len(c)) / len(x))
+        return c, of
+
+    monkeypatch.setattr(language, "cluster", counted)
+    model = language.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert len(sizes) == 4 and all(len(x) == 3 and x.min() >= 0.05 for x in sizes)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    texts = [" ".join(f"{rng.getrandbits(128):032x}" for _ in range(n)) for n in (4, 30, 120) for _ in range(40)]
+    texts += [" ".join("".join(rng.choice(signs) for _ in range(32)) for _ in range(n)) for n in (4, 30, 120) for _ in range(40)]
+    assert language.identify(docs_of(spark, texts), model).count() == 0
+
+
 # ---------------------------------------------------------------- 10
 
 
