@@ -21,13 +21,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÛÜ"
 
 @dataclass(frozen=True)
 class Rule:
+    """Bounds of a metric, for texts of at least so many words."""
+
     metric: str
     low: float | None = None
     high: float | None = None
+    words: int = 0
 
 
-#: A document is kept if each metric lies within its bounds (inclusive). Ratios of nothing are 0.
-RULES = (
+#: The rules that the registered SQL states.
+LISTED = (
     Rule("n_words", low=1),
     Rule("mean_word_length", low=1.0, high=40.0),
     Rule("symbol_ratio", high=0.05),
@@ -39,6 +42,9 @@ RULES = (
     Rule("bullet_line_ratio", high=0.95),
     Rule("ellipsis_line_ratio", high=0.5),
 )
+#: A document is kept if each metric lies within its bounds (inclusive). Ratios of nothing are 0. Of LISTED, the bounds of
+#: stop words never fail and those of repeated lines hardly ever; the ones added here decide. Texts of under 20 words may lack stop words.
+RULES = (*LISTED, Rule("stop_word_ratio", low=0.05, words=20), Rule("repeated_line_ratio", high=0.4))
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -88,7 +94,8 @@ def scored(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
         if r.metric not in every:
             raise ValueError(f"no metric {r.metric}; there are {', '.join(every)}")
         value = F.col("_metrics")[r.metric]
-        keep = keep & (F.lit(True) if r.low is None else value >= r.low) & (F.lit(True) if r.high is None else value <= r.high)
+        within = (F.lit(True) if r.low is None else value >= r.low) & (F.lit(True) if r.high is None else value <= r.high)
+        keep = keep & (within | (F.col("_metrics")["n_words"] < r.words) if r.words else within)
     return out.withColumn("_keep", keep).drop("_parts")
 
 
@@ -104,7 +111,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[F.round(F.col("_metrics")[n], 6).alias(n) if n != "n_words" else F.col("_metrics")[n].alias(n) for n in names])
 
 
-def _sql(rules=RULES) -> str:
+def _sql(rules=LISTED) -> str:
     q = lambda s: s.replace("'", "''")
     less = lambda s: f"length(t) - length(translate(t, '{q(s)}', ''))"
     ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b})::DOUBLE ELSE 0.0::DOUBLE END"
@@ -122,7 +129,8 @@ def _sql(rules=RULES) -> str:
         "bullet_line_ratio": lines("starts_with(x, '- ') OR starts_with(x, '* ') OR starts_with(x, '• ')"),
         "ellipsis_line_ratio": lines("ends_with(x, '...') OR ends_with(x, '…')"),
     }
-    bounds = " AND ".join(f"{r.metric} {op} {v}" for r in rules for op, v in ((">=", r.low), ("<=", r.high)) if v is not None)
+    short = lambda r, test: f"(n_words < {r.words} OR {test})" if r.words else test
+    bounds = " AND ".join(short(r, f"{r.metric} {op} {v}") for r in rules for op, v in ((">=", r.low), ("<=", r.high)) if v is not None)
     shown = ", ".join(n if n == "n_words" else f"round({n}, 6) AS {n}" for n in every)
     return f"""
 WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

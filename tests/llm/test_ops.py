@@ -95,6 +95,32 @@ def test_quality(spark):
         quality.keep_good(docs_of(spark, texts), (quality.Rule("nothing", low=1),))
 
 
+def test_each_quality_rule_rejects(spark):
+    line = "The cat and the dog went to the house of the man."
+    places = ["the hill", "a river", "the old town", "a stone", "the garden", "a tree"]
+    texts = {
+        "mean_word_length": "x" * 60,
+        "symbol_ratio": "The cat is on the mat # * % & and the dog is with it.",
+        "upper_ratio": "THE CAT IS ON THE MAT AND THE DOG is with it.",
+        "exclamation_ratio": "The cat!! is on the mat!! and the dog!! is with it.",
+        "stop_word_ratio": " ".join(f"wor{i}" for i in range(3000)),
+        "repeated_word_ratio": "It was very very very very very good for the man.",
+        "repeated_line_ratio": "\n".join([line] * 10),
+        "bullet_line_ratio": "\n".join(f"- The cat is by {x}." for x in places),
+        "ellipsis_line_ratio": "\n".join(f"The cat is by {x}..." for x in places),
+    }
+    assert {"n_words", *texts} == {r.metric for r in quality.RULES}
+    rows = docs_of(spark, [*texts.values(), line])
+    assert {r.doc_id for r in quality.keep_good(rows).collect()} == {len(texts)}
+    for i, metric in enumerate(texts):
+        others = [r for r in quality.RULES if r.metric != metric]
+        assert i in {r.doc_id for r in quality.keep_good(rows.where(f"doc_id = {i}"), others).collect()}, metric
+    blank = docs_of(spark, [" \n", None, "word"])
+    assert {r.doc_id for r in quality.keep_good(blank, (quality.Rule("n_words", low=1),)).collect()} == {2}
+    twice, nineteen, twenty = f"{line}\n{line}\n{line}\nIt is so.\nAll is well with it.", " ".join(f"wor{i}" for i in range(19)), " ".join(f"wor{i}" for i in range(20))
+    assert {r.doc_id for r in quality.keep_good(docs_of(spark, [twice, nineteen, twenty])).collect()} == {0, 1}
+
+
 # ---------------------------------------------------------------- 4
 
 
