@@ -6,8 +6,9 @@ the schedule maps the golden-ratio point frac((i + 1) * 0.618...) through the cu
 of rank r within its source takes block r modulo the source's blocks; r divided by them is the epoch. All of it is
 relational: ranks are running counts over buckets of slots, and slots meet blocks in an equi-join.
 
-There are as many slots as every block needs to come at least once: no document is lost, and a source that is small for
-its weight comes again in further epochs.
+There are as many slots as every block needs to come at least once: no document of a source with tokens is lost, and a
+source that is small for its weight comes again in further epochs. A source whose texts are all null or blank has no
+tokens, so without given weights its weight is 0: it gets no slot and its documents are left out, as in the SQL.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
 
 
 def op8_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slot, doc_id, source, epoch): the whole schedule over all documents."""
+    """(slot, doc_id, source, epoch): the whole schedule over all documents of sources that have tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = scheduled(docs)
     return docs.select("doc_id", "source", digest_of("doc_id", "text", "source").alias("_digest")).join(plan, "_digest").select(F.col("_slot").alias("slot"), "doc_id", "source", F.col("_epoch").alias("epoch"))

@@ -344,6 +344,12 @@ def test_mixture_odd_cases(spark):
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in df.collect()}
 
 
+def test_mixture_leaves_out_sources_without_tokens(spark):
+    df = docs_of(spark, [(1, "some words"), (2, None)], "a").unionByName(docs_of(spark, [(3, None), (4, " \n")], "b"))
+    assert {r.doc_id for r in mixing.mix(df).collect()} == {1, 2}
+    assert {r.doc_id for r in mixing.mix(df, {"a": 1.0, "b": 1.0}).collect()} == {1, 2, 3, 4}
+
+
 def test_schedule_is_even(spark):
     df = spark.createDataFrame([("=a", 0.0, 0.25), ("=b", 0.25, 1.0)], "_source string, _lo double, _hi double")
     rows = sorted((r._slot, r._source, r._rank) for r in mixing._slots(df, 400).collect())
