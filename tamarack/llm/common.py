@@ -51,6 +51,22 @@ def release() -> None:
             return  # the session has ended
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """For each stem a name that is none of the columns' in any letter case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,48 +1,51 @@
-"""Exact top-k neighbours of every row by best-first search in an M-tree.
-
-Subtrees hang on routing vectors taken from the table, each vector below the nearest. Inside a subtree leaf pages of at
-most PAGE vectors are routed by one of their own vectors, with a covering radius; every entry stores its distance to
-its page's router, and every page its router's distance to the subtree's root. A subtree is one row.
-
-Every page of queries descends a subtree best first, in the order of its pages' lower bounds. The stored distances give
-|d(q, root) - d(router, root)| - radius before d(q, router) is computed, and |d(q, router) - d(entry, router)| before
-d(q, entry) is; what these bounds exclude is never computed. First each subtree is searched for its own vectors, which
-gives every query an upper bound; then each pair of subtrees whose balls come within such a bound. Bounds err on the
-side of looking, and the distances that count are computed in double precision: the result is exact.
+"""Exact top-k neighbours by best-first search in an M-tree.
+
+The vectors hang on routing vectors taken from the table, each below the nearest; a router with its vectors is a subtree
+and one row of a table. Inside, nodes of at most FANOUT children end in leaf pages of at most PAGE vectors. Every node
+is routed by one of its own vectors, with a covering radius and the distance to its parent's router; every entry of a
+page stores its distance to the page's router.
+
+Queries descend a subtree in batches, best first: a queue holds nodes by the least lower bound of the queries that are
+still open there. The stored distances give |d(q, parent) - d(router, parent)| - radius before d(q, router) is computed,
+and |d(q, router) - d(entry, router)| before d(q, entry) is; what these bounds exclude is never computed. The search
+ends when the least bound in the queue exceeds the distance of every query's k-th neighbour. Each query is first
+answered in the subtree of its own router, which bounds its k-th distance, and then goes to those subtrees only whose
+balls come within that bound. Bounds err on the side of looking, and the distances that count are computed in double
+precision: the result is exact.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, table
+from .common import col, materialize, table
 
 K = 10
-PAGE = 256
+#: The registered query asks for the neighbours of the rows whose id is divisible by this.
+EVERY = 50
+PAGE = 64
+FANOUT = 16
 SUBTREE = 65_536
 SUBTREES = 6
+#: Queries that descend together, and queries that one copy of a subtree answers.
+BATCH = 64
+ASKED = 16_384
 #: Single-precision distances are trusted to this relative error.
 EPS = 1e-4
 
 
-def split_pages(x: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of each leaf page: halves by the difference of distances to two far vectors, until a page holds them."""
-    done, todo = [], [np.arange(len(x))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= PAGE:
-            done.append(rows)
-            continue
-        y = x[rows]
-        a = int(((y - y[0]) ** 2).sum(1).argmax())
-        b = int(((y - y[a]) ** 2).sum(1).argmax())
-        order = np.argsort(y @ (y[b] - y[a]), kind="stable")
-        half = len(rows) // 2
-        todo += [rows[order[:half]], rows[order[half:]]]
-    return done
+def halves(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves by the difference of distances to two far vectors."""
+    y = x[rows]
+    a = int(((y - y[0]) ** 2).sum(1).argmax())
+    b = int(((y - y[a]) ** 2).sum(1).argmax())
+    order = np.argsort(y @ (y[b] - y[a]), kind="stable")
+    return rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -61,72 +64,128 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Subtree:
-    """Vectors ordered by page; for each page its start, router, covering radius and distance to the root; for each entry its distance to the router."""
+    """Vectors ordered by page. For each node: its children [lo, hi) (vectors in a leaf), router, covering radius and distance to the parent's router; for each vector its distance to its page's router. Node 0 is the root."""
 
-    FIELDS = ("vectors", "ids", "start", "router", "radius", "to_root", "to_router", "root")
+    FIELDS = {"vectors": np.float32, "ids": np.int64, "lo": np.int64, "hi": np.int64, "leaf": np.bool_, "router": np.int64, "radius": np.float32, "to_parent": np.float32, "to_router": np.float32}
 
     @classmethod
-    def build(cls, ids: np.ndarray, x: np.ndarray, root: np.ndarray) -> "Subtree":
+    def build(cls, ids: np.ndarray, x: np.ndarray) -> "Subtree":
+        levels: list[list[list[np.ndarray]]] = []  # by level, the children's rows of each node
+
+        # Rows of each node, level by level: every node is split into FANOUT parts until it fits a page.
+        level = [np.arange(len(x))]
+        while any(len(rows) > PAGE for rows in level):
+            parts = []
+            for rows in level:
+                mine = [rows]
+                while len(mine) < FANOUT and max(map(len, mine)) > PAGE:
+                    mine = [h for part in mine for h in (halves(x, part) if len(part) > PAGE else (part,))]
+                parts.append(mine)
+            levels.append(parts)
+            level = [rows for mine in parts for rows in mine]
+        order = np.concatenate(level)
         self = cls()
-        pages = split_pages(x)
-        order = np.concatenate(pages)
-        self.vectors, self.ids, self.root = np.ascontiguousarray(x[order]), ids[order], root.astype(np.float32)
-        self.start = np.cumsum([0] + [len(p) for p in pages]).astype(np.int64)
-        router, radius, to_router = [], [], []
-        for a, b in zip(self.start[:-1], self.start[1:]):
-            y = self.vectors[a:b]
-            r = int(((y - y.mean(0)) ** 2).sum(1).argmin())
-            d = distances(y[r : r + 1], y)[0]
-            router.append(a + r)
-            radius.append(d.max())
-            to_router.append(d)
-        self.router, self.radius = np.array(router, np.int64), np.array(radius, np.float32)
-        self.to_router = np.concatenate(to_router).astype(np.float32)
-        self.to_root = distances(self.root[None], self.vectors[self.router])[0].astype(np.float32)
+        self.vectors, self.ids = np.ascontiguousarray(x[order], np.float32), ids[order]
+        # Rows lie in the order of the leaves, so every node is a range of them.
+        sizes = [np.array([len(rows) for mine in parts for rows in mine], np.int64) for parts in levels] or []
+        sizes = [np.array([len(x)], np.int64), *sizes]
+        nodes = {f: [] for f in ("lo", "hi", "leaf", "router", "radius", "to_parent")}
+        self.to_router = np.zeros(len(x), np.float32)
+        first, above = 0, None
+        for depth, size in enumerate(sizes):
+            begin = np.cumsum(size) - size
+            child = first + len(size)  # number of the first node of the next level
+            routers = np.zeros(len(size), np.int64)
+            for i, (a, n) in enumerate(zip(begin, size)):
+                y = self.vectors[a : a + n]
+                r = int(((y - y.mean(0)) ** 2).sum(1).argmin())
+                d = distances(y[r : r + 1], y)[0]
+                routers[i] = a + r
+                last = depth == len(sizes) - 1
+                many = 0 if last else len(levels[depth][i])
+                nodes["lo"].append(a if last else child)
+                nodes["hi"].append(a + n if last else child + many)
+                nodes["leaf"].append(last)
+                nodes["router"].append(a + r)
+                nodes["radius"].append(d.max())
+                if last:
+                    self.to_router[a : a + n] = d
+                child += many
+            if above is None:
+                nodes["to_parent"] += [0.0]
+            else:
+                parent = np.repeat(np.arange(len(levels[depth - 1])), [len(mine) for mine in levels[depth - 1]])
+                gaps = [distances(self.vectors[r][None], self.vectors[above[p]][None])[0, 0] for r, p in zip(routers, parent)]
+                nodes["to_parent"] += gaps
+            above, first = routers, first + len(size)
+        for f, v in nodes.items():
+            setattr(self, f, np.array(v, self.FIELDS[f]))
         return self
 
     def to_bytes(self) -> list[bytes]:
-        return [np.ascontiguousarray(getattr(self, f)).tobytes() for f in self.FIELDS]
+        return [np.ascontiguousarray(getattr(self, f), k).tobytes() for f, k in self.FIELDS.items()]
 
     @classmethod
     def of(cls, raw: list[bytes]) -> "Subtree":
         self = cls()
-        kinds = (np.float32, np.int64, np.int64, np.int64, np.float32, np.float32, np.float32, np.float32)
-        for f, r, k in zip(cls.FIELDS, raw, kinds):
+        for (f, k), r in zip(cls.FIELDS.items(), raw):
             setattr(self, f, np.frombuffer(r, k))
         self.vectors = self.vectors.reshape(len(self.ids), -1)
         return self
 
-    def slack(self, x: np.ndarray) -> float:
-        return EPS * float(1 + np.abs(x).max() + np.abs(self.vectors).max()) * max(1, self.vectors.shape[1]) ** 0.5
-
     def search(self, queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int):
         """(query row, id, distance) of up to k entries for each query, within its bound (inclusive), of other ids; ties by the lower id."""
+        rows, ids, dist = [], [], []
+        order = np.argsort(distances(queries, self.vectors[self.router[:1]])[:, 0], kind="stable") if len(queries) else np.zeros(0, np.int64)
+        for a in range(0, len(queries), BATCH):
+            at = order[a : a + BATCH]
+            i, n, d = self._search(queries[at], query_ids[at], bound[at], k)
+            rows.append(at[i])
+            ids.append(n)
+            dist.append(d)
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.concatenate(rows), np.concatenate(ids), np.concatenate(dist)
+
+    def _search(self, queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, k: int):
         n = len(queries)
         best_d, best_id = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        limit, slack = bound.astype(np.float64).copy(), self.slack(queries)
-        to_root = distances(queries, self.root[None])[:, 0]
-        # The first bound costs no distance: stored distances to the root, by the triangle inequality.
-        low = np.abs(to_root[:, None] - self.to_root[None, :]) - self.radius[None, :]
-        open_ = np.flatnonzero((low <= limit[:, None] + slack).any(0))
-        to_router = np.full((n, len(self.router)), np.inf, np.float32)
-        to_router[:, open_] = distances(queries, self.vectors[self.router[open_]])
-        low[:, open_] = np.maximum(low[:, open_], to_router[:, open_] - self.radius[None, open_])
-        for p in open_[np.argsort(low[:, open_].min(0), kind="stable")]:
-            q = np.flatnonzero(low[:, p] <= limit + slack)
+        limit = bound.astype(np.float64).copy()
+        slack = EPS * float(1 + np.abs(queries).max() + np.abs(self.vectors).max()) * max(1, self.vectors.shape[1]) ** 0.5
+        d = distances(queries, self.vectors[self.router[:1]])[:, 0]
+        queue, pushed = [(float(d.min()) - float(self.radius[0]), 0, 0, np.arange(n), d)], 0
+        while queue:
+            least, _, node, q, d = heapq.heappop(queue)
+            if least > limit.max() + slack:
+                break
+            open_ = d - self.radius[node] <= limit[q] + slack
+            q, d = q[open_], d[open_]
             if not len(q):
                 continue
-            a, b = self.start[p], self.start[p + 1]
-            near = np.abs(to_router[q, p][:, None] - self.to_router[None, a:b]) <= (limit[q] + slack)[:, None]
-            e = np.flatnonzero(near.any(0))
-            if not len(e):
+            lo, hi, reach = self.lo[node], self.hi[node], limit[q] + slack
+            if self.leaf[node]:
+                near = np.abs(d[:, None] - self.to_router[None, lo:hi]) <= reach[:, None]
+                e = np.flatnonzero(near.any(0))
+                if not len(e):
+                    continue
+                x = distances(queries[q], self.vectors[lo + e])
+                i, j = np.nonzero((x <= reach[:, None]) & near[:, e] & (query_ids[q][:, None] != self.ids[lo + e][None, :]))
+                if len(i):
+                    rows, entries = q[i], lo + e[j]
+                    self._merge(best_d, best_id, limit, rows, self.ids[entries], exact(queries[rows], self.vectors[entries]), k)
                 continue
-            d = distances(queries[q], self.vectors[a + e])
-            i, j = np.nonzero((d <= (limit[q] + slack)[:, None]) & near[:, e] & (query_ids[q][:, None] != self.ids[a + e][None, :]))
-            if not len(i):
+            # The first bound costs no distance: those to the parent's router are stored.
+            near = np.abs(d[:, None] - self.to_parent[None, lo:hi]) - self.radius[None, lo:hi] <= reach[:, None]
+            c = np.flatnonzero(near.any(0))
+            if not len(c):
                 continue
-            rows, entries = q[i], a + e[j]
-            self._merge(best_d, best_id, limit, rows, self.ids[entries], exact(queries[rows], self.vectors[entries]), k)
+            x = distances(queries[q], self.vectors[self.router[lo + c]])
+            low = x - self.radius[None, lo + c]
+            near = near[:, c] & (low <= reach[:, None])
+            for j in np.flatnonzero(near.any(0)):
+                pushed += 1
+                mine = near[:, j]
+                heapq.heappush(queue, (float(low[mine, j].min()), pushed, int(lo + c[j]), q[mine], x[mine, j]))
         i, j = np.nonzero(np.isfinite(best_d))
         return i, best_id[i, j], best_d[i, j]
 
@@ -143,152 +202,138 @@ class Subtree:
         best_d[touched], best_id[touched] = alld[keep].reshape(-1, k), alli[keep].reshape(-1, k)
         limit[touched] = np.minimum(limit[touched], best_d[touched, k - 1])
 
-    def pages(self):
-        return zip(self.start[:-1], self.start[1:])
 
+TREE = "tree string, root int, far double, " + ", ".join(f"{f} binary" for f in Subtree.FIELDS)
+ASK = "tree string, id long, v binary, bound double"
 
-BINARY = ", ".join(f"{f} binary" for f in Subtree.FIELDS)
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
 
 
 def _assign_batches(shared):
+    """Each vector below its nearest router, found in an M-tree of the routers."""
+
     def run(batches):
-        roots, chunks_ = shared.value
+        roots = shared.value
+        tree = Subtree.build(np.arange(len(roots)), roots)
         for batch in batches:
             x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float32) if batch.num_rows else np.zeros((0, roots.shape[1]), np.float32)
-            near = np.concatenate([distances(x[i : i + 4096], roots).argmin(1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(near.astype(np.int32))], ["id", "v", "root"])
+            near = np.zeros(len(x), np.int32)
+            row, root, _ = tree.search(x, np.full(len(x), -1), np.full(len(x), np.inf), 1)
+            near[row] = root
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(near)], ["id", "v", "root"])
 
     return run
 
 
 def _build(shared):
     def run(key, t):
-        roots, _ = shared.value
-        ids = t.column("id").to_numpy()
-        x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(len(ids), -1)
+        root = shared.value[key[0].as_py()]
+        ids, x = t.column("id").to_numpy(), _matrix(t.column("v"), len(root))
         order = np.argsort(ids, kind="stable")
-        s = Subtree.build(ids[order], x[order], roots[key[0].as_py()])
-        far = float(distances(s.root[None], s.vectors).max())
-        cols = {"tree": [f"{key[0].as_py()}.{key[1].as_py()}"], "far": [far]}
+        s = Subtree.build(ids[order], x[order])
+        cols = {"tree": [f"{key[0].as_py()}.{key[1].as_py()}"], "root": pa.array([key[0].as_py()], pa.int32()), "far": [float(distances(root[None], x).max())]}
         return pa.table(cols | {f: pa.array([b], pa.binary()) for f, b in zip(Subtree.FIELDS, s.to_bytes())})
 
     return run
 
 
-def _home(k: int):
-    """Each subtree's own vectors searched in it: results, and the bounds for the search elsewhere."""
+def _answer(k: int):
+    """The queries of a group answered by its subtree."""
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s = Subtree.of([batch.column(f)[i].as_py() for f in Subtree.FIELDS])
-                bound = np.full(len(s.ids), np.inf)
-                out = []
-                for a, b in s.pages():
-                    q, ids, d = s.search(s.vectors[a:b], s.ids[a:b], bound[a:b], k)
-                    full = np.bincount(q, minlength=b - a) >= k
-                    top = np.full(b - a, -np.inf)
-                    np.maximum.at(top, q, d)
-                    bound[a:b] = np.where(full, top, np.inf)
-                    out.append((s.ids[a:b][q], ids, d))
-                q, ids, d = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([batch.column("tree").slice(i, 1), batch.column("far").slice(i, 1), pa.array([float(bound.max())]), *[batch.column(f).slice(i, 1) for f in Subtree.FIELDS], *[pa.array([x.tobytes()], pa.binary()) for x in (bound, q, ids, d)]], ["tree", "far", "most", *Subtree.FIELDS, "bound", "q", "n", "d"])
+    def run(key, asks, trees):
+        if not asks.num_rows or not trees.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        s = Subtree.of([trees.column(f)[0].as_py() for f in Subtree.FIELDS])
+        ids, x = asks.column("id").to_numpy(), _matrix(asks.column("v"), s.vectors.shape[1])
+        q, n, d = s.search(x, ids, asks.column("bound").to_numpy(), k)
+        return pa.table({"id": ids[q], "neighbour": n, "distance": d})
 
     return run
 
 
-def _abroad(k: int):
-    """One subtree's vectors searched in another."""
+def _reach_batches(shared):
+    """(tree, id, v, bound) for each subtree whose ball a query's bound reaches, but for the one it was answered in."""
 
-    def run(key, t):
-        side = {t.column("asks")[i].as_py(): i for i in range(t.num_rows)}
-        mine, other = (Subtree.of([t.column(f)[side[w]].as_py() for f in Subtree.FIELDS]) for w in (True, False))
-        bound = np.frombuffer(t.column("bound")[side[True]].as_py(), np.float64)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        far = float(distances(other.root[None], other.vectors).max())
-        for a, b in mine.pages():
-            x = mine.vectors[a:b]
-            # Queries further from the whole subtree than their bound stay out.
-            rows = a + np.flatnonzero(distances(x, other.root[None])[:, 0] - far <= bound[a:b] + other.slack(x))
-            if len(rows):
-                q, ids, d = other.search(mine.vectors[rows], mine.ids[rows], bound[rows], k)
-                out.append((mine.ids[rows][q], ids, d))
-        q, ids, d = (np.concatenate(x) for x in zip(*out))
-        return pa.table({"id": q, "neighbour": ids, "distance": d})
+    def run(batches):
+        roots, trees, root, far = shared.value
+        width = roots.shape[1]
+        for batch in batches:
+            x = _matrix(batch.column("v"), width)
+            bound, home = batch.column("bound").to_numpy(), np.array(batch.column("tree").to_pylist(), object)
+            for a in range(0, len(x), 1024):
+                y = x[a : a + 1024]
+                slack = EPS * float(1 + np.abs(y).max() + np.abs(roots).max()) * width**0.5
+                near = distances(y, roots)[:, root] - far[None, :] <= bound[a : a + 1024, None] + slack
+                i, j = np.nonzero(near & (home[a : a + 1024, None] != trees[None, :]))
+                i = pa.array(a + i)
+                yield pa.RecordBatch.from_arrays([pa.array(trees[j], pa.string()), batch.column("id").take(i), batch.column("v").take(i), batch.column("bound").take(i)], ["tree", "id", "v", "bound"])
 
     return run
 
 
-def _unpack_batches(batches):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            q, n, d = (np.frombuffer(batch.column(c)[i].as_py(), k) for c, k in (("q", np.int64), ("n", np.int64), ("d", np.float64)))
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(n), pa.array(d)], ["id", "neighbour", "distance"])
-
-
-def _root_distance(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _search(asks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """(id, neighbour, distance) of asks (tree, id, v, bound); a subtree that many queries ask is copied for each ASKED of them."""
+    per = asks.groupBy("tree").agg(F.count("*").alias("n"))
+    copies = per.select("tree", F.ceil(F.col("n") / F.lit(ASKED)).cast("int").alias("parts"))
+    spread = asks.join(copies, "tree").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    there = trees.join(copies, "tree").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = spread.select("tree", "part", "id", "v", "bound").groupBy("tree", "part")
+    return left.cogroup(there.select("tree", "part", *Subtree.FIELDS).groupBy("tree", "part")).applyInArrow(_answer(k), "id long, neighbour long, distance double")
 
 
-def neighbours(df: DataFrame, k: int = K, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, rank, neighbour, distance): the k nearest other ids of every id, by Euclidean distance; ties go to the lower id.
+def neighbours(df: DataFrame, k: int = K, id_: str = "vec_id", vector: str = "embedding", every: int = 1) -> DataFrame:
+    """(id, rank, neighbour, distance): the k nearest other ids of every id that `every` divides, by Euclidean distance; ties go to the lower id.
 
-    Rows without an id, and those whose vector is null, empty or has a null, NaN or infinite element, are left out. Of
-    several rows of one id the least vector counts. Vectors are compared with those of the same length only. Where
-    there are fewer than k others, all of them are returned; an empty table gives an empty result. Other columns are ignored.
+    All rows are searched. Rows without an id, and those whose vector is null, empty or has a null, NaN or infinite
+    element, are left out. Of several rows of one id the least vector counts. Vectors are compared with those of the
+    same length only. Where there are fewer than k others, all of them are returned; an empty table gives an empty
+    result. Other columns are ignored.
     """
     spark = df.sparkSession
-    v = F.col(f"`{vector}`").cast("array<float>")
-    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(f"`{id_}`").cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(F.coalesce(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)))
+    v = col(vector).cast("array<float>")
+    rows = df.select(col(id_).cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0").where(F.coalesce(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False)))
     unique = materialize(rows.groupBy("id").agg(F.min("v").alias("v")))
     sizes = [(r["m"], r["n"]) for r in unique.groupBy(F.size("v").alias("m")).agg(F.count("*").alias("n")).orderBy("m").collect()]
     out = spark.createDataFrame([], "id long, rank int, neighbour long, distance double")
     for m, n in sizes:
-        out = out.unionByName(_of_one_length(unique.where(F.size("v") == m), n, k))
+        out = out.unionByName(_of_one_length(unique.where(F.size("v") == m), n, k, every))
     return out
 
 
-def _of_one_length(unique: DataFrame, n: int, k: int) -> DataFrame:
+def _of_one_length(unique: DataFrame, n: int, k: int, every: int) -> DataFrame:
     spark = unique.sparkSession
+    # One router for each SUBTREE vectors: a 65,536th of the table is what the workers hold of it.
     count = max(min(SUBTREES, n), -(-n // SUBTREE))
     first = unique.orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
     roots = np.stack(first.column("v").to_numpy()).astype(np.float32)
-    shared = spark.sparkContext.broadcast((roots, None))
-    near = unique.mapInArrow(_assign_batches(shared), "id long, v binary, root int")
-    near = materialize(near)
-    # A root that drew more than a subtree holds gets several subtrees.
-    chunks_ = near.groupBy("root").agg(F.ceil(F.count("*") / F.lit(SUBTREE)).cast("int").alias("chunks"))
-    placed = near.join(chunks_, "root").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    trees = placed.select("id", "v", "root", "chunk").groupBy("root", "chunk").applyInArrow(_build(shared), f"tree string, far double, {BINARY}")
-    home = materialize(trees.mapInArrow(_home(k), f"tree string, far double, most double, {BINARY}, bound binary, q binary, n binary, d binary"))
-    spots = home.select("tree", "far", "most", F.split("tree", "\\.")[0].cast("int").alias("root"))
-    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(roots)], "root int, v array<double>")
-    spots = materialize(spots.join(vectors, "root").drop("root"))
-    a = spots.select(F.col("tree").alias("a"), F.col("far").alias("far_a"), F.col("most"), F.col("v").alias("va"))
-    b = spots.select(F.col("tree").alias("b"), F.col("far").alias("far_b"), F.col("v").alias("vb"))
-    gap = _root_distance("va", "vb")
-    pairs = a.crossJoin(b).where("a <> b").where(gap * (1 - EPS) - EPS - F.col("far_a") - F.col("far_b") <= F.col("most")).select("a", "b")
-    data = home.select("tree", "bound", *Subtree.FIELDS)
-    asks = pairs.join(data, pairs["a"] == data["tree"]).select("a", "b", F.lit(True).alias("asks"), "bound", *Subtree.FIELDS)
-    told = pairs.join(data, pairs["b"] == data["tree"]).select("a", "b", F.lit(False).alias("asks"), F.lit(None).cast("binary").alias("bound"), *Subtree.FIELDS)
-    both = asks.unionByName(told).repartition(max(partitions(spark), count * count), "a", "b")
-    abroad = both.groupBy("a", "b").applyInArrow(_abroad(k), "id long, neighbour long, distance double")
-    found = home.select("q", "n", "d").mapInArrow(_unpack_batches, "id long, neighbour long, distance double").unionByName(abroad)
-    # k are kept as a sorted list: partial lists merge before the shuffle no worse than rows do.
-    lists = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("near"))
-    return lists.select("id", F.posexplode("near").alias("rank", "x")).select("id", (F.col("rank") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.distance").alias("distance"))
+    shared = spark.sparkContext.broadcast(roots)
+    near = materialize(unique.mapInArrow(_assign_batches(shared), "id long, v binary, root int"))
+    # A router that drew more than a subtree holds gets several subtrees.
+    parts = near.groupBy("root").agg(F.ceil(F.count("*") / F.lit(SUBTREE)).cast("int").alias("parts"))
+    placed = near.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    trees = materialize(placed.select("id", "v", "root", "part").groupBy("root", "part").applyInArrow(_build(shared), TREE))
+    spots = trees.select("tree", "root", "far").toArrow()
+    asked = placed.where(F.pmod("id", F.lit(every)) == 0).select(F.concat_ws(".", "root", "part").alias("tree"), "id", "v", F.lit(float("inf")).alias("bound"))
+    home = materialize(_search(asked, trees, k))
+    bounds = home.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("kth"))
+    bounded = asked.join(bounds, "id", "left").select("tree", "id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("bound"))
+    upper = spark.sparkContext.broadcast((roots, np.array(spots.column("tree").to_pylist(), object), spots.column("root").to_numpy(), spots.column("far").to_numpy()))
+    abroad = _search(materialize(bounded.mapInArrow(_reach_batches(upper), ASK)), trees, k)
+    order = Window.partitionBy("id").orderBy("distance", "neighbour")
+    return home.unionByName(abroad).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
 
 
 def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, rank, neighbour, distance): the ten nearest of every embedding, distances to 5 places."""
-    x = neighbours(table(spark, sf_dir, "embeddings"))
+    """(vec_id, rank, neighbour, distance): the ten nearest, among all embeddings, of each whose id is divisible by EVERY; distances to 5 places."""
+    x = neighbours(table(spark, sf_dir, "embeddings"), every=EVERY)
     return x.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("distance", 5).alias("distance"))
 
 
 ORACLE = f"""
 WITH e AS (SELECT vec_id, min(embedding)::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
-d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d)
 SELECT vec_id, rank::INTEGER AS rank, neighbour, round(distance, 5) AS distance FROM r WHERE rank <= {K}
 """

@@ -124,9 +124,10 @@ def test_each_quality_rule_rejects(spark):
 # ---------------------------------------------------------------- 4
 
 
-@pytest.mark.parametrize("page", [256, 8])
+@pytest.mark.parametrize("page", [64, 8])
 def test_neighbours(spark, monkeypatch, page):
-    monkeypatch.setattr(mtree, "PAGE", page)
+    for name, value in {"PAGE": page, "FANOUT": 4, "SUBTREE": 60 if page == 8 else 65_536, "ASKED": 20 if page == 8 else 16_384}.items():
+        monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(c, 0.2, (60, 5)) for c in (0, 3, 9)]).astype(np.float32)
     x[7] = x[9] = x[11]
@@ -140,9 +141,33 @@ def test_neighbours(spark, monkeypatch, page):
         want = sorted((round(d[i, j], 9), j) for j in range(len(x)) if j != i)[:4]
         assert got[i] == [j for _, j in want]
     assert set(got) == set(range(len(x)))
+    some = mtree.neighbours(df.withColumnRenamed("embedding", "my.v"), k=4, vector="my.v", every=7)
+    assert {(r.id, r.rank, r.neighbour) for r in some.collect()} == {(i, k + 1, j) for i in got if i % 7 == 0 for k, j in enumerate(got[i])}
     assert mtree.neighbours(df.limit(0)).count() == 0
 
 
+def test_tree_bounds():
+    x = np.random.default_rng(5).normal(size=(3000, 6)).astype(np.float32)
+    t = mtree.Subtree.build(np.arange(3000) * 3, x)
+    assert sorted(t.ids) == list(range(0, 9000, 3)) and (x[t.ids // 3] == t.vectors).all() and not t.leaf[0]
+    reached, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        if t.leaf[node]:
+            rows = np.arange(t.lo[node], t.hi[node])
+            assert len(rows) <= mtree.PAGE and np.allclose(t.to_router[rows], mtree.exact(t.vectors[rows], np.repeat(t.vectors[t.router[node]][None], len(rows), 0)), atol=1e-2)
+            reached += list(rows)
+            continue
+        below = []
+        for c in range(t.lo[node], t.hi[node]):
+            todo.append(c)
+            assert abs(t.to_parent[c] - np.linalg.norm(t.vectors[t.router[c]] - t.vectors[t.router[node]])) < 1e-2
+            assert np.linalg.norm(t.vectors[t.router[c]] - t.vectors[t.router[node]]) <= t.radius[node] + 1e-2
+            below.append(c)
+        assert 1 < len(below) <= mtree.FANOUT
+    assert sorted(reached) == list(range(3000))
+
+
 # ---------------------------------------------------------------- 5
 
 
