@@ -1,4 +1,4 @@
-"""Stupid-backoff language-model scores over n-gram counts of the whole corpus.
+"""Stupid-backoff language-model scores over n-gram counts of the whole corpus, computed relationally.
 
 The model is of order 3. Pairs and triples of words are counted in all other documents (a document's own occurrences
 are taken off, else every text would predict itself); single words are counted in all documents. A word's score is
@@ -10,14 +10,17 @@ are taken off, else every text would predict itself); single words are counted i
 the first two words of a document start at the order that they have words for. The document's score is the sum of
 natural logarithms.
 
-The exploded n-grams are partitioned by the hash of the pair (v, w). A row also has the word before the pair and the
-word after it, so that one partition knows the counts of u v w, of v w, and, for the following word x, whether v w x
-occurs elsewhere and needs count(v w) as its denominator. One shuffle therefore counts, joins and scores; the partial
-sums of each document are added in a second, small one.
-
-Words travel as ids of 1 to 4 bytes by frequency. The word counts come from the whole corpus by a shuffle; where the
-table is within `broadcast_mb` it is sent to the workers, and beyond that score_relational() gives the same numbers by
-joins alone.
+1. Words are counted: hashes with partial counts go to partitions of the hash, where they are added.
+2. The documents are exploded into n-grams, a row (u, v, w, x) for each word w, with the two words before it and the one
+   after, partitioned by the hash of the pair (v, w). So one shuffle brings together all that the counts of v w, u v w
+   and v w x need: they are counts over groups of that partitioning, joined to the rows that they are counted from, and
+   the word after x finds its denominator, count(v w), in the same place. Rows travel as arrays and are unpacked by a generator.
+3. Counts of single words are joined by word. The HOT_WORDS most frequent words have numbers of 20 bits and their counts
+   are broadcast, which is a fixed bound; all other words are 63 bits of their hash, and n-grams with such a word in the
+   pair go through a join with the counts of rare words, which no frequent word is in.
+4. The documents' parts are added.
+
+There is one way at all sizes; what is broadcast is never more than HOT_WORDS words.
 """
 
 from __future__ import annotations
@@ -30,83 +33,106 @@ from pyspark.sql import functions as F
 from .common import GOLD, Tokenizer, chunks, materialize, mix64, partitions, table, text_buffers
 
 ALPHA = 0.4
-BROADCAST_MB = 256
-#: Words in a partition of n-grams, and words exploded at a time: what bounds a Python worker's memory.
-PART_WORDS = 300_000
+#: Words that have a number; the highest one stands for all others.
+HOT_WORDS = (1 << 20) - 2
+RARE = (1 << 20) - 1
+#: Words of the corpus for each partition of n-grams, and words exploded at a time: what bounds a worker's memory.
+PART_WORDS = 2_000_000
 FLUSH_WORDS = 1_000_000
+SIGN = -(1 << 63)
+RESULT = "doc_id long, n_words long, log_score double, mean_log_score double"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
 
 
-def _count_batches(batches):
-    words, kept, n = Tokenizer(), [], 0
+def _lists(p: np.ndarray, parts: int, **columns: np.ndarray) -> pa.RecordBatch | None:
+    """A row for each p in use, with the columns' values of that p as arrays in their order."""
+    order = np.argsort(p, kind="stable")
+    bounds = np.searchsorted(p[order], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(bounds))
+    ends = pa.array(np.append(bounds[used], bounds[-1]), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns.values()]], ["p", *columns])
+
 
-    def flush(parts):
-        h, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        c = np.bincount(at, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
-        return h, c
+def _count_batches(parts: int):
+    def run(batches):
+        words, kept, n = Tokenizer(), [], 0
 
-    for batch in batches:
-        data, offsets = text_buffers(batch.column("text"))
-        for a, b in chunks(offsets):
-            _, _, _, h = words.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            h, c = np.unique(h, return_counts=True)
-            kept.append((h, c))
-            n += len(h)
-            if n > 1_000_000:
-                h, c = flush(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
-                kept, n = [], 0
-    if kept:
-        h, c = flush(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+        def flush():
+            h, at = np.unique(np.concatenate([x[0] for x in kept]), return_inverse=True)
+            c = np.bincount(at, np.concatenate([x[1] for x in kept]), len(h)).astype(np.int64)
+            return _lists(((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, h=h.view(np.int64), c=c)
+
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            for a, b in chunks(offsets):
+                _, _, _, h = words.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, c = np.unique(h, return_counts=True)
+                kept.append((h, c))
+                n += len(h)
+                if n > 1_000_000:
+                    yield flush()
+                    kept, n = [], 0
+        if n:
+            yield flush()
+
+    return run
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): 64-bit hash of each word and its count over all documents."""
-    return _texts(docs).mapInArrow(_count_batches, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
+    parts = partitions(docs.sparkSession)
+    packed = _texts(docs).mapInArrow(_count_batches(4 * parts), "p int, h array<long>, c array<long>").repartition(parts, "p")
+    rows = packed.select("p", "c", F.posexplode("h").alias("i", "h")).select("p", "h", F.get("c", F.col("i")).alias("n"))
+    return rows.groupBy("h", "p").agg(F.sum("n").alias("c")).select("h", "c")
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, least bytes first and the highest together: small ids compress to little more than their own bytes."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """(id, h, c): the words above a count that at most HOT_WORDS words have, numbered by count from 1."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    held, least = 0, 1 << 30
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 1,000 rows at most
+        held += r["n"]
+        if held > HOT_WORDS:
+            break
+        least = r["level"]
+    return counts.where(level >= least).select(F.row_number().over(Window.orderBy(F.desc("c"), "h")).cast("long").alias("id"), "h", "c")
 
-def _unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
+def _explode_batches(shared, parts: int, rare: bool):
+    """The n-grams whose pair has no rare word, or those whose pair has one."""
 
-def _explode_batches(shared, parts: int):
     def run(batches):
-        raw, n = shared.value
-        vocabulary = np.frombuffer(raw, np.uint64, n)  # sorted hashes
-        ids = np.frombuffer(raw, np.uint32, n, 8 * n)
+        known, ids = shared.value  # sorted hashes and their numbers
         words, held, size, texts = Tokenizer(), [], 0, 0
 
+        def number(h: np.ndarray) -> np.ndarray:
+            unique, at = np.unique(h, return_inverse=True)
+            i = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+            found = known[i] == unique if len(known) else np.zeros(len(unique), bool)
+            other = (unique >> np.uint64(1)).view(np.int64) | np.int64(SIGN)
+            return np.where(found, ids[i] if len(known) else 0, other)[at]
+
         def flush():
             doc, w, text = (np.concatenate([x[k] for x in held]) for k in range(3))
-            n = len(w)
-            same = text[1:] == text[:-1]
-            # A row for each word w: v before it, u before that, x after it; 0 where there is none.
-            v, u, x = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+            same, n = text[1:] == text[:-1], len(w)
+            v, u, x = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             v[1:] = np.where(same, w[:-1], 0)
             u[2:] = np.where(same[1:] & same[:-1], w[:-2], 0)
             x[:-1] = np.where(same, w[1:], 0)
-            p = (mix64((v.astype(np.uint64) << np.uint64(32) | w) * GOLD) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.uint32)
-            order = np.argsort(p, kind="stable")
-            bounds = np.searchsorted(p[order], np.arange(parts + 1))
-            out = {"p": [], "docs": [], "sizes": [], "rows": []}
-            for k in np.flatnonzero(np.diff(bounds)):
-                o = order[bounds[k] : bounds[k + 1]]
-                d = doc[o]
-                first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                out["p"].append(int(k))
-                out["docs"].append(d[first].tobytes())
-                out["sizes"].append(np.diff(np.append(first, len(d))).astype(np.uint32).tobytes())
-                out["rows"].append(pa.compress(b"".join(_planes(y[o]) for y in (v, w, u, x)), "zstd", asbytes=True))
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("p", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("rows", pa.binary())]))
+            mine = np.flatnonzero(((v < 0) | (w < 0)) == rare)
+            if not len(mine):
+                return None
+            doc, u, v, w, x = doc[mine], u[mine], v[mine], w[mine], x[mine]
+            cu, cv, cw, cx = (np.where(y < 0, RARE, y).view(np.uint64) for y in (u, v, w, x))
+            a = cv << np.uint64(44) | cw << np.uint64(24) | cu << np.uint64(4) | cx >> np.uint64(16)
+            # First words of documents have no pair; they are spread by document, as many may begin alike.
+            pair = np.where(v == 0, doc, v).view(np.uint64) * GOLD + w.view(np.uint64)
+            p = (mix64(pair) % np.uint64(parts)).astype(np.int64)
+            columns = {"doc": doc, "a": a.view(np.int64), "b": (cx & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16), "ru": np.minimum(u, 0), "rx": np.minimum(x, 0)}
+            return _lists(p, parts, **columns, **({"rv": np.minimum(v, 0), "rw": np.minimum(w, 0)} if rare else {}))
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -114,69 +140,54 @@ def _explode_batches(shared, parts: int):
             for a, b in chunks(offsets):
                 row, _, _, h = words.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if len(h):
-                    unique, at = np.unique(h, return_inverse=True)
-                    held.append((doc_ids[a + row], ids[np.searchsorted(vocabulary, unique)][at], texts + row))
+                    held.append((doc_ids[a + row], number(h), texts + row))
                     texts += b - a
                     size += len(h)
                     if size > FLUSH_WORDS:
-                        yield flush()
+                        if (out := flush()) is not None:
+                            yield out
                         held, size = [], 0
-        if held:
-            yield flush()
+        if held and (out := flush()) is not None:
+            yield out
 
     return run
 
 
-def others(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each row, how many rows of the same key other documents have."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    new_key = np.append(True, k[1:] != k[:-1])
-    new_doc = new_key | np.append(True, d[1:] != d[:-1])
-    group, own = np.cumsum(new_key) - 1, np.cumsum(new_doc) - 1
-    out = np.empty(len(key), np.int64)
-    out[order] = np.bincount(group)[group] - np.bincount(own)[own]
-    return out
-
-
-def partial_scores(doc: np.ndarray, v, w, u, x, count: np.ndarray, total: int, alpha: float):
-    """(documents, sums) of what one partition adds to the scores; count is by word id."""
-    _, pair = np.unique(v.astype(np.uint64) << np.uint64(32) | w, return_inverse=True)
-    pair = pair.astype(np.uint64) << np.uint64(32)
-    c2, c3 = others(pair, doc), others(pair | u, doc)
-    next3 = others(pair | x, doc)
-    has_v, has_u, has_x = v > 0, u > 0, (x > 0) & (v > 0)
-    c1w, c1v = count[w].astype(np.float64), count[v].astype(np.float64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        unseen = np.log(c1w / total) + np.where(has_u, 2 * np.log(alpha), np.where(has_v, np.log(alpha), 0))
-        second = np.log(c2 / c1v) + np.where(has_u, np.log(alpha), 0)
-        third = np.log(c3)
-    score = np.where(has_u & (c3 > 0), third, np.where(has_v & (c2 > 0), second, unseen))
-    # The denominator of the word after this pair, if that triple occurs elsewhere.
-    with np.errstate(divide="ignore"):
-        score -= np.where(has_x & (next3 > 0), np.log(c2), 0)
-    ids, at = np.unique(doc, return_inverse=True)
-    return ids, np.bincount(at, score, len(ids)), np.bincount(at, minlength=len(ids))
-
-
-def _score_partition(shared, parts: int, total: int, alpha: float):
-    def run(key, t):
-        raw, n = shared.value
-        count = np.frombuffer(raw, np.uint32 if total < 1 << 32 else np.uint64, n + 1, 12 * n)
-        doc = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(s, np.uint32)) for d, s in zip(t.column("docs").to_pylist(), t.column("sizes").to_pylist())]
-        cols = [[], [], [], []]
-        for packed, many in zip(t.column("rows").to_pylist(), doc):
-            raw_rows = pa.decompress(packed, 16 * len(many), "zstd", asbytes=True)
-            step = len(raw_rows) // 4
-            for k in range(4):
-                cols[k].append(_unplanes(raw_rows[k * step : (k + 1) * step]))
-        ids, sums, words = partial_scores(np.concatenate(doc), *(np.concatenate(c) for c in cols), count, total, alpha)
-        return pa.table({"doc_id": ids, "s": sums, "n": words.astype(np.int64)})
+def _exploded(docs: DataFrame, shared, parts: int, rare: bool) -> DataFrame:
+    """(p, doc, u, v, w, x) partitioned by p, a hash of the pair (v, w); words are numbers, those of rare ones negative, 0 for none."""
+    columns = ["rv", "rw"] if rare else []
+    fine = 8 * parts
+    packed = _texts(docs).mapInArrow(_explode_batches(shared, fine, rare), "p int, doc array<long>, a array<long>, b array<smallint>, ru array<long>, rx array<long>" + "".join(f", {c} array<long>" for c in columns)).repartition(parts, "p")
+    rows = packed.select("p", "doc", "b", "ru", "rx", *columns, F.posexplode("a").alias("i", "a"))
+    at = lambda c: F.get(c, F.col("i"))
+    bits = lambda shift: F.shiftrightunsigned("a", shift).bitwiseAND(F.lit(RARE))
+    tail = F.shiftleft(F.col("a").bitwiseAND(F.lit(15)), 16).bitwiseOR(at("b").cast("int").bitwiseAND(F.lit(0xFFFF)).cast("long"))
+    word = lambda code, full: F.when(code == RARE, at(full)).otherwise(code)
+    pair = [word(bits(44), "rv").alias("v"), word(bits(24), "rw").alias("w")] if rare else [F.shiftrightunsigned("a", 24).alias("vw")]
+    return rows.select("p", at("doc").alias("doc"), *pair, word(bits(4), "ru").alias("u"), word(tail, "rx").alias("x"))
 
-    return run
+
+def _scored(rows: DataFrame, pair: list[str], total: int, alpha: float) -> DataFrame:
+    """(doc, s, need, times) of each row: its part of the score, but for `times` the logarithm of the count of the word `need`."""
+
+    def elsewhere(df: DataFrame, name: str, *more: str) -> DataFrame:
+        own, every = (Window.partitionBy(*pair, "p", *more, *d) for d in (["doc"], []))
+        # Counting _own keeps the two windows in this order, and so under one sort.
+        return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count("_own").over(every) - F.col("_own")).drop("_own")
+
+    rows = elsewhere(elsewhere(elsewhere(rows, "n3", "x"), "c3", "u"), "c2")
+    v, w = (F.col("v"), F.col("w")) if pair == ["v", "w"] else (F.shiftrightunsigned("vw", 20), F.col("vw").bitwiseAND(F.lit(RARE)))
+    has_u, has_v, has_x = F.col("u") != 0, v != 0, F.col("x") != 0
+    log_a = float(np.log(alpha))
+    third, second = has_u & (F.col("c3") > 0), has_v & (F.col("c2") > 0)
+    unseen = F.when(has_u, 2 * log_a).when(has_v, log_a).otherwise(0.0) - float(np.log(total))
+    s = F.when(third, F.log("c3")).when(second, F.log("c2") + F.when(has_u, log_a).otherwise(0.0)).otherwise(unseen)
+    # The denominator of the word after this pair, if that triple occurs elsewhere.
+    s = s - F.when(has_v & has_x & (F.col("n3") > 0), F.log("c2")).otherwise(0.0)
+    return rows.select("doc", s.alias("s"), F.when(~third & second, v).otherwise(w).alias("need"), F.when(third, 0).when(second, -1).otherwise(1).alias("times"))
 
 
-def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, broadcast_mb: int = BROADCAST_MB) -> DataFrame:
+def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of each document that has a word.
 
     Words are lower-cased and split at ASCII white space. Documents without an id and those that are null, empty or only white space have no
@@ -187,59 +198,30 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA, broadcast_mb: int = BR
     counts = materialize(word_counts(docs))
     size, total = counts.agg(F.count("*"), F.sum("c")).first()
     if not total:
-        return spark.createDataFrame([], "doc_id long, n_words long, log_score double, mean_log_score double")
-    if size * 16 > broadcast_mb << 20 or size >= 1 << 32:
-        return score_relational(docs, alpha)
-    t = counts.toArrow()
-    h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
-    by_count = np.argsort(-c, kind="stable")
-    ids = np.empty(size, np.uint32)
-    ids[by_count] = np.arange(1, size + 1, dtype=np.uint32)
-    by_hash = np.argsort(h)
-    count = np.concatenate([[0], c[by_count]]).astype(np.uint32 if total < 1 << 32 else np.uint64)
-    shared = spark.sparkContext.broadcast((h[by_hash].tobytes() + ids[by_hash].tobytes() + count.tobytes(), int(size)))
+        return spark.createDataFrame([], RESULT)
+    hot = materialize(frequent(counts))
+    t = hot.select("h", "id").toArrow()
+    h = t.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    shared = spark.sparkContext.broadcast((h[order], t.column("id").to_numpy()[order]))
     parts = max(partitions(spark), -(-int(total) // PART_WORDS))
-    rows = _texts(docs).mapInArrow(_explode_batches(shared, parts), "p int, docs binary, sizes binary, rows binary")
-    partial = rows.groupBy("p").applyInArrow(_score_partition(shared, parts, int(total), alpha), "doc_id long, s double, n long")
-    return _finish(partial)
-
-
-def _finish(partial: DataFrame) -> DataFrame:
-    out = partial.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
+    logs = F.broadcast(hot.select(F.col("id").alias("need"), F.log("c").alias("log_c")))
+
+    def numbered(rare: bool, pair: list[str]) -> DataFrame:
+        rows = _scored(_exploded(docs, shared, parts, rare), pair, int(total), alpha)
+        return rows.join(logs, "need", "left").withColumn("s", F.col("s") + F.col("times") * F.coalesce("log_c", F.lit(0.0)))
+
+    out = numbered(False, ["vw"]).select("doc", "s", F.lit(1).cast("long").alias("n"))
+    if len(h) < size:
+        # What needs no rare word's count meets none in the join, and is spread by document.
+        key = F.when((F.col("need") < 0) & (F.col("times") != 0), F.col("need")).otherwise(F.shiftrightunsigned(F.xxhash64("doc"), 1))
+        needed = numbered(True, ["v", "w"]).withColumn("need", key).groupBy("doc", "need").agg(F.sum("s").alias("s"), F.sum("times").alias("times"), F.count("*").alias("n"))
+        rest = counts.join(F.broadcast(hot.select("h")), "h", "left_anti").select(F.shiftrightunsigned("h", 1).bitwiseOR(F.lit(SIGN)).alias("need"), F.log("c").alias("log_c"))
+        out = out.unionByName(needed.join(rest, "need", "left").select("doc", (F.col("s") + F.col("times") * F.coalesce("log_c", F.lit(0.0))).alias("s"), "n"))
+    out = out.groupBy(F.col("doc").alias("doc_id")).agg(F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
     return out.withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))
 
 
-def score_relational(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """The same scores by joins of exploded n-grams with count tables, each partitioned by the hash of its n-gram."""
-    spark = docs.sparkSession
-    words = F.filter(F.split(F.col("text"), "[ \t\n\r\f]+"), lambda x: x != "")
-    rows = _texts(docs).withColumn("copy", F.monotonically_increasing_id()).select("doc_id", "copy", F.posexplode(words).alias("pos", "w"))
-    order = Window.partitionBy("doc_id", "copy").orderBy("pos")
-    rows = materialize(rows.select("doc_id", "copy", "pos", "w", F.lag("w", 1).over(order).alias("v"), F.lag("w", 2).over(order).alias("u")))
-    one = rows.groupBy("w").agg(F.count("*").alias("c1"))
-    total = rows.count()
-    if not total:
-        return spark.createDataFrame([], "doc_id long, n_words long, log_score double, mean_log_score double")
-
-    def elsewhere(keys: list[str], name: str) -> DataFrame:
-        own = rows.where(F.col(keys[0]).isNotNull()).groupBy(*keys, "doc_id").agg(F.count("*").alias("own"))
-        every = own.groupBy(*keys).agg(F.sum("own").alias("all"))
-        return own.join(every, keys).select(*keys, "doc_id", (F.col("all") - F.col("own")).alias(name))
-
-    c3, c2 = elsewhere(["u", "v", "w"], "c3"), elsewhere(["v", "w"], "c2")
-    context = c2.select(F.col("v").alias("u"), F.col("w").alias("v"), "doc_id", F.col("c2").alias("cuv"))
-    x = rows.join(c3, ["u", "v", "w", "doc_id"], "left").join(c2, ["v", "w", "doc_id"], "left").join(context, ["u", "v", "doc_id"], "left")
-    x = x.join(one, "w", "left").join(one.select(F.col("w").alias("v"), F.col("c1").alias("cv")), "v", "left")
-    log_a = float(np.log(alpha))
-    penalty = F.when(F.col("u").isNotNull(), 2 * log_a).when(F.col("v").isNotNull(), log_a).otherwise(0.0)
-    score = (
-        F.when(F.col("c3") > 0, F.log(F.col("c3") / F.col("cuv")))
-        .when(F.col("c2") > 0, F.log(F.col("c2") / F.col("cv")) + F.when(F.col("u").isNotNull(), log_a).otherwise(0.0))
-        .otherwise(F.log(F.col("c1") / F.lit(float(total))) + penalty)
-    )
-    return _finish(x.groupBy("doc_id").agg(F.sum(score).alias("s"), F.count("*").alias("n")))
-
-
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores to 4 places: they are sums of floating-point numbers in no fixed order."""
     x = stupid_backoff(table(spark, sf_dir, "documents"))
