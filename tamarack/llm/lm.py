@@ -173,7 +173,7 @@ def _scored(rows: DataFrame, pair: list[str], total: int, alpha: float) -> DataF
     def elsewhere(df: DataFrame, name: str, *more: str) -> DataFrame:
         own, every = (Window.partitionBy(*pair, "p", *more, *d) for d in (["doc"], []))
         # Counting _own keeps the two windows in this order, and so under one sort.
-        return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count("_own").over(every) - F.col("_own")).drop("_own")
+        return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count(F.when(F.col("_own") > 0, 1)).over(every) - F.col("_own")).drop("_own")
 
     rows = elsewhere(elsewhere(elsewhere(rows, "n3", "x"), "c3", "u"), "c2")
     v, w = (F.col("v"), F.col("w")) if pair == ["v", "w"] else (F.shiftrightunsigned("vw", 20), F.col("vw").bitwiseAND(F.lit(RARE)))
