@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm.common import materialize
+from tamarack.llm.common import col, materialize, release, unused, written
 from tamarack.llm.language import identify
 from tamarack.llm.mixing import mix
 from tamarack.llm.packing import packed
@@ -18,7 +18,8 @@ from tamarack.llm.suffix import cut_repeats
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, with `lang` set to it. Null, empty and unintelligible texts go."""
-    return identify(docs).select(*docs.columns)
+    (score,) = unused(docs.columns, "_similarity")
+    return identify(docs, score=score).select(*map(col, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        mark = written()
         docs = materialize(stage(spark, docs, sf_dir))
+        release(max(mark - 1, 0) if stage is not STAGES[0][1] else mark, written() - 1)  # what the stage wrote, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)

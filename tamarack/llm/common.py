@@ -39,16 +39,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables of materialize() there are: a mark for release()."""
+    return len(_written)
+
+
 @atexit.register
-def release() -> None:
-    """Delete the tables written by materialize()."""
-    while _written:
-        spark, path = _written.pop()
+def release(since: int = 0, until: int | None = None) -> None:
+    """Delete the tables that materialize() wrote from one mark to another, which nothing may read any more; all of them at exit."""
+    for spark, path in _written[since:until]:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:
-            return  # the session has ended
+            break  # the session has ended
+    del _written[since:until]
 
 
 def col(name: str) -> Column:
@@ -99,6 +104,26 @@ def chunks(offsets: np.ndarray, size: int = 1 << 20):
         a = b
 
 
+def spans(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20):
+    """As chunks(), with the bytes [lo, hi) and whether the last text ends there: (a, b, lo, hi, ends). A longer text is cut at white space, into pieces of about `size`."""
+    for a, b in chunks(offsets, size):
+        lo, end = int(offsets[a]), int(offsets[b])
+        while end - lo > size:
+            hi = lo + size
+            while hi < end and data[hi] not in SPACES:
+                hi += 1
+            if hi == end:
+                break
+            yield a, b, lo, hi, False
+            lo = hi
+        yield a, b, lo, end, True
+
+
+def local(offsets: np.ndarray, a: int, b: int, lo: int, hi: int) -> np.ndarray:
+    """Offsets of the texts [a, b) within the bytes [lo, hi)."""
+    return np.clip(offsets[a : b + 1], lo, hi) - lo
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))
@@ -112,9 +137,12 @@ class Tokenizer:
     """Splits texts at white space and hashes each word to 64 bits, all in numpy.
 
     A word's hash is the sum of a random value for each byte times a power of an odd number, modulo 2**64, so that
-    one running product serves all words of a chunk; the power of the word's start is divided out.
+    one running product serves all words of a chunk; the power of the word's start is divided out. Bytes are summed in
+    blocks, so that a long text takes no more than its words and a few bytes for each of its own.
     """
 
+    BLOCK = 1 << 20
+
     def __init__(self) -> None:
         self.space = np.zeros(256, bool)
         self.space[list(SPACES)] = True
@@ -122,15 +150,30 @@ class Tokenizer:
         self.value[self.space] = 0
         self.base = np.uint64(0xD6E8FEB86659FD93)
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.unpowers = np.zeros(0, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 20)
-            for name, base in (("powers", self.base), ("unpowers", self.inverse)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
+        self.powers, self.unpowers = (self._powers(x, self.BLOCK) for x in (self.base, self.inverse))
+
+    @staticmethod
+    def _powers(base, n: int) -> np.ndarray:
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        return np.multiply.accumulate(x)
+
+    def _sums(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hash of each word before the finaliser. White space counts 0, so a word ends where the next one starts."""
+        total = np.zeros(len(start), np.uint64)
+        blocks = -(-len(data) // self.BLOCK)
+        ups, downs = (self._powers(np.uint64(pow(int(x), self.BLOCK, 1 << 64)), blocks) for x in (self.base, self.inverse))
+        for k in range(blocks):
+            a = k * self.BLOCK
+            part = self.value[data[a : a + self.BLOCK]]
+            part *= self.powers[: len(part)]
+            lo, hi = np.searchsorted(start, [a, a + self.BLOCK])
+            edges, open_ = start[lo:hi] - a, lo > 0 and not (hi > lo and start[lo] == a)
+            if open_:  # the word before goes on in this block
+                edges = np.append(0, edges)
+            if len(edges):
+                total[lo - open_ : hi] += np.add.reduceat(part, edges) * ups[k]
+        return total * self.unpowers[start % self.BLOCK] * downs[start // self.BLOCK]
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, end, hash) of each word; offsets begin at 0."""
@@ -138,7 +181,6 @@ class Tokenizer:
         if not n:
             z = np.zeros(0, np.int64)
             return z, z, z, z.astype(np.uint64)
-        self._grow(n)
         space = self.space[data]
         first, last = np.empty(n, bool), np.empty(n, bool)
         first[0] = last[-1] = True
@@ -150,9 +192,8 @@ class Tokenizer:
         if not len(start):
             z = np.zeros(0, np.int64)
             return z, z, z, z.astype(np.uint64)
-        total = np.add.reduceat(self.value[data] * self.powers[:n], start)
         row = np.searchsorted(offsets, start, side="right") - 1
-        return row, start, end, mix64(total * self.unpowers[start])
+        return row, start, end, mix64(self._sums(data, start))
 
 
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:

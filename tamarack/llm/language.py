@@ -11,41 +11,48 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, text_buffers
+from .common import chunks, col, table, text_buffers
 
 DIMENSIONS = 1 << 15
 CENTROIDS = 3
 #: A cluster has at least this share of an even part of its language's sample, and so many documents.
 SHARE, LEAST = 0.2, 8
-#: Labelled documents for each language that the centroids are fitted to, at most.
+#: Labelled documents of different texts, for each language, that the centroids are fitted to, at most.
 SAMPLE = 600
 #: A document is rejected below this share of the least similarity (1 in 200 left out) among sampled documents of its size.
 SLACK = 0.5
 BANDS = 20
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
 #: Bytes as they count: letters, and all bytes of other scripts, as they are; digits, signs and white space as a space.
 SIGNS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, dimension, count) of each distinct trigram of each text, in the order of rows; those with two spaces don't count."""
-    if len(data) < 3:
+    keys, counts = [], []
+    for a in range(0, len(data) - 2, PIECE):  # a long text is counted piece by piece
+        d = SIGNS[data[a : a + PIECE + 2]].astype(np.uint32)
+        code = ((d[:-2] << np.uint32(16) | d[1:-1] << np.uint32(8) | d[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 15)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, a, a + len(d))))
+        gap = d == 32
+        same = (row[:-2] == row[2:]) & ~(gap[1:-1] & (gap[:-2] | gap[2:]))
+        key = np.sort((row[:-2][same] << 15) | code[same])
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        keys.append(key[first])
+        counts.append(np.diff(np.append(first, len(key))) if len(key) else first)
+    if not keys:
         z = np.zeros(0, np.int64)
         return z, z, z
-    d = SIGNS[data].astype(np.uint32)
-    code = ((d[:-2] << np.uint32(16) | d[1:-1] << np.uint32(8) | d[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 15)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    gap = d == 32
-    same = (row[:-2] == row[2:]) & ~(gap[1:-1] & (gap[:-2] | gap[2:]))
-    key = np.sort((row[:-2][same] << 15) | code[same])
-    if not len(key):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    return key[first] >> 15, key[first] & (DIMENSIONS - 1), np.diff(np.append(first, len(key)))
+    key, count = keys[0], counts[0]
+    if len(keys) > 1:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+    return key >> 15, key & (DIMENSIONS - 1), count
 
 
 def _lowered(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +166,28 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, share: float = SHARE) -> tu
 
 
 def fit(docs: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> Model:
-    """Fits to rows with a text and a `lang`; frequencies count all rows. Without any such row all documents are rejected."""
+    """Fits to rows with a text of three characters and a `lang`; frequencies count all rows. Without any such row all documents are rejected.
+
+    Of each language's different texts those of the least hashes are the sample: every language with such a row has a
+    centroid, a text counts once however often it is repeated, and no more than `sample` rows of a language leave the workers.
+    """
     df, n = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    labelled = docs.where("lang is not null and length(text) > 2")
-    per = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for lang, m in per.items():
-        share = F.when(F.col("lang") == lang, min(1 << 30, int((1 << 30) * 0.9 * sample / m) if m > sample else 1 << 30)).otherwise(share)
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("lang", "text")
+    labelled = docs.where("lang is not null and length(text) > 2").select("lang", "text", F.xxhash64("text").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = labelled.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= sample).groupBy("lang").agg(F.max("h").alias("most"))
+    most = {r["lang"]: r["most"] for r in least.collect()}  # a row for each language
+    bound = F.lit(None).cast("long")
+    for lang, h in most.items():
+        bound = F.when(F.col("lang") == lang, F.lit(h)).otherwise(bound)
+    picked = labelled.where(F.col("h") <= bound).dropDuplicates(["lang", "h"]).select("lang", "text")
     t = picked.mapInArrow(_sample_batches, "lang string, dims binary, counts binary").toArrow().sort_by([("lang", "ascending"), ("dims", "ascending"), ("counts", "ascending")])
     langs = np.array(t.column("lang").to_pylist(), object)
     dims = [np.frombuffer(x, np.uint16).astype(np.int64) for x in t.column("dims").to_pylist()]
     counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in t.column("counts").to_pylist()]
     columns, names = [], []
-    for lang in sorted(per):
-        own = np.flatnonzero(langs == lang)[:sample]
+    for lang in sorted(most):
+        own = np.flatnonzero(langs == lang)
         if not len(own):
             continue
         x = np.zeros((len(own), DIMENSIONS), np.float32)
@@ -207,7 +220,7 @@ def floors(similarity: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def _decide_batches(shared, columns: list[str], reject: bool):
+def _decide_batches(shared, columns: list[str], score: str, reject: bool):
     def run(batches):
         model = shared.value
         names = np.array([*model.languages, None], object)
@@ -215,15 +228,15 @@ def _decide_batches(shared, columns: list[str], reject: bool):
             data, offsets = _lowered(batch, "text")
             k, sim, ok = model.decide(data, offsets)
             lang = pa.array(np.where(ok, names[k] if len(model.languages) else None, None), pa.string())
-            arrays = [lang if c == "lang" else pa.array(np.where(ok, sim, 0).astype(np.float64)) if c == "similarity" else batch.column(c) for c in columns]
+            arrays = [lang if c == "lang" else pa.array(np.where(ok, sim, 0).astype(np.float64)) if c == score else batch.column(c) for c in columns]
             out = pa.RecordBatch.from_arrays(arrays, columns)
             yield out.filter(pa.array(ok)) if reject else out
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None = None, reject: bool = True) -> DataFrame:
-    """The rows with `lang` and `similarity` set to the language found and its cosine (columns of these names are replaced).
+def identify(docs: DataFrame, model: Model | None = None, reject: bool = True, score: str = "similarity") -> DataFrame:
+    """The rows with `lang` and the column `score` set to the language found and its cosine; columns of these names are replaced, all others stay.
 
     Rejected rows go, or have a null language and similarity 0 where `reject` is false. Null and empty texts, and those of
     under three bytes, are rejected. The model is fitted to `docs` where none is given. Equal texts fare alike; of
@@ -231,12 +244,11 @@ def identify(docs: DataFrame, model: Model | None = None, reject: bool = True) -
     """
     if model is None:
         model = fit(docs)
-    fields = [f for f in docs.schema if f.name not in ("lang", "similarity")] + [T.StructField("lang", T.StringType()), T.StructField("similarity", T.DoubleType())]
-    at = [f.name for f in docs.schema if f.name in ("lang",)]
+    fields = [f for f in docs.schema if f.name not in ("lang", score)] + [T.StructField("lang", T.StringType()), T.StructField(score, T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in fields]
-    out = docs.mapInArrow(_decide_batches(shared, names, reject), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
-    return out.select(*[f"`{c}`" for c in docs.columns if c != "similarity" and (c != "lang" or at)], *([] if at else ["lang"]), "similarity")
+    out = docs.mapInArrow(_decide_batches(shared, names, score, reject), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+    return out.select(*[col(c) for c in docs.columns if c != score], *([] if "lang" in docs.columns else ["lang"]), col(score))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ natural logarithms.
    and v w x need: they are counts over groups of that partitioning, joined to the rows that they are counted from, and
    the word after x finds its denominator, count(v w), in the same place. Rows travel as arrays and are unpacked by a generator.
 3. Counts of single words are joined by word. The HOT_WORDS most frequent words have numbers of 20 bits and their counts
-   are broadcast, which is a fixed bound; all other words are 63 bits of their hash, and n-grams with such a word in the
-   pair go through a join with the counts of rare words, which no frequent word is in.
+   are broadcast, which is a fixed bound; all other words are 63 bits of their hash. Pairs with such a rare word are
+   partitioned by it, where its occurrences are counted; of a pair of two rare words that occurs elsewhere, the first
+   word goes through a join with the counts of rare words, which no frequent word is in.
 4. The documents' parts are added.
 
 There is one way at all sizes; what is broadcast is never more than HOT_WORDS words.
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, Tokenizer, chunks, materialize, mix64, partitions, table, text_buffers
+from .common import GOLD, Tokenizer, local, materialize, mix64, partitions, spans, table, text_buffers
 
 ALPHA = 0.4
 #: Words that have a number; the highest one stands for all others.
 HOT_WORDS = (1 << 20) - 2
 RARE = (1 << 20) - 1
 #: Words of the corpus for each partition of n-grams, and words exploded at a time: what bounds a worker's memory.
-PART_WORDS = 2_000_000
-FLUSH_WORDS = 1_000_000
+PART_WORDS = 1_500_000
+FLUSH_WORDS = 400_000
 SIGN = -(1 << 63)
 RESULT = "doc_id long, n_words long, log_score double, mean_log_score double"
 
@@ -47,28 +48,47 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
 
 
-def _lists(p: np.ndarray, parts: int, **columns: np.ndarray) -> pa.RecordBatch | None:
-    """A row for each p in use, with the columns' values of that p as arrays in their order."""
-    order = np.argsort(p, kind="stable")
-    bounds = np.searchsorted(p[order], np.arange(parts + 1))
+def labels(spark: SparkSession, parts: int) -> np.ndarray:
+    """A number for each partition that Spark's hash sends there, so that partitions are filled evenly; one that no small number falls to shares another's."""
+    n = F.col("id").cast("int")
+    found = spark.range(32 * parts).groupBy(F.pmod(F.hash(n), F.lit(parts)).alias("to")).agg(F.min(n).alias("n")).collect()  # a row for each partition
+    out = np.arange(32 * parts, 33 * parts)
+    for r in found:
+        out[r["to"]] = r["n"]
+    return out.astype(np.int32)
+
+
+def _lists(p: np.ndarray, order: np.ndarray, label: np.ndarray, whole: dict, some: dict | None = None) -> pa.RecordBatch:
+    """A row for each p in use, under its label, with the columns' values of that p as arrays; p[order] ascends.
+
+    Columns in `some` come with the number of leading values of each p that they have at all: (values, has).
+    """
+    bounds = np.searchsorted(p[order], np.arange(len(label) + 1))
     used = np.flatnonzero(np.diff(bounds))
-    ends = pa.array(np.append(bounds[used], bounds[-1]), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns.values()]], ["p", *columns])
+    ends, arrays = np.append(bounds[used], bounds[-1]), {"p": pa.array(label[used])}
+    for name, c in whole.items():
+        arrays[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[order]))
+    for name, (c, has) in (some or {}).items():
+        kept = has[order]
+        counted = np.append(0, np.cumsum(kept))
+        arrays[name] = pa.ListArray.from_arrays(pa.array(counted[ends], pa.int32()), pa.array(c[order][kept]))
+    return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
-def _count_batches(parts: int):
+def _count_batches(label: np.ndarray):
     def run(batches):
         words, kept, n = Tokenizer(), [], 0
 
         def flush():
             h, at = np.unique(np.concatenate([x[0] for x in kept]), return_inverse=True)
             c = np.bincount(at, np.concatenate([x[1] for x in kept]), len(h)).astype(np.int64)
-            return _lists(((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, h=h.view(np.int64), c=c)
+            p = ((h >> np.uint64(20)) % np.uint64(len(label))).astype(np.int64)
+            return _lists(p, np.lexsort((c, p)), label, {"h": h.view(np.int64), "c": c})  # counts in order take next to no space
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            for a, b in chunks(offsets):
-                _, _, _, h = words.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b, lo, hi, _ in spans(data, offsets):
+                _, _, _, h = words.words(data[lo:hi], local(offsets, a, b, lo, hi))
                 h, c = np.unique(h, return_counts=True)
                 kept.append((h, c))
                 n += len(h)
@@ -84,7 +104,7 @@ def _count_batches(parts: int):
 def word_counts(docs: DataFrame) -> DataFrame:
     """(h, c): 64-bit hash of each word and its count over all documents."""
     parts = partitions(docs.sparkSession)
-    packed = _texts(docs).mapInArrow(_count_batches(4 * parts), "p int, h array<long>, c array<long>").repartition(parts, "p")
+    packed = _texts(docs).mapInArrow(_count_batches(labels(docs.sparkSession, parts)), "p int, h array<long>, c array<long>").repartition(parts, "p")
     rows = packed.select("p", "c", F.posexplode("h").alias("i", "h")).select("p", "h", F.get("c", F.col("i")).alias("n"))
     return rows.groupBy("h", "p").agg(F.sum("n").alias("c")).select("h", "c")
 
@@ -101,12 +121,12 @@ def frequent(counts: DataFrame) -> DataFrame:
     return counts.where(level >= least).select(F.row_number().over(Window.orderBy(F.desc("c"), "h")).cast("long").alias("id"), "h", "c")
 
 
-def _explode_batches(shared, parts: int, rare: bool):
+def _explode_batches(shared, label: np.ndarray, rare: bool):
     """The n-grams whose pair has no rare word, or those whose pair has one."""
 
     def run(batches):
         known, ids = shared.value  # sorted hashes and their numbers
-        words, held, size, texts = Tokenizer(), [], 0, 0
+        words, held, size, texts, skip = Tokenizer(), [], 0, 0, 0
 
         def number(h: np.ndarray) -> np.ndarray:
             unique, at = np.unique(h, return_inverse=True)
@@ -115,76 +135,103 @@ def _explode_batches(shared, parts: int, rare: bool):
             other = (unique >> np.uint64(1)).view(np.int64) | np.int64(SIGN)
             return np.where(found, ids[i] if len(known) else 0, other)[at]
 
-        def flush():
+        def flush(ends: bool):
+            """The rows of the words held. Where the last text goes on, its last three words stay for the next time, when only the last is still to come."""
+            nonlocal held, size, skip
             doc, w, text = (np.concatenate([x[k] for x in held]) for k in range(3))
+            done, todo = skip, len(w) if ends else len(w) - 1
+            held, size = ([], 0) if ends else ([(doc[-3:], w[-3:], text[-3:])], 0)
+            skip = 0 if ends else min(3, len(w)) - 1
             same, n = text[1:] == text[:-1], len(w)
             v, u, x = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             v[1:] = np.where(same, w[:-1], 0)
             u[2:] = np.where(same[1:] & same[:-1], w[:-2], 0)
             x[:-1] = np.where(same, w[1:], 0)
-            mine = np.flatnonzero(((v < 0) | (w < 0)) == rare)
+            mine = done + np.flatnonzero((((v < 0) | (w < 0)) == rare)[done:todo])
             if not len(mine):
-                return None
+                return
             doc, u, v, w, x = doc[mine], u[mine], v[mine], w[mine], x[mine]
             cu, cv, cw, cx = (np.where(y < 0, RARE, y).view(np.uint64) for y in (u, v, w, x))
-            a = cv << np.uint64(44) | cw << np.uint64(24) | cu << np.uint64(4) | cx >> np.uint64(16)
+            small = (cu | cv | cw | cx) < 1 << 16
+            a = np.where(small, cv << np.uint64(48) | cw << np.uint64(32) | cu << np.uint64(16) | cx, cv << np.uint64(44) | cw << np.uint64(24) | cu << np.uint64(4) | cx >> np.uint64(16)).view(np.int64)
+            tail = (cx & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
             # First words of documents have no pair; they are spread by document, as many may begin alike.
-            pair = np.where(v == 0, doc, v).view(np.uint64) * GOLD + w.view(np.uint64)
-            p = (mix64(pair) % np.uint64(parts)).astype(np.int64)
-            columns = {"doc": doc, "a": a.view(np.int64), "b": (cx & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16), "ru": np.minimum(u, 0), "rx": np.minimum(x, 0)}
-            return _lists(p, parts, **columns, **({"rv": np.minimum(v, 0), "rw": np.minimum(w, 0)} if rare else {}))
+            r = np.where(w < 0, w, v)
+            key = r.view(np.uint64) if rare else np.where(v == 0, doc, v).view(np.uint64) * GOLD + w.view(np.uint64)
+            p = (mix64(key * GOLD) % np.uint64(len(label))).astype(np.int64)
+            second = np.where(w < 0, np.minimum(v, 0), 0)
+            full = (u < 0) | (x < 0) | (second < 0)
+            sparse = {"b": (tail, ~small), "ru": (u, full), "rx": (x, full)} | ({"rv": (second, full)} if rare else {})
+            yield _lists(p, np.lexsort((small, ~full, p)), label, {"doc": doc, "a": a} | ({"r": r} if rare else {}), sparse)
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b in chunks(offsets):
-                row, _, _, h = words.words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b, lo, hi, ends in spans(data, offsets):
+                row, _, _, h = words.words(data[lo:hi], local(offsets, a, b, lo, hi))
                 if len(h):
                     held.append((doc_ids[a + row], number(h), texts + row))
-                    texts += b - a
                     size += len(h)
-                    if size > FLUSH_WORDS:
-                        if (out := flush()) is not None:
-                            yield out
-                        held, size = [], 0
-        if held and (out := flush()) is not None:
-            yield out
+                texts += ends * (b - a)
+                if size > FLUSH_WORDS:
+                    yield from flush(ends)
+        if held:
+            yield from flush(True)
 
     return run
 
 
 def _exploded(docs: DataFrame, shared, parts: int, rare: bool) -> DataFrame:
-    """(p, doc, u, v, w, x) partitioned by p, a hash of the pair (v, w); words are numbers, those of rare ones negative, 0 for none."""
-    columns = ["rv", "rw"] if rare else []
-    fine = 8 * parts
-    packed = _texts(docs).mapInArrow(_explode_batches(shared, fine, rare), "p int, doc array<long>, a array<long>, b array<smallint>, ru array<long>, rx array<long>" + "".join(f", {c} array<long>" for c in columns)).repartition(parts, "p")
-    rows = packed.select("p", "doc", "b", "ru", "rx", *columns, F.posexplode("a").alias("i", "a"))
-    at = lambda c: F.get(c, F.col("i"))
-    bits = lambda shift: F.shiftrightunsigned("a", shift).bitwiseAND(F.lit(RARE))
-    tail = F.shiftleft(F.col("a").bitwiseAND(F.lit(15)), 16).bitwiseOR(at("b").cast("int").bitwiseAND(F.lit(0xFFFF)).cast("long"))
-    word = lambda code, full: F.when(code == RARE, at(full)).otherwise(code)
-    pair = [word(bits(44), "rv").alias("v"), word(bits(24), "rw").alias("w")] if rare else [F.shiftrightunsigned("a", 24).alias("vw")]
-    return rows.select("p", at("doc").alias("doc"), *pair, word(bits(4), "ru").alias("u"), word(tail, "rx").alias("x"))
-
+    """The n-grams, partitioned by p: (p, doc, vw, u, x), vw being the pair, or (p, doc, r, v, w, u, x) where r is its rare word, the second one if both are.
 
-def _scored(rows: DataFrame, pair: list[str], total: int, alpha: float) -> DataFrame:
+    Words are numbers, those of rare ones negative, 0 for none. Values of 16 bits each fill one number; others have
+    20 bits, of which the last 16 are in b, and come first in a row's arrays, those with further rare words before all.
+    """
+    kinds = {"doc": "bigint", "a": "bigint", "b": "smallint", "ru": "bigint", "rx": "bigint"} | ({"r": "bigint", "rv": "bigint"} if rare else {})
+    kinds = {"p": "int"} | {c: f"array<{kinds[c]}>" for c in ["doc", "a", *(["r"] if rare else []), "b", "ru", "rx", *(["rv"] if rare else [])]}
+    packed = _texts(docs).mapInArrow(_explode_batches(shared, labels(docs.sparkSession, parts), rare), ", ".join(f"{c} {k}" for c, k in kinds.items())).repartition(parts, "p")
+    rows = packed.select(*[c for c in kinds if c != "a"], F.posexplode("a").alias("i", "a"))
+    at = lambda c: F.get(c, F.col("i"))
+    bits = lambda shift, mask: F.shiftrightunsigned("a", shift).bitwiseAND(F.lit(mask))
+    small = F.col("i") >= F.size("b")
+    code = lambda short, long: F.when(small, bits(short, 0xFFFF)).otherwise(bits(long, RARE))
+    v, w, u = code(48, 44), code(32, 24), code(16, 4)
+    x = F.when(small, bits(0, 0xFFFF)).otherwise(F.shiftleft(bits(0, 15), 16).bitwiseOR(at("b").cast("int").bitwiseAND(F.lit(0xFFFF)).cast("long")))
+    word = lambda c, full: F.when(c == RARE, full).otherwise(c)
+    if rare:
+        second = F.coalesce(at("rv"), F.lit(0))
+        pair = [at("r").alias("r"), word(v, F.when(second < 0, second).otherwise(at("r"))).alias("v"), word(w, at("r")).alias("w")]
+    else:
+        pair = [F.shiftleft(v, 20).bitwiseOR(w).alias("vw")]
+    return rows.select("p", at("doc").alias("doc"), *pair, word(u, at("ru")).alias("u"), word(x, at("rx")).alias("x"))
+
+
+def _scored(rows: DataFrame, rare: bool, total: int, alpha: float) -> DataFrame:
     """(doc, s, need, times) of each row: its part of the score, but for `times` the logarithm of the count of the word `need`."""
+    pair = ["v", "w"] if rare else ["vw"]
 
     def elsewhere(df: DataFrame, name: str, *more: str) -> DataFrame:
         own, every = (Window.partitionBy(*pair, "p", *more, *d) for d in (["doc"], []))
         # Counting _own keeps the two windows in this order, and so under one sort.
         return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count(F.when(F.col("_own") > 0, 1)).over(every) - F.col("_own")).drop("_own")
 
-    rows = elsewhere(elsewhere(elsewhere(rows, "n3", "x"), "c3", "u"), "c2")
-    v, w = (F.col("v"), F.col("w")) if pair == ["v", "w"] else (F.shiftrightunsigned("vw", 20), F.col("vw").bitwiseAND(F.lit(RARE)))
-    has_u, has_v, has_x = F.col("u") != 0, v != 0, F.col("x") != 0
+    rows = elsewhere(rows, "n3", "x").withColumn("next", (F.col("x") != 0) & (F.col("n3") > 0)).drop("x", "n3")
+    rows = elsewhere(elsewhere(rows, "c2"), "c3", "u")
+    v, w = (F.col("v"), F.col("w")) if rare else (F.shiftrightunsigned("vw", 20), F.col("vw").bitwiseAND(F.lit(RARE)))
+    has_u, has_v = F.col("u") != 0, v != 0
     log_a = float(np.log(alpha))
     third, second = has_u & (F.col("c3") > 0), has_v & (F.col("c2") > 0)
     unseen = F.when(has_u, 2 * log_a).when(has_v, log_a).otherwise(0.0) - float(np.log(total))
     s = F.when(third, F.log("c3")).when(second, F.log("c2") + F.when(has_u, log_a).otherwise(0.0)).otherwise(unseen)
     # The denominator of the word after this pair, if that triple occurs elsewhere.
-    s = s - F.when(has_v & has_x & (F.col("n3") > 0), F.log("c2")).otherwise(0.0)
-    return rows.select("doc", s.alias("s"), F.when(~third & second, v).otherwise(w).alias("need"), F.when(third, 0).when(second, -1).otherwise(1).alias("times"))
+    s = s - F.when(has_v & F.col("next"), F.log("c2")).otherwise(0.0)
+    need, times = F.when(~third & second, v).otherwise(w), F.when(third, 0).when(second, -1).otherwise(1)
+    if rare:
+        # All rows of the rare word r are here, and each of its occurrences is w in one of them.
+        rows = rows.withColumn("c1", F.count(F.when(F.col("w") == F.col("r"), 1)).over(Window.partitionBy("r", "p")))
+        s = s + F.when(need == F.col("r"), times * F.log("c1")).otherwise(0.0)
+        times = F.when(need == F.col("r"), 0).otherwise(times)
+    return rows.select("doc", s.alias("s"), need.alias("need"), times.alias("times"))
 
 
 def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -200,23 +247,23 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     if not total:
         return spark.createDataFrame([], RESULT)
     hot = materialize(frequent(counts))
-    t = hot.select("h", "id").toArrow()
+    t = hot.toArrow()
     h = t.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], t.column("id").to_numpy()[order]))
     parts = max(partitions(spark), -(-int(total) // PART_WORDS))
     logs = F.broadcast(hot.select(F.col("id").alias("need"), F.log("c").alias("log_c")))
 
-    def numbered(rare: bool, pair: list[str]) -> DataFrame:
-        rows = _scored(_exploded(docs, shared, parts, rare), pair, int(total), alpha)
+    def numbered(rare: bool) -> DataFrame:
+        rows = _scored(_exploded(docs, shared, parts, rare), rare, int(total), alpha)
         return rows.join(logs, "need", "left").withColumn("s", F.col("s") + F.col("times") * F.coalesce("log_c", F.lit(0.0)))
 
-    out = numbered(False, ["vw"]).select("doc", "s", F.lit(1).cast("long").alias("n"))
+    out = numbered(False).select("doc", "s", F.lit(1).cast("long").alias("n"))
     if len(h) < size:
         # What needs no rare word's count meets none in the join, and is spread by document.
         key = F.when((F.col("need") < 0) & (F.col("times") != 0), F.col("need")).otherwise(F.shiftrightunsigned(F.xxhash64("doc"), 1))
-        needed = numbered(True, ["v", "w"]).withColumn("need", key).groupBy("doc", "need").agg(F.sum("s").alias("s"), F.sum("times").alias("times"), F.count("*").alias("n"))
-        rest = counts.join(F.broadcast(hot.select("h")), "h", "left_anti").select(F.shiftrightunsigned("h", 1).bitwiseOR(F.lit(SIGN)).alias("need"), F.log("c").alias("log_c"))
+        needed = numbered(True).withColumn("need", key).groupBy("doc", "need").agg(F.sum("s").alias("s"), F.sum("times").alias("times"), F.count("*").alias("n"))
+        rest = counts.where(F.col("c") < min(t.column("c").to_pylist(), default=total + 1)).select(F.shiftrightunsigned("h", 1).bitwiseOR(F.lit(SIGN)).alias("need"), F.log("c").alias("log_c"))
         out = out.unionByName(needed.join(rest, "need", "left").select("doc", (F.col("s") + F.col("times") * F.coalesce("log_c", F.lit(0.0))).alias("s"), "n"))
     out = out.groupBy(F.col("doc").alias("doc_id")).agg(F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
     return out.withColumn("mean_log_score", F.col("log_score") / F.col("n_words"))

@@ -6,9 +6,11 @@ the schedule maps the golden-ratio point frac((i + 1) * 0.618...) through the cu
 of rank r within its source takes block r modulo the source's blocks; r divided by them is the epoch. All of it is
 relational: ranks are running counts over buckets of slots, and slots meet blocks in an equi-join.
 
-There are as many slots as every block needs to come at least once: no document of a source with tokens is lost, and a
-source that is small for its weight comes again in further epochs. A source whose texts are all null or blank has no
-tokens, so without given weights its weight is 0: it gets no slot and its documents are left out, as in the SQL.
+There are as many slots as every block needs to come at least once: no document is lost, and a source that is small for
+its weight comes again in further epochs. Without given weights every source counts as one block at least, also one
+whose texts are all null or blank; so the slots are never more than a few times the blocks.
+
+The points are integers modulo 2**53, exact for 2**36 slots (10**14 tokens).
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, md5_bucket, row_digest, running_sum, table, word_count
+from .common import col, materialize, md5_bucket, row_digest, running_sum, table, unused, word_count
 
 BLOCK_TOKENS = 2048
 #: Without given weights, a source's weight is its share of tokens to this power: below 1, small sources come more often.
 TEMPERATURE = 0.8
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction times 2**53, in a part of 27 bits and one of 26.
+GOLDEN = 5566755282872655
+GOLDEN_HIGH, GOLDEN_LOW = GOLDEN >> 26, GOLDEN & (1 << 26) - 1
 SLOT_BUCKET = 1 << 16
 CELLS = 4096
 SEED = "mix"
@@ -41,8 +45,9 @@ def _slots(sources: DataFrame, slots: int) -> DataFrame:
     """(_slot, _source, _rank) from (_source, _lo, _hi), the ranges of the sources in [0, 1)."""
     spark = sources.sparkSession
     cells = sources.where("_hi > _lo").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
-    x = (F.col("id") + 1) * F.lit(GOLDEN)
-    points = spark.range(slots).select(F.col("id").alias("_slot"), (x - F.floor(x)).alias("_x")).withColumn("_cell", F.floor(F.col("_x") * CELLS))
+    i = F.col("id") + 1
+    x = (i * F.lit(GOLDEN_LOW) + (i * F.lit(GOLDEN_HIGH)) % F.lit(1 << 27) * F.lit(1 << 26)) % F.lit(1 << 53)
+    points = spark.range(slots).select(F.col("id").alias("_slot"), (x.cast("double") / F.lit(float(1 << 53))).alias("_x")).withColumn("_cell", F.floor(F.col("_x") * CELLS))
     hit = points.join(cells, "_cell").where("_x >= _lo and _x < _hi").select("_slot", "_source")
     bucketed = hit.withColumn("_bucket", F.floor(F.col("_slot") / F.lit(SLOT_BUCKET)))
     return running_sum(bucketed, ["_source"], "_bucket", [F.col("_slot")], F.lit(1), "_rank").select("_slot", "_source", "_rank")
@@ -56,12 +61,12 @@ def scheduled(docs: DataFrame, weights: dict | None = None, block_tokens: int =
     given number of `slots`, blocks of higher ranks are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(_source(F.col(f"`{source}`")).alias("_source"), digest_of(id_, text, source).alias("_digest"), word_count(F.col(f"`{text}`")).alias("_n"))
+    rows = docs.select(_source(col(source)).alias("_source"), digest_of(id_, text, source).alias("_digest"), word_count(col(text)).alias("_n"))
     units = materialize(rows.groupBy("_source", "_digest").agg(F.sum("_n").alias("_n")))
     blocks = materialize(_blocks(units, block_tokens))
     per = blocks.groupBy("_source").agg((F.max("_block") + 1).alias("_blocks")).join(units.groupBy("_source").agg(F.sum("_n").alias("_tokens")), "_source")
     if weights is None:
-        weighted = per.withColumn("_weight", F.pow(F.col("_tokens").cast("double"), F.lit(float(temperature))))
+        weighted = per.withColumn("_weight", F.pow(F.greatest(F.col("_tokens"), F.lit(block_tokens)).cast("double"), F.lit(float(temperature))))
     else:
         if any(w < 0 for w in weights.values()):
             raise ValueError("weights must not be negative")
@@ -80,18 +85,19 @@ def scheduled(docs: DataFrame, weights: dict | None = None, block_tokens: int =
 
 
 def digest_of(id_: str, text: str, source: str):
-    return row_digest(SEED, F.col(f"`{source}`"), F.col(f"`{id_}`"), F.md5(F.col(f"`{text}`")))
+    return row_digest(SEED, col(source), col(id_), F.md5(col(text)))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, **options) -> DataFrame:
     """The documents as the schedule has them: all columns, a row for each slot that takes the document's block."""
     names = {k: options.get(k, d) for k, d in (("id_", "doc_id"), ("text", "text"), ("source", "source"))}
-    plan = scheduled(docs, weights, **options).select(F.col("_digest").alias("_of"))
-    return docs.withColumn("_digest", digest_of(**names)).join(plan, F.col("_digest") == F.col("_of")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    digest, of = unused(docs.columns, "_digest", "_of")
+    plan = scheduled(docs, weights, **options).select(F.col("_digest").alias(of))
+    return docs.withColumn(digest, digest_of(**names)).join(plan, col(digest) == col(of)).select(*map(col, docs.columns))
 
 
 def op8_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(slot, doc_id, source, epoch): the whole schedule over all documents of sources that have tokens."""
+    """(slot, doc_id, source, epoch): the whole schedule over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = scheduled(docs)
     return docs.select("doc_id", "source", digest_of("doc_id", "text", "source").alias("_digest")).join(plan, "_digest").select(F.col("_slot").alias("slot"), "doc_id", "source", F.col("_epoch").alias("epoch"))
@@ -103,12 +109,12 @@ WITH d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS n FROM documents),
 u AS (SELECT src, dg, sum(n)::BIGINT AS n FROM d GROUP BY ALL),
 b AS (SELECT src, dg, n, (coalesce(sum(n) OVER (PARTITION BY src ORDER BY dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {BLOCK_TOKENS}) AS block FROM u),
-w AS (SELECT src, max(block) + 1 AS blocks, pow(sum(n)::DOUBLE, {TEMPERATURE}::DOUBLE) AS weight FROM b GROUP BY src),
+w AS (SELECT src, max(block) + 1 AS blocks, pow(greatest(sum(n), {BLOCK_TOKENS})::DOUBLE, {TEMPERATURE}::DOUBLE) AS weight FROM b GROUP BY src),
 p AS (SELECT src, blocks, weight / sum(weight) OVER () AS p, CASE WHEN row_number() OVER (ORDER BY src) = count(*) OVER () THEN 1 ELSE sum(weight) OVER (ORDER BY src) / sum(weight) OVER () END AS hi FROM w WHERE weight > 0),
 r AS (SELECT *, lag(hi, 1, 0) OVER (ORDER BY src) AS lo FROM p),
 t AS (SELECT max(ceil((blocks + 2 + ln(blocks / p + 2)) / p))::BIGINT AS slots FROM r),
-x AS (SELECT i AS slot, (i + 1) * {GOLDEN}::DOUBLE AS y FROM t, range(slots) s(i)),
-s AS (SELECT slot, src, blocks, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rnk FROM x JOIN r ON y - floor(y) >= lo AND y - floor(y) < hi)
+x AS (SELECT i AS slot, (((i + 1) * {GOLDEN_LOW} + (i + 1) * {GOLDEN_HIGH} % {1 << 27} * {1 << 26}) % {1 << 53})::DOUBLE / {1 << 53}::DOUBLE AS y FROM t, range(slots) s(i)),
+s AS (SELECT slot, src, blocks, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS rnk FROM x JOIN r ON y >= lo AND y < hi)
 SELECT s.slot, d.doc_id, d.source, s.rnk // s.blocks AS epoch
 FROM s JOIN b ON b.src = s.src AND b.block = s.rnk % s.blocks JOIN d ON d.dg = b.dg
 """

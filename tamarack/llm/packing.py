@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, md5_bucket, row_digest, running_sum, table, word_count
+from .common import col, materialize, md5_bucket, row_digest, running_sum, table, word_count
 
 CAPACITY = 2048
 SEED = "pack"
@@ -161,8 +161,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_: str = "doc_id", text:
     length goes where is settled by a hash, so that a result is always the same. Other columns are ignored.
     """
     spark = docs.sparkSession
-    n = word_count(F.col(f"`{text}`")) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    rows = docs.select(F.col(f"`{id_}`").alias("doc_id"), n.alias("_n"), row_digest(SEED, F.col(f"`{id_}`"), F.md5(F.col(f"`{text}`").cast("string"))).alias("_digest"))
+    n = word_count(col(text)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
+    rows = docs.select(col(id_).alias("doc_id"), n.alias("_n"), row_digest(SEED, col(id_), F.md5(col(text).cast("string"))).alias("_digest"))
     units = rows.groupBy("doc_id", "_n", "_digest").agg(F.count("*").alias("_copies"))
     units = materialize(units.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("doc_id", "_n", "_digest", "_copy", (F.col("_n") % capacity).cast("int").alias("_rest"), F.floor(F.col("_n") / F.lit(capacity)).cast("long").alias("_full")))
     counts = np.zeros(capacity + 1, np.int64)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, table, unused
 
 STOP_WORDS = (
     "a an and are as at be by for from he in is it of on or that the this to was were with "
@@ -77,31 +77,33 @@ def once(x: Column) -> Column:
     return F.explode(F.array(x))
 
 
-def scored(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """All columns, with `_metrics` (a struct), and `_keep` compiled from the table.
+def scored(docs: DataFrame, rules=RULES, text: str = "text", measured: str = "_metrics", keep_: str = "_keep") -> DataFrame:
+    """All columns, with the struct `measured`, and `keep_` compiled from the table; columns of these two names are replaced.
 
     A null text counts as an empty one: all its metrics are 0, and it fails `n_words`.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t = F.coalesce(col(text), F.lit(""))
     words = F.filter(F.split(F.lower(t), "[ \t\n\r\f]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     # A generator of one row holds what is computed: the optimizer would copy plain projections into each rule.
-    parts = docs.withColumn("_parts", once(F.struct(t.alias("t"), words.alias("w"), lines.alias("l"))))
-    every = metrics(F.col("_parts.t"), F.col("_parts.w"), F.col("_parts.l"))
-    out = parts.withColumn("_metrics", once(F.struct(*[c.alias(n) for n, c in every.items()])))
+    (held,) = unused([*docs.columns, measured, keep_], "_parts")
+    parts = docs.withColumn(held, once(F.struct(t.alias("t"), words.alias("w"), lines.alias("l"))))
+    every = metrics(col(held)["t"], col(held)["w"], col(held)["l"])
+    out = parts.withColumn(measured, once(F.struct(*[c.alias(n) for n, c in every.items()])))
     keep = F.lit(True)
     for r in rules:
         if r.metric not in every:
             raise ValueError(f"no metric {r.metric}; there are {', '.join(every)}")
-        value = F.col("_metrics")[r.metric]
+        value = col(measured)[r.metric]
         within = (F.lit(True) if r.low is None else value >= r.low) & (F.lit(True) if r.high is None else value <= r.high)
-        keep = keep & (within | (F.col("_metrics")["n_words"] < r.words) if r.words else within)
-    return out.withColumn("_keep", keep).drop("_parts")
+        keep = keep & (within | (col(measured)["n_words"] < r.words) if r.words else within)
+    return out.withColumn(keep_, keep).drop(held)
 
 
 def keep_good(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The rows within all thresholds, with their own columns and no others. Rows that are equal fare alike."""
-    return scored(docs, rules, text).where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured, keep = unused(docs.columns, "_metrics", "_keep")
+    return scored(docs, rules, text, measured, keep).where(col(keep)).select(*map(col, docs.columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, table, unused
 
 #: name -> (weight, children) at inner levels, name -> weight at the last one.
 TREE = {
@@ -53,19 +53,20 @@ def assign(df: DataFrame, key: str, tree: dict | None = None, levels: tuple[str,
     for _, subtree in list(_walk(tree)):
         if weight_of(subtree) < 0:
             raise ValueError("weights must not be negative")
-    out = df.withColumn("_key", F.col(f"`{key}`").cast("string"))
+    key_, at_, path_ = unused([*df.columns, *levels], "_key", "_at", "_path")
+    out = df.withColumn(key_, col(key).cast("string"))
     for k, level in enumerate(levels):
-        picks = [(path, chosen(F.col("_key"), children, path, seed)) for path, children in at.items()]
+        picks = [(path, chosen(col(key_), children, path, seed)) for path, children in at.items()]
         if k == 0:
             pick = picks[0][1]
         else:
             pick = F.lit(None).cast("string")
             for path, p in picks:
-                pick = F.when(F.col("_path") == path, p).otherwise(pick)
-        out = out.withColumn("_at", F.when(F.col("_key").isNotNull(), pick))
-        out = out.withColumn("_path", F.concat(F.col("_path") if k else F.lit(""), F.col("_at"), F.lit("/"))).withColumn(level, F.col("_at"))
+                pick = F.when(col(path_) == path, p).otherwise(pick)
+        out = out.withColumn(at_, F.when(col(key_).isNotNull(), pick))
+        out = out.withColumn(path_, F.concat(col(path_) if k else F.lit(""), col(at_), F.lit("/"))).withColumn(level, col(at_))
         at = {f"{path}{n}/": c[1] for path, children in at.items() for n, c in children.items() if isinstance(c, tuple)}
-    return out.drop("_key", "_at", "_path")
+    return out.drop(key_, at_, path_)
 
 
 def _walk(children: dict):

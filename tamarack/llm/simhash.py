@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLD, Tokenizer, chunks, materialize, mix64, partitions, row_bounds, table, text_buffers
+from .common import GOLD, Tokenizer, chunks, col, materialize, mix64, partitions, row_bounds, release, table, text_buffers, unused, written
 
 RADIUS = 26
 TILE_ROWS, TILE_COLUMNS = 256, 4096
@@ -29,18 +29,18 @@ def signatures_of(data: np.ndarray, offsets: np.ndarray, words: Tokenizer) -> tu
     count = np.diff(bounds)
     with np.errstate(over="ignore"):
         if len(h) > 1:
-            pair = mix64(h[:-1] * GOLD + h[1:])
-            feature = np.concatenate([pair[row[:-1] == row[1:]], h[bounds[:-1][count == 1]]])
-            of = np.concatenate([row[:-1][row[:-1] == row[1:]], np.flatnonzero(count == 1)])
-            order = np.argsort(of, kind="stable")
-            feature, of = feature[order], of[order]
+            same = row[:-1] == row[1:]
+            feature, of = mix64(h[:-1] * GOLD + h[1:])[same], row[:-1][same]
+            if (count == 1).any():
+                feature, of = np.concatenate([feature, h[bounds[:-1][count == 1]]]), np.concatenate([of, np.flatnonzero(count == 1)])
+                order = np.argsort(of, kind="stable")
+                feature, of = feature[order], of[order]
         else:
             feature, of = h, row
         bits = np.stack([feature, mix64(feature ^ GOLD)], 1)
     out = np.zeros((n, 2), np.uint64)
     if not len(feature):
         return count > 0, out
-    lanes = np.unpackbits(bits.view(np.uint8), axis=1).view(np.uint64)  # 16 words of 8 one-byte counters
     fb = row_bounds(of, n)
     size = np.diff(fb)
     live = np.flatnonzero(size)
@@ -48,8 +48,12 @@ def signatures_of(data: np.ndarray, offsets: np.ndarray, words: Tokenizer) -> tu
     blocks = (size[live] + 254) // 255
     first = np.cumsum(blocks) - blocks
     at = np.repeat(fb[live], blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
-    sums = np.add.reduceat(lanes, at, axis=0).view(np.uint8).astype(np.int32)
-    ones = np.add.reduceat(sums, first, axis=0)
+    sums = np.empty((len(at), 128), np.uint8)
+    for g in range(0, len(at), 512):
+        to = at[g + 512] if g + 512 < len(at) else len(bits)
+        lanes = np.unpackbits(bits[at[g] : to].view(np.uint8), axis=1).view(np.uint64)  # 16 words of 8 one-byte counters
+        sums[g : g + 512] = np.add.reduceat(lanes, at[g : g + 512] - at[g], axis=0).view(np.uint8)
+    ones = np.add.reduceat(sums.astype(np.int32), first, axis=0)
     out[live] = np.packbits(ones * 2 > size[live, None], axis=1).view(np.uint64)
     return count > 0, out
 
@@ -159,7 +163,9 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        mark = written()
         edges = materialize(small.where("u <> v").distinct())
+        release(mark - 1, mark)  # the edges before
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
@@ -213,8 +219,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without those that near_duplicates() names; rows without an id stay."""
-    gone = near_duplicates(docs, radius).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    (gone,) = unused(docs.columns, "_gone")
+    return docs.join(near_duplicates(docs, radius).select(F.col("doc_id").alias(gone)), col("doc_id") == col(gone), "left_anti")
 
 
 QUERIES = {"op5_simhash_dedup": op5_simhash_dedup}

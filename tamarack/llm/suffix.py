@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Tokenizer, chunks, materialize, mix64, partitions, row_bounds, table, text_buffers
+from .common import Tokenizer, chunks, col, materialize, mix64, partitions, row_bounds, table, text_buffers, unused
 
 PASSAGE = 50
 ANCHOR = 25
@@ -233,12 +234,12 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR
     return lists.select(F.col("doc").alias("doc_id"), F.explode(joined).alias("r")).select("doc_id", "r.begin", "r.end")
 
 
-def _cut_batches(columns: list[str]):
+def _cut_batches(columns: list[str], cuts_: str):
     def run(batches):
         words = Tokenizer()
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            cuts = batch.column("_cuts").to_pylist()
+            cuts = batch.column(cuts_).to_pylist()
             texts = batch.column("text").to_pylist()
             for i, ranges in enumerate(cuts):
                 if not ranges or texts[i] is None:
@@ -262,11 +263,11 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     A document of which nothing is left goes; one that was empty or null before stays as it was.
     """
-    spans = repeated_spans(docs, passage).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("begin", "end")).alias("_cuts"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["_doc"], "left").select(*docs.columns, "_cuts")
-    plain = joined.select(*docs.columns, "_cuts", F.col("_cuts").isNotNull().alias("_cut"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = plain.mapInArrow(_cut_batches([*docs.columns, "_cut"]), f"{kinds}, _cut boolean").where("not _cut or trim(BOTH ' \t\n\r\f' FROM text) <> ''").drop("_cut")
+    of, cuts, cut = unused(docs.columns, "_doc", "_cuts", "_cut")
+    spans = repeated_spans(docs, passage).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("begin", "end")).alias(cuts))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[of], "left").select(*map(col, docs.columns), col(cuts), col(cuts).isNotNull().alias(cut))
+    kinds = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField(cut, T.BooleanType())])
+    out = joined.mapInArrow(_cut_batches([*docs.columns, cut], cuts), kinds).where(~col(cut) | (F.trim(F.translate("text", "\t\n\r\f", "    ")) != "")).drop(cut)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -2,7 +2,7 @@
 
 The list holds pages (host and path) and whole sites (a bare host, which also stands for its subdomains). A URL is
 looked up by its canonical form and by each suffix of its host. Keys that pass the filter are joined with the list
-itself, so a false positive never takes a page away, and only the URLs behind possible hits are shuffled.
+itself, so a false positive never takes a page away, and only the rows behind possible hits are shuffled.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, table
+from .common import col, materialize, mix64, table, unused
 
 #: Bits for each listed key; a key sets one bit in each of the 8 words of one 512-bit block.
 BITS_PER_KEY = 16
+#: The filter is broadcast and never larger than this. A list of more than 32 million keys gets fewer bits for each, so that more rows reach the exact join.
 FILTER_MB = 64
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid|sessionid"
 #: The sites that the registered query lists besides single pages.
@@ -68,9 +69,9 @@ def _partial_filters(blocks: int):
     return run
 
 
-def bloom_filter(keys: DataFrame, n: int) -> np.ndarray:
+def bloom_filter(keys: DataFrame, n: int, most_mb: int = FILTER_MB) -> np.ndarray:
     """The filter of (h long), `n` keys, as an array of blocks of 8 words; partial filters are joined by OR before they reach the driver."""
-    blocks = max(1, -(-n * BITS_PER_KEY // 512))
+    blocks = max(1, min(-(-n * BITS_PER_KEY // 512), most_mb << 14))
     partial = keys.mapInArrow(_partial_filters(blocks), "block long, " + ", ".join(f"w{k} long" for k in range(8)))
     t = partial.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(8)]).toArrow()
     words = np.zeros((blocks, 8), np.uint64)
@@ -98,26 +99,24 @@ def _maybe(shared):
 def drop_listed(pages: DataFrame, listed: DataFrame, url: str = "url", listed_url: str = "url", filter_mb: int = FILTER_MB) -> DataFrame:
     """The rows of `pages` whose URL isn't listed, with all their columns.
 
-    Rows with a null or blank URL are never listed and stay; repeated rows fare alike. Null and blank list entries
-    count for nothing, and an empty list takes nothing away. Where the filter would exceed `filter_mb`, every URL goes to the exact join.
+    Rows with a null or blank URL are never listed and stay; repeated rows fare alike. Null and blank list entries count
+    for nothing, and an empty list takes nothing away. What `filter_mb` allows for the filter changes how many rows the
+    exact join sees, never the result. A key that many URLs share is a skewed key of semi- and anti-joins, which
+    adaptive execution splits.
     """
     spark = pages.sparkSession
-    keys = materialize(listed.select(canonical(F.col(f"`{listed_url}`")).alias("key")).where("key is not null").distinct())
+    keys = materialize(listed.select(canonical(col(listed_url)).alias("key")).where("key is not null").distinct())
     n = keys.count()
     if not n:
         return pages
-    form = canonical(F.col(f"`{url}`"))
-    if n * BITS_PER_KEY <= filter_mb << 23:
-        words = bloom_filter(keys.select(F.xxhash64("key").alias("h")), n)
-        maybe = _maybe(spark.sparkContext.broadcast(words))
-        tested = pages.withColumn("_maybe", maybe(F.transform(lookup_keys(F.coalesce(form, F.lit(""))), lambda k: F.xxhash64(k))) & form.isNotNull())
-        possible, clear = tested.where("_maybe").drop("_maybe"), tested.where("not _maybe").drop("_maybe")
-    else:
-        possible, clear = pages, None
-    exploded = possible.select(F.col(f"`{url}`").alias("_url")).distinct().select("_url", F.explode(lookup_keys(canonical(F.col("_url")))).alias("key"))
-    hits = exploded.join(keys, "key", "left_semi").select("_url").distinct()
-    kept = possible.join(hits, possible[url] == hits["_url"], "left_anti")
-    return kept if clear is None else clear.unionByName(kept)
+    test, hit = unused(pages.columns, "_maybe", "_hit")
+    form = canonical(col(url))
+    maybe = _maybe(spark.sparkContext.broadcast(bloom_filter(keys.select(F.xxhash64("key").alias("h")), n, filter_mb)))
+    tested = pages.withColumn(test, maybe(F.transform(lookup_keys(F.coalesce(form, F.lit(""))), lambda k: F.xxhash64(k))) & form.isNotNull())
+    possible, clear = materialize(tested.where(col(test)).drop(test)), tested.where(~col(test)).drop(test)
+    exploded = possible.select(col(url).alias("url")).distinct().select("url", F.explode(lookup_keys(canonical(F.col("url")))).alias("key"))
+    hits = exploded.join(keys, "key", "left_semi").select(F.col("url").alias(hit)).distinct()
+    return clear.union(possible.join(hits, col(url) == col(hit), "left_anti"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,10 +370,12 @@ def test_mixture_odd_cases(spark):
     assert {(r.doc_id, r.text) for r in got.collect()} == {(r.doc_id, r.text) for r in df.collect()}
 
 
-def test_mixture_leaves_out_sources_without_tokens(spark):
+def test_mixture_keeps_sources_without_tokens(spark):
     df = docs_of(spark, [(1, "some words"), (2, None)], "a").unionByName(docs_of(spark, [(3, None), (4, " \n")], "b"))
-    assert {r.doc_id for r in mixing.mix(df).collect()} == {1, 2}
+    assert {r.doc_id for r in mixing.mix(df).collect()} == {1, 2, 3, 4}
     assert {r.doc_id for r in mixing.mix(df, {"a": 1.0, "b": 1.0}).collect()} == {1, 2, 3, 4}
+    many = docs_of(spark, [(i, "word " * 1000) for i in range(40)], "a").unionByName(docs_of(spark, [(99, "word")], "b"))
+    assert mixing.scheduled(many, block_tokens=100).select("_slot").distinct().count() <= 3 * 400
 
 
 def test_schedule_is_even(spark):
