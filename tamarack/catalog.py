@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from .functions.columns import wall_ms
 from .operators.aggregations import Aggregator
 from .plans.search import Searcher
 from .schema import Field, Schema
-from .streaming.ingest import latest
+from .sources.files import workspace
+from .sources.index import Index
+from .streaming.ingest import ingest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,13 +31,13 @@ def query(sql: str):
 # ---------------------------------------------------------------- tables as indexes
 
 _ITEM = Field("item", "nested", True, fields={"flag": Field("flag", "keyword", fast=True), "quantity": Field("quantity", "f64", fast=True), "line": Field("line", "i64", fast=True)})
-DOCUMENTS = Schema.of("id", text="text", keyword="lang source", i64="n_chars")
+DOCUMENTS = Schema.of("id", text="text", keyword="lang source", i64="n_chars", more=[Field("v", "vector", dim=64), Field("w", "vector", dim=64, metric="L2")])
+USERS = Schema.of("id", keyword="event_type", i64="event_id", f64="value")
 EVENTS = Schema.of("id", keyword="event_type", i64="ts user_id", f64="value maybe")
 LINEITEM = Schema.of("id", keyword="l_returnflag l_linestatus", i64="ship", f64="l_quantity l_extendedprice l_discount")
 ORDERS = Schema.of("id", keyword="o_orderstatus o_orderpriority", i64="o_orderdate o_custkey", f64="o_totalprice")
 FOLDED = Schema.of("id", f64="o_totalprice", more=[_ITEM])
 PART = Schema.of("id", text="p_name", keyword="p_brand p_type", i64="p_size", f64="p_retailprice")
-VECTORS = Schema.of("id", text="text", keyword="lang", more=[Field("v", "vector", dim=64), Field("w", "vector", dim=64, metric="L2")])
 MATCH_ALL = {"type": "match_all"}
 
 
@@ -47,9 +51,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fresh(spark: SparkSession, name: str, schema: Schema) -> Index:
+    return Index.create(spark, f"{workspace(spark)}/{name}-{uuid.uuid4().hex}", schema)
+
+
+_BUILT: dict[tuple, Index] = {}
+
+
 def documents(spark: SparkSession, sf: str) -> Searcher:
-    d = spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
-    return Searcher(d.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source", "n_chars"), DOCUMENTS)
+    """A reader of the index over documents with their embeddings, which is built when a session first asks for it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        d, e = spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")), read(spark, sf, "embeddings")
+        joined = d.join(e, d["doc_id"] == e["vec_id"], "left")
+        index = fresh(spark, "documents", DOCUMENTS)
+        index.add_frame(joined.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source", "n_chars", F.col("embedding").alias("v"), F.col("embedding").alias("w")))
+        index.commit()
+        _BUILT[key] = index
+    return _BUILT[key].reader()
 
 
 def events(spark: SparkSession, sf: str) -> Searcher:
@@ -79,12 +98,6 @@ def folded(spark: SparkSession, sf: str) -> Searcher:
     return Searcher(joined.select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice", "item"), FOLDED)
 
 
-def with_vectors(spark: SparkSession, sf: str) -> Searcher:
-    d, e = read(spark, sf, "documents"), read(spark, sf, "embeddings")
-    joined = d.join(e, d["doc_id"] == e["vec_id"], "left")
-    return Searcher(joined.select(F.col("doc_id").cast("string").alias("id"), "text", "lang", F.col("embedding").alias("v"), F.col("embedding").alias("w")), VECTORS)
-
-
 def word(value: str, boost: float = 1.0) -> dict:
     return {"type": "term", "field": "text", "value": value, "boost": boost}
 
@@ -295,13 +308,13 @@ _QV = "[" + ", ".join(f"{x}::DOUBLE" for x in QUERY_VECTOR) + "]"
 
 @query(f"SELECT vec_id::VARCHAR AS id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 5) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_QV}) DESC, vec_id::VARCHAR LIMIT 10")
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    r = with_vectors(spark, sf).search({"query": {"type": "vector", "field": "v", "vector": QUERY_VECTOR, "k": 10}, "limit": 10})
+    r = documents(spark, sf).search({"query": {"type": "vector", "field": "v", "vector": QUERY_VECTOR, "k": 10}, "limit": 10})
     return r.hits.limit(10).select("id", F.round("_score", 5).alias("score"))
 
 
 @query(f"SELECT vec_id::VARCHAR AS id, round(-list_distance(embedding::DOUBLE[], {_QV}), 5) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY list_distance(embedding::DOUBLE[], {_QV}), vec_id::VARCHAR LIMIT 10")
 def knn_l2_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    r = with_vectors(spark, sf).search({"query": {"type": "vector", "field": "w", "vector": QUERY_VECTOR, "k": 10}, "limit": 10, "filter": {"KeywordEq": {"field": "lang", "value": "fr"}}})
+    r = documents(spark, sf).search({"query": {"type": "vector", "field": "w", "vector": QUERY_VECTOR, "k": 10}, "limit": 10, "filter": {"KeywordEq": {"field": "lang", "value": "fr"}}})
     return r.hits.limit(10).select("id", F.round("_score", 5).alias("score"))
 
 
@@ -310,7 +323,7 @@ def knn_l2_filtered(spark: SparkSession, sf: str) -> DataFrame:
     + f", c AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {_QV}) AS v FROM embeddings JOIN tok ON doc_id = vec_id WHERE {has('worthless')} ORDER BY v DESC, vec_id::VARCHAR LIMIT 200) SELECT id, round(0.7 * b0 + 0.3 * coalesce(v, -1), 5) AS score FROM s LEFT JOIN c ON vec_id = doc_id WHERE b0 > 0 ORDER BY 0.7 * b0 + 0.3 * coalesce(v, -1) DESC, id LIMIT 100"
 )
 def hybrid_blend(spark: SparkSession, sf: str) -> DataFrame:
-    r = with_vectors(spark, sf).search({"query": word("worthless"), "vector_query": ["v", QUERY_VECTOR, 0.7], "limit": 100})
+    r = documents(spark, sf).search({"query": word("worthless"), "vector_query": ["v", QUERY_VECTOR, 0.7], "limit": 100})
     return r.hits.limit(100).select("id", F.round("_score", 5).alias("score"))
 
 
@@ -481,23 +494,310 @@ def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     return s.search(request | {"cursor": cursor}).hits.limit(20).select("id")
 
 
-@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
-def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").select("user_id", "event_id", "event_type", "value", "ts")
-    return latest(e, "user_id", ["ts", "event_id"]).drop("ts")
+@query("WITH t AS (SELECT * FROM events ORDER BY value DESC, event_id::VARCHAR LIMIT 201), r AS (SELECT event_type, event_id::VARCHAR AS id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id::VARCHAR) AS rn FROM t) SELECT b.id, r.id AS inner_id, (r.rn - 1)::INTEGER AS rank FROM r JOIN r b ON b.event_type = r.event_type AND b.rn = 1 WHERE r.rn BETWEEN 3 AND 5")
+def inner_hits(spark: SparkSession, sf: str) -> DataFrame:
+    inner = {"from": 1, "size": 3, "sort": [{"field": "value", "order": "desc"}]}
+    r = events(spark, sf).search({"query": MATCH_ALL, "sort": [{"field": "value", "order": "desc"}], "limit": 100, "candidate_size": 200, "collapse": {"field": "event_type", "inner_hits": inner}})
+    return r.hits.select("id", F.explode("inner_hits").alias("x")).select("id", F.col("x.id").alias("inner_id"), F.col("x.rank").cast("int").alias("rank"))
 
 
-@query("SELECT event_id, value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300)")
-def delete_anti(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events")
-    gone = e.where(F.col("value") > 300).select("user_id").distinct()
-    return e.join(gone, "user_id", "left_anti").select("event_id", "value")
+@query('SELECT count(*) AS total, (SELECT count(DISTINCT event_type) FROM (SELECT * FROM events WHERE value >= 10 ORDER BY value DESC, event_id::VARCHAR LIMIT 201)) AS "groups" FROM events WHERE value >= 10')
+def totals(spark: SparkSession, sf: str) -> DataFrame:
+    r = events(spark, sf).search({"query": MATCH_ALL, "filter": {"F64Range": {"field": "value", "min": 10.0, "max": 1e9}}, "sort": [{"field": "value", "order": "desc"}], "limit": 100, "candidate_size": 200, "collapse": {"field": "event_type"}})
+    return spark.createDataFrame([(r.total, r.total_groups)], "total long, groups long")
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey::VARCHAR LIMIT 25")
+def stored_fields(spark: SparkSession, sf: str) -> DataFrame:
+    r = part(spark, sf).search({"query": MATCH_ALL, "sort": [{"field": "p_retailprice", "order": "desc"}], "limit": 25, "return_stored": True})
+    return r.hits.limit(25).select("id", "p_name", "p_brand", "p_size", "p_retailprice")
+
+
+@query("WITH f AS (SELECT l_orderkey::VARCHAR AS id, min(l_returnflag) AS a, max(l_returnflag) AS b FROM lineitem GROUP BY 1) SELECT * FROM (SELECT 'asc' AS \"order\", id FROM f ORDER BY a, id LIMIT 30) UNION ALL SELECT * FROM (SELECT 'desc', id FROM f ORDER BY b DESC, id LIMIT 30)")
+def sort_many_values(spark: SparkSession, sf: str) -> DataFrame:
+    x = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.collect_set("l_returnflag").alias("flags"))
+    s, out = Searcher(x, Schema.of("id", more=[Field("flags", "keyword", True, fast=True)])), []
+    for order in ("asc", "desc"):
+        out.append(s.search({"query": MATCH_ALL, "sort": [{"field": "flags", "order": order}], "limit": 30}).hits.limit(30).select(F.lit(order).alias("order"), "id"))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT least(500, count(*)) AS taken, (SELECT count(*) FROM events) AS whole FROM events")
+def sampling(spark: SparkSession, sf: str) -> DataFrame:
+    some, every = (buckets(events(spark, sf), {"t": {"type": "terms", "field": "event_type", "sampling": x}}, "t").agg(F.sum("doc_count").alias(n)) for n, x in (("taken", {"size": 500, "seed": 3}), ("whole", {"probability": 1.0})))
+    return some.crossJoin(every)  # one row each
+
+
+# ---------------------------------------------------------------- scores in all their modes
+
+_MODES = [("multiply", "replace", "log", None), ("max", "sum", "log2p", 4.0), ("min", "max", "reciprocal", None), ("avg", "min", None, None), ("sum", "multiply", None, 3.5)]
+_F1 = {"log": "ln(0.1 * p_size)", "log2p": "log2(0.1 * p_size + 1)", "reciprocal": "1 / (0.1::DOUBLE * p_size)", None: "0.1::DOUBLE * p_size"}
+_F2 = "CASE WHEN p_retailprice BETWEEN 1000 AND 1500 THEN 3.0::DOUBLE END"
+_TOGETHER = {"multiply": "f1 * coalesce(f2, 1)", "max": "greatest(f1, f2)", "min": "least(f1, f2)", "avg": "(f1 + coalesce(f2, 0)) / (1 + (f2 IS NOT NULL)::INT)", "sum": "f1 + coalesce(f2, 0)"}
+_BOOSTED = {"replace": "t", "sum": "1 + t", "max": "greatest(1, t)", "min": "least(1, t)", "multiply": "t"}
+
+
+def _modes_sql() -> str:
+    one = lambda s, b, m, cap: f"SELECT '{s}' AS mode, p_partkey::VARCHAR AS id, round({'least(' + _BOOSTED[b] + f', {cap})' if cap else _BOOSTED[b]}, 6) AS score FROM (SELECT p_partkey, {_TOGETHER[s]} AS t FROM (SELECT p_partkey, {_F1[m]} AS f1, {_F2} AS f2 FROM part))"
+    return " UNION ALL ".join(one(*x) for x in _MODES)
+
+
+@query(_modes_sql())
+def function_modes(spark: SparkSession, sf: str) -> DataFrame:
+    s, out = part(spark, sf), None
+    for score_mode, boost_mode, modifier, cap in _MODES:
+        fs = [{"type": "field_value_factor", "field": "p_size", "factor": 0.1, "modifier": modifier}, {"type": "weight", "weight": 3.0, "filter": {"F64Range": {"field": "p_retailprice", "min": 1000.0, "max": 1500.0}}}]
+        q = {"type": "function_score", "query": MATCH_ALL, "functions": fs, "score_mode": score_mode, "boost_mode": boost_mode, "max_boost": cap}
+        one = scores(s, {"query": q}).select(F.lit(score_mode).alias("mode"), "id", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_D = "(greatest(abs(p_size - 20) - 2, 0) / 10.0::DOUBLE)"
+
+
+@query(f"SELECT 'gauss' AS mode, p_partkey::VARCHAR AS id, round(pow(0.3, {_D} * {_D}), 6) AS score FROM part UNION ALL SELECT 'linear', p_partkey::VARCHAR, round(greatest((1 - {_D}) * 0.7 + 0.3, 0), 6) FROM part")
+def decay_curves(spark: SparkSession, sf: str) -> DataFrame:
+    s, out = part(spark, sf), []
+    for curve in ("gauss", "linear"):
+        f = {"type": "decay", "field": "p_size", "origin": 20.0, "scale": 10.0, "offset": 2.0, "decay": 0.3, "function": curve}
+        out.append(scores(s, {"query": {"type": "function_score", "query": MATCH_ALL, "functions": [f], "boost_mode": "replace"}}).select(F.lit(curve).alias("mode"), "id", "score"))
+    return out[0].unionByName(out[1])
+
+
+_AGAIN = {"multiply": "b0 * b1", "max": "greatest(b0, b1)", "min": "least(b0, b1)"}
+_RESCORED = "SELECT '{mode}' AS mode, id, round(sc, 6) AS score FROM (SELECT id, sc, row_number() OVER (ORDER BY win DESC, CASE WHEN win THEN sc END DESC NULLS LAST, CASE WHEN NOT win THEN rn END, id) AS pos FROM (SELECT id, rn <= 20 AS win, rn, CASE WHEN rn <= 20 AND b1 > 0 THEN {by} ELSE b0 END AS sc FROM r)) WHERE pos <= 30"
+
+
+@query(bm25_sql({"worthless": 1, "pathetic": 1}) + ", r AS (SELECT id, b0, b1, row_number() OVER (ORDER BY b0 DESC, id) AS rn FROM s WHERE b0 > 0) " + " UNION ALL ".join(_RESCORED.format(mode=m, by=e) for m, e in _AGAIN.items()))
+def rescore_modes(spark: SparkSession, sf: str) -> DataFrame:
+    s, out = documents(spark, sf), None
+    for mode in _AGAIN:
+        r = s.search({"query": word("worthless"), "limit": 30, "rescore": {"window_size": 20, "query": word("pathetic"), "score_mode": mode}})
+        one = r.hits.limit(30).select(F.lit(mode).alias("mode"), "id", F.round("_score", 6).alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(bm25_sql({"worthless": 1}) + " SELECT id, round(b0, 6) AS base, round(pow(0.5, abs(n_chars - 1000) / 500.0::DOUBLE), 6) AS decay, CASE WHEN lang = 'en' THEN 2.0::DOUBLE END AS weight, round(CASE WHEN b0 = 0 THEN 1 ELSE b0 END * (pow(0.5, abs(n_chars - 1000) / 500.0::DOUBLE) + CASE WHEN lang = 'en' THEN 2 ELSE 0 END), 6) AS final FROM s WHERE b0 > 0 ORDER BY final DESC, id LIMIT 20")
+def explained(spark: SparkSession, sf: str) -> DataFrame:
+    fs = [{"type": "decay", "field": "n_chars", "origin": 1000.0, "scale": 500.0, "decay": 0.5, "function": "exp"}, {"type": "weight", "weight": 2.0, "filter": {"KeywordEq": {"field": "lang", "value": "en"}}}]
+    r = documents(spark, sf).search({"query": {"type": "function_score", "query": word("worthless"), "functions": fs}, "limit": 20, "explain": True})
+    x = F.col("_explanation")
+    of = lambda kind: F.get(F.filter(x["functions"], lambda f: f["type"] == kind), F.lit(0))["value"]
+    return r.hits.limit(20).select("id", F.round(x["base_score"], 6).alias("base"), F.round(of("decay"), 6).alias("decay"), of("weight").alias("weight"), F.round(x["final_score"], 6).alias("final"))
+
+
+_SUMMED = (
+    f"WITH {TOK}, st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM tok), e AS (SELECT id, len(w)::DOUBLE AS dl, unnest(w) AS term FROM tok), t AS (SELECT DISTINCT term FROM e), hit AS (<hit>), "
+    "f AS (SELECT id, dl, term, weight, count(*)::DOUBLE AS tf FROM e JOIN hit USING (term) GROUP BY ALL), d AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY term) "
+    "SELECT id, round(sum((greatest(ln((n - df + 0.5) / (df + 0.5)), 0) + 1) * (tf * 1.9) / (tf + 0.9 * (0.6 + 0.4 * dl / avgdl)) * weight), 6) AS score FROM f JOIN d USING (term), st GROUP BY id"
+)
+
+
+def _hit(where: str, n: int) -> str:
+    return _SUMMED.replace("<hit>", f"SELECT term, 1.0::DOUBLE AS weight FROM t WHERE {where} ORDER BY term LIMIT {n}")
+
+
+def pattern_scores(spark: SparkSession, sf: str, kind: str, value: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": kind, "field": "text", "value": value}})
+
+
+@query(_hit("starts_with(term, 'worth')", 50))
+def prefix_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_scores(spark, sf, "prefix", "Worth")
+
+
+@query(_hit("term LIKE 'wo%le_s'", 100))
+def wildcard_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_scores(spark, sf, "wildcard", "wo*le?s")
+
+
+@query(_hit("regexp_full_match(term, 'path(etic|os)')", 100))
+def regex_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_scores(spark, sf, "regex", "path(etic|os)")
+
+
+@query(_SUMMED.replace("<hit>", "SELECT 'idiat' AS term, 1.0::DOUBLE AS weight UNION ALL (SELECT term, 1.0::DOUBLE / (levenshtein(term, 'idiat') + 1) FROM t WHERE starts_with(term, 'i') AND levenshtein(term, 'idiat') BETWEEN 1 AND 2 ORDER BY term LIMIT 50)"))
+def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return scores(documents(spark, sf), {"query": {"type": "query_string", "query": "idiat"}, "fuzzy": {"max_edits": 2}})
+
+
+@query(f"WITH {TOK}, t AS (SELECT term, count(*) AS df FROM (SELECT id, unnest(list_distinct(w)) AS term FROM tok) GROUP BY term), c AS (SELECT * FROM (SELECT term, df, 0 AS d FROM t WHERE starts_with(term, 'idiat') ORDER BY term LIMIT 64) UNION ALL SELECT * FROM (SELECT term, df, levenshtein(term, 'idiat') FROM t WHERE starts_with(term, 'i') AND levenshtein(term, 'idiat') = 1 ORDER BY term LIMIT 50)) SELECT term AS text, df / (min(d) + 1)::DOUBLE AS score, df AS doc_freq FROM c GROUP BY term, df ORDER BY score DESC, term LIMIT 5")
+def suggest_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).suggest({"type": "completion", "field": "text", "prefix": "idiat", "fuzzy": {}})
+
 
+# ---------------------------------------------------------------- analyzers
 
+
+def analyzed_by(spark: SparkSession, sf: str, filters: list, tokenizer: str = "default", **options) -> Searcher:
+    d = spread(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+    own = {"name": "own", "tokenizer": tokenizer, "filters": filters}
+    return Searcher(d, Schema.from_json({"doc_id_field": "id", "text_fields": [{"name": "text", "analyzer": "own"} | options], "analyzers": [own]}))
+
+
+def found(s: Searcher, query: dict) -> DataFrame:
+    return scores(s, {"query": query}).select("id")
+
+
+@query(f"WITH {TOK}, k AS (SELECT id, list_filter(w, lambda x: x NOT IN ('of', 'in', 'to')) AS w FROM tok) SELECT id FROM k WHERE len(list_filter(range(1, len(w)), lambda i: w[i] = 'and' AND w[i + 1] = 'the')) > 0")
+def stop_words(spark: SparkSession, sf: str) -> DataFrame:
+    s = analyzed_by(spark, sf, [{"type": "stopwords", "words": ["of", "in", "to"]}])
+    return found(s, {"type": "phrase", "field": "text", "terms": ["and", "the"]})
+
+
+@query(f"WITH {TOK} SELECT id FROM tok WHERE len(list_filter(w, lambda x: starts_with(x, 'worth'))) > 0")
+def edge_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    return found(analyzed_by(spark, sf, [{"type": "edge_ngram", "min": 2, "max": 5}], search_analyzer="default"), word("worth"))
+
+
+@query(f"WITH {TOK} SELECT id FROM tok WHERE len(list_filter(w, lambda x: starts_with(x, 'pathe'))) > 0")
+def search_as_you_type(spark: SparkSession, sf: str) -> DataFrame:
+    return found(analyzed_by(spark, sf, [], search_as_you_type={"min": 1, "max": 8}), word("pathe"))
+
+
+@query(f"WITH {TOK} SELECT id FROM tok WHERE {has('worthless')} OR {has('rubbish')}")
+def synonyms(spark: SparkSession, sf: str) -> DataFrame:
+    s = analyzed_by(spark, sf, [{"type": "synonyms", "rules": [{"from": ["worthless"], "to": ["worthless", "rubbish"]}]}], search_analyzer="default")
+    return found(s, word("rubbish"))
+
+
+@query(f"WITH {TOK} SELECT id FROM tok WHERE {has('idiot')} OR {has('idiots')} OR {has('idiotic')}")
+def stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    return found(analyzed_by(spark, sf, [{"type": "stemmer", "language": "english"}]), word("idiots"))
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE list_contains(regexp_split_to_array(text, '\\s+'), 'The')")
+def whitespace_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return found(analyzed_by(spark, sf, [], "whitespace"), word("The"))
+
+
+# ---------------------------------------------------------------- marks in texts
+
+_BOUND = "(?:worthless|pathetic)"
+_MARKED = bm25_sql({"worthless": 1, "pathetic": 1}) + (
+    f", h AS (SELECT id, text, length(regexp_extract(text, '(?is)^(.*?)\\b{_BOUND}\\b', 1)) AS spot, length(regexp_extract(text, '(?i)\\b{_BOUND}\\b', 0)) AS size FROM s WHERE b0 > 0 OR b1 > 0 ORDER BY b0 + b1 DESC, id LIMIT 10),"
+    f" f AS (SELECT id, greatest(spot - <half>, 0) AS a, spot + size AS e, text FROM h)"
+    f" SELECT id, regexp_replace(substr(text, a + 1, greatest(a + <size>, e) - a), '(?i)\\b({_BOUND})\\b', '<before>\\1<after>', 'g') AS fragment FROM f"
+)
+
+
+@query(_MARKED.replace("<half>", "40").replace("<size>", "80").replace("<before>", "<em>").replace("<after>", "</em>"))
 def highlights(spark: SparkSession, sf: str) -> DataFrame:
     """The best ten documents with the words of the query marked."""
     r = documents(spark, sf).search({"query": "worthless pathetic", "limit": 10, "highlight": {"fields": {"text": {"fragment_size": 80}}}})
-    return r.hits.limit(10).select("id", F.col("highlights.text").alias("fragments"))
+    return r.hits.limit(10).select("id", F.get("highlights.text", F.lit(0)).alias("fragment"))
+
+
+@query(_MARKED.replace("<half>", "60").replace("<size>", "120").replace("<before>", "**").replace("<after>", "**"))
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    r = documents(spark, sf).search({"query": "worthless pathetic", "limit": 10, "highlight_field": "text"})
+    return r.hits.limit(10).select("id", F.col("snippet").alias("fragment"))
+
+
+# ---------------------------------------------------------------- the life of an index
+
+
+def users(spark: SparkSession, sf: str, odd: bool) -> DataFrame:
+    """Events with an odd or an even number as documents of their users: the later one counts."""
+    e = read(spark, sf, "events").where(F.col("event_id") % 2 == int(odd))
+    return e.select(F.col("user_id").cast("string").alias("id"), "event_type", "event_id", "value", F.col("event_id").alias("_seq"))
+
+
+def live(index: Index) -> DataFrame:
+    return index.reader().docs.select("id", "event_type", "event_id", "value")
+
+
+def twice(spark: SparkSession, sf: str) -> Index:
+    index = fresh(spark, "users", USERS)
+    for odd in (False, True):
+        index.add_frame(users(spark, sf, odd))
+        index.commit()
+    return index
+
+
+_LAST = "SELECT user_id::VARCHAR AS id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {by}) AS rn FROM events WHERE {of}) WHERE rn = 1"
+_GONE = "(SELECT user_id::VARCHAR FROM events WHERE value > 300)"
+
+
+@query(_LAST.format(by="event_id % 2 DESC, event_id DESC", of="true"))
+def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Two commits; the last operation on a key wins."""
+    return live(twice(spark, sf))
+
+
+@query(f"SELECT * FROM ({_LAST.format(by='event_id % 2 DESC, event_id DESC', of='true')}) WHERE id NOT IN {_GONE}")
+def index_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Upserts and deletes in three commits, then compacted."""
+    index = twice(spark, sf)
+    index.delete_frame(read(spark, sf, "events").where("value > 300").select(F.col("user_id").cast("string").alias("id")).distinct())
+    index.commit()
+    index.compact()
+    return live(index)
+
+
+@query(_LAST.format(by="event_id DESC", of="event_id % 2 = 0"))
+def index_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """What a reader opened before the second commit sees after it."""
+    index = fresh(spark, "users", USERS)
+    index.add_frame(users(spark, sf, False))
+    index.commit()
+    before = index.reader()
+    index.add_frame(users(spark, sf, True))
+    index.commit()
+    return before.docs.select("id", "event_type", "event_id", "value")
+
+
+@query(_LAST.format(by="event_id DESC", of="event_id % 2 = 1"))
+def index_recover(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations of a writer that is gone are taken up by the next one; what is rolled back never counts."""
+    index = fresh(spark, "users", USERS)
+    index.add_frame(users(spark, sf, False))
+    index.rollback()
+    index.add_frame(users(spark, sf, True))
+    again = Index.open(spark, index.path)
+    again.commit()
+    return live(again)
+
+
+@query(f"WITH w AS (SELECT event_id % 2 AS gen, user_id FROM events GROUP BY ALL), u AS (SELECT user_id, max(gen) AS last FROM w GROUP BY 1) SELECT gen + 1 AS gen, count(*) AS docs, (SELECT count(*) FROM w) - (SELECT count(*) FROM u) AS deleted FROM u JOIN w ON w.user_id = u.user_id AND gen = last GROUP BY 1")
+def index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Live documents by generation, with the number of dead ones in all."""
+    index = twice(spark, sf)
+    return index.inspect().select(F.col("_gen").cast("long").alias("gen"), "docs", F.lit(index.stats()["deleted"]).cast("long").alias("deleted"))
+
+
+@query(f"WITH {TOK} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM tok) GROUP BY term")
+def index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary of a field, from the postings."""
+    return documents(spark, sf).terms("text").select("term", "df")
+
+
+def lines(spark: SparkSession, sf: str, folder: str) -> None:
+    e = read(spark, sf, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), "event_type", "event_id", "value")).alias("value"))
+    e.write.text(folder)
+
+
+@query("SELECT event_id::VARCHAR AS id, event_type, event_id, value FROM events WHERE value <= 300")
+def json_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents from a file of JSON lines, without those that a file of ids deletes."""
+    index = fresh(spark, "lines", USERS)
+    folder = f"{workspace(spark)}/in-{uuid.uuid4().hex}"
+    lines(spark, sf, f"{folder}/docs")
+    read(spark, sf, "events").where("value > 300").select(F.col("event_id").cast("string")).write.text(f"{folder}/ids")
+    index.add_jsonl(f"{folder}/docs")
+    index.commit()
+    index.delete_from_file(f"{folder}/ids")
+    index.commit()
+    return live(index)
 
 
-QUERIES["highlights"] = highlights
+@query("SELECT event_id::VARCHAR AS id, event_type, event_id, value FROM events")
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of JSON lines as they arrive, each micro-batch committed once."""
+    index = fresh(spark, "stream", USERS)
+    folder = f"{workspace(spark)}/in-{uuid.uuid4().hex}"
+    lines(spark, sf, f"{folder}/docs")
+    ingest(spark, f"{folder}/docs", index, f"{folder}/checkpoint").awaitTermination()
+    return live(index)

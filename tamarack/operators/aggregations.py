@@ -407,6 +407,8 @@ class Aggregator:
             first = self._window(level).orderBy(count.desc(), key.asc())
             frame = frame.withColumn("_ord", F.row_number().over(first)).where(F.col("_ord") <= min(cut, MAX_BUCKETS))
         w = self._window(level).orderBy(*order)
+        if cut and not level.parents:
+            frame = frame.orderBy(*order).limit(min(cut, MAX_BUCKETS))  # so that every task keeps its first ones only
         frame = frame.withColumn("_ord", F.row_number().over(w))
         return frame.where(F.col("_ord") <= min(cut, MAX_BUCKETS)) if cut else frame
 
@@ -510,11 +512,10 @@ class Aggregator:
             if kind == "derivative":
                 frame = frame.withColumn(f"_m_{name}", (F.col("_own") - F.last("_own", ignorenulls=True).over(before)) / F.lit(max(float(x.get("unit") or 1.0), 2.220446049250313e-16)))
             else:
-                # The last `window` values that are there, this bucket's among them.
-                seen = F.collect_list("_own").over(rows.rowsBetween(Window.unboundedPreceding, 0))
-                last = F.slice(seen, F.greatest(F.size(seen) - max(1, int(x["window"])) + 1, F.lit(1)), max(1, int(x["window"])))
-                frame = frame.withColumn("_seen", last)
-                frame = frame.withColumn(f"_m_{name}", F.try_divide(F.aggregate("_seen", F.lit(0.0), lambda s, v: s + v), F.size("_seen"))).drop("_seen")
+                # The mean of the last `window` values that are there: each value's own, carried on over gaps.
+                there = Window.partitionBy(*level.parents, F.col("_own").isNull()).orderBy("_ord").rowsBetween(1 - max(1, int(x["window"])), 0)
+                frame = frame.withColumn("_mean", F.avg("_own").over(there))
+                frame = frame.withColumn(f"_m_{name}", F.last("_mean", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0))).drop("_mean")
             frame = frame.drop("_own")
         return frame
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,15 +49,12 @@ def places_of(name: str, term: str) -> Column:
     return F.transform(F.filter(F.col(f"_hits_{name}.hits"), lambda x: x["t"] == term), lambda x: x["p"])
 
 
-POSTING_BUCKETS = 64
-
-
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def postings_of(docs: DataFrame, schema: Schema) -> DataFrame | None:
-    """(id, field, bucket, term, positions) of documents that have their _tok_ columns; None without text fields."""
+    """(id, field, term, positions) of documents that have their _tok_ columns; None without text fields."""
     out, id_ = None, schema.doc_id_field
     for name in schema.text_fields():
         toks = F.col(f"_tok_{name}")
@@ -66,36 +64,76 @@ def postings_of(docs: DataFrame, schema: Schema) -> DataFrame | None:
             one = docs.select(id_, F.posexplode(toks).alias("p", "term")).where("term is not null")
         lists = one.groupBy(id_, "term").agg(F.sort_array(F.collect_list("p")).alias("positions")).withColumn("field", F.lit(name))
         out = lists if out is None else out.unionByName(lists)
-    return None if out is None else out.withColumn("bucket", bucket_of(F.col("term")))
-
-
-def from_postings(docs: DataFrame, postings: DataFrame, plan: Plan) -> DataFrame:
-    """As with_features(), for plans that score words of text fields only: reads the wanted terms' buckets, and of the documents those with such a term."""
+    return out
+
+
+@dataclass
+class Postings:
+    """rows: (id, _gen, field, bucket, term, positions). buckets: their number by generation. stored: the snapshot's statistics, where a commit has stored them; all rows are live then."""
+
+    rows: DataFrame
+    buckets: dict[int, int]
+    stored: dict | None = None
+
+    def of(self, wanted: dict[str, list[str]]) -> DataFrame:
+        """The rows of some terms by field: only their buckets are read."""
+        sizes, cond = sorted(set(self.buckets.values())), F.lit(False)
+        spark = self.rows.sparkSession
+        every = [t for terms in wanted.values() for t in terms]
+        at = {r["t"]: [r[f"b{n}"] for n in sizes] for r in spark.createDataFrame([(t,) for t in every], "t string").select("t", *[bucket_of(F.col("t"), n).alias(f"b{n}") for n in sizes]).collect()} if every else {}
+        for name, terms in wanted.items():
+            inside = F.lit(False)
+            for i, n in enumerate(sizes):
+                gens = [g for g, m in self.buckets.items() if m == n]
+                inside = inside | (F.col("_gen").isin(gens) & F.col("bucket").isin(sorted({at[t][i] for t in terms})))
+            cond = cond | ((F.col("field") == name) & inside & F.col("term").isin(terms))
+        return self.rows.where(cond)
+
+    def dictionary(self, docs: DataFrame, id_: str, name: str) -> DataFrame:
+        """(term, df) of a text field over the live documents."""
+        rows = self.rows.where(F.col("field") == name)
+        if self.stored is None:
+            rows = rows.join(docs.select(id_, "_gen"), [id_, "_gen"], "left_semi")
+        return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def from_postings(docs: DataFrame, postings: Postings, plan: Plan, within: DataFrame | None = None) -> DataFrame:
+    """As with_features(), for plans whose matches all have a word of a text field: reads the wanted terms' buckets, and of the documents those with such a term.
+
+    `within`: ids that alone are wanted, in a column of the id's name; the statistics are those of all documents.
+    """
     schema, id_ = plan.schema, plan.schema.doc_id_field
     wanted: dict[str, dict[str, int]] = {}
     for (name, term), i in plan.keys.items():
         if schema.fields[name].kind == "text":
             wanted.setdefault(name, {})[term] = i
-    buckets = {t: b for t, b in docs.sparkSession.createDataFrame([(t,) for own in wanted.values() for t in own], "t string").select("t", bucket_of(F.col("t"))).collect()}
-    cond = F.lit(False)
-    for name, own in wanted.items():
-        cond = cond | ((F.col("field") == name) & F.col("bucket").isin(sorted({buckets[t] for t in own})) & F.col("term").isin(list(own)))
     spots = [F.first(F.when((F.col("field") == n) & (F.col("term") == t), F.col("positions")), ignorenulls=True).alias(f"_k{i}") for n, own in wanted.items() for t, i in own.items()]
-    rows = postings.where(cond).groupBy(F.col(id_).alias("_pid"), F.col("_gen").alias("_pgen")).agg(*spots)
+    rows = postings.of({n: list(own) for n, own in wanted.items()}).groupBy(F.col(id_).alias("_pid"), F.col("_gen").alias("_pgen")).agg(*spots)
+    df_of = lambda rows: rows.agg(*[F.coalesce(F.sum((F.size(f"_k{plan.keys[k]}") > 0).cast("double")), F.lit(0.0)).alias(f"_df{plan.keys[k]}") for k in plan.scored])
+    dfs = df_of(rows) if postings.stored and plan.scored else None
+    if within is not None and dfs is not None:
+        docs = docs.join(F.broadcast(within), id_, "left_semi")  # as many as a window holds
     out = docs.join(rows, (docs[id_] == rows["_pid"]) & (docs["_gen"] == rows["_pgen"])).drop("_pid", "_pgen")
     for (name, term), i in plan.keys.items():
         if schema.fields[name].kind == "keyword":
             out = out.withColumn(f"_k{i}", F.when(F.array_contains(keyword_terms(schema, name), term), F.array(F.lit(0))).otherwise(F.expr(NO_POSITIONS)))
+    if not plan.scored:
+        return out
+    if dfs is not None:
+        at = postings.stored
+        known = {"_n": float(at["docs"])} | {f"_avg_{n}": at["lengths"][n][0] / at["lengths"][n][1] if at["lengths"][n][1] else None for n in sorted(wanted)}
+        return out.crossJoin(F.broadcast(dfs)).select("*", *[F.lit(v).cast("double").alias(k) for k, v in known.items()])
     stats = docs.agg(F.count("*").cast("double").alias("_n"), *[F.avg(f"_len_{n}").alias(f"_avg_{n}") for n in sorted(wanted)])
-    dfs = out.agg(*[F.coalesce(F.sum((F.size(f"_k{plan.keys[k]}") > 0).cast("double")), F.lit(0.0)).alias(f"_df{plan.keys[k]}") for k in plan.scored])
-    return out.crossJoin(F.broadcast(stats.crossJoin(dfs)))  # one row
+    out = out.crossJoin(F.broadcast(stats.crossJoin(df_of(out))))  # one row
+    return out if within is None else out.join(F.broadcast(within), id_, "left_semi")
 
 
-def with_features(docs: DataFrame, plan: Plan, postings: DataFrame | None = None) -> DataFrame:
+def with_features(docs: DataFrame, plan: Plan, postings: Postings | None = None, within: DataFrame | None = None) -> DataFrame:
     """The documents with _k<i>, _len_<field> and, where words are scored, the statistics _n, _df<i> and _avg_<field>."""
     schema = plan.schema
-    if postings is not None and plan.scored and all(schema.fields[n].kind == "text" for n, _ in plan.scored):
-        return from_postings(docs, postings, plan)
+    needed = plan.scored or plan.needs
+    if postings is not None and needed and all(schema.fields[n].kind == "text" for n, _ in needed):
+        return from_postings(docs, postings, plan, within)
     texts = sorted(plan.text_fields)
     out = docs
     for name in texts:
@@ -121,7 +159,8 @@ def with_features(docs: DataFrame, plan: Plan, postings: DataFrame | None = None
     sums += [F.avg(f"_len_{name}").alias(f"_avg_{name}") for name in texts]
     needed = {f"_k{plan.keys[k]}" for k in plan.scored} | {f"_len_{n}" for n in texts}
     stats = out.select(*sorted(needed)).agg(*sums)
-    return out.crossJoin(F.broadcast(stats))  # one row
+    out = out.crossJoin(F.broadcast(stats))  # one row
+    return out if within is None else out.join(F.broadcast(within), schema.doc_id_field, "left_semi")
 
 
 def dictionary(docs: DataFrame, schema: Schema, name: str) -> DataFrame:

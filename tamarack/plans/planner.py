@@ -30,6 +30,7 @@ Expand = Callable[[str, str, str, dict], list]
 class Node:
     match: Callable[[], Column]
     score: Callable[[], Column] | None  # None: the node adds nothing to a sum, and is 1 alone
+    needs: frozenset | None = None  # keys of which every match has one; None: a match may have no word
 
 
 @dataclass
@@ -41,6 +42,7 @@ class Plan:
     scored: dict[Key, list] = field(default_factory=dict)
     text_fields: set[str] = field(default_factory=set)
     leaves: int = 0
+    functions: list = field(default_factory=list)  # (match of its query, type, field, value) of each score function
     root: Node | None = None
 
     def key(self, name: str, term: str) -> int:
@@ -54,6 +56,10 @@ class Plan:
     def present(self, key: Key) -> Column:
         return F.coalesce(F.size(self.positions(key)) > 0, F.lit(False))
 
+    @property
+    def needs(self) -> frozenset | None:
+        return self.root.needs if self.root else None
+
     def leaf(self) -> int:
         self.leaves += 1
         return self.leaves - 1
@@ -161,6 +167,7 @@ class Planner:
                 out = out | self.plan.present(k)
             return out
 
+        match.needs = frozenset(unique)
         return match
 
     def phrase(self, fields: list[str], words: list[str], slop: int) -> Callable[[], Column]:
@@ -193,6 +200,7 @@ class Planner:
                 out = out | F.coalesce(in_order(spots, slop), F.lit(False))
             return out
 
+        match.needs = frozenset(k for variant in variants for keys in variant for k in keys)
         return match
 
     # ---- nodes
@@ -212,7 +220,7 @@ class Planner:
         return [(x, 1.0) if isinstance(x, str) else (x["field"], boost_of(x)) for x in fields]
 
     def _leaf_node(self, match, leaf: int | None) -> Node:
-        return Node(match, None if leaf is None else lambda: self.plan.leaf_score(leaf))
+        return Node(match, None if leaf is None else lambda: self.plan.leaf_score(leaf), getattr(match, "needs", None))
 
     def _match_all(self, q, scored, boost) -> Node:
         boost_of(q)
@@ -244,6 +252,7 @@ class Planner:
                 out = out & p()
             return out & (count_of([w() for w in words]) >= least) if words else out
 
+        match.needs = phrases[0].needs if phrases else any_of([w.needs for w in words]) if words and least > 0 else None
         return match
 
     def _multi_match(self, q, scored, boost) -> Node:
@@ -271,7 +280,7 @@ class Planner:
                 out = out | c.match()
             return out
 
-        return Node(match, (lambda: scoring.dis_max([s() for s in scores], tie)) if scores else None)
+        return Node(match, (lambda: scoring.dis_max([s() for s in scores], tie)) if scores else None, any_of([c.needs for c in children]))
 
     def _word(self, q, scored, boost, kind: str, cap: int) -> Node:
         leaf = self.plan.leaf() if scored else None
@@ -297,7 +306,8 @@ class Planner:
     def _phrase(self, q, scored, boost) -> Node:
         boost_of(q)
         fields = [q["field"]] if q.get("field") else self.default_fields
-        return Node(self.phrase(fields, q["terms"], int(q.get("slop") or 0)), None)
+        match = self.phrase(fields, q["terms"], int(q.get("slop") or 0))
+        return Node(match, None, match.needs)
 
     def _bool(self, q, scored, boost) -> Node:
         own = boost_of(q) * boost
@@ -318,7 +328,8 @@ class Planner:
                 out = out & ~c.match()
             return out & (count_of([c.match() for c in should]) >= least) if least else out
 
-        return Node(match, (lambda: scoring.null_sum([s() for s in scores])) if scores else None)
+        needs = next((c.needs for c in must if c.needs is not None), any_of([c.needs for c in should]) if should and least else None)
+        return Node(match, (lambda: scoring.null_sum([s() for s in scores])) if scores else None, needs)
 
     def _constant_score(self, q, scored, boost) -> Node:
         value, cond = boost_of(q) * boost, q["filter"]
@@ -328,12 +339,16 @@ class Planner:
     def _function_score(self, q, scored, boost) -> Node:
         own = boost_of(q)
         inner = self.node(q["query"], scored, boost)
+        for f in q.get("functions", []):
+            kind = f.get("type") or next((k for k in ("weight", "field_value_factor", "decay") if k in f), None)
+            at = f[kind] if isinstance(f.get(kind), dict) else f
+            self.plan.functions.append((inner.match, kind, at.get("field"), lambda f=f: scoring.function_value(f, self.schema)))
 
         def score() -> Column:
             base = inner.score() if inner.score else F.lit(1.0)
             return F.when(inner.match(), scoring.function_score(base, q, self.schema, boost * own)).otherwise(0.0)
 
-        return Node(inner.match, score)
+        return Node(inner.match, score, inner.needs)
 
     def _rank_feature(self, q, scored, boost) -> Node:
         own = boost_of(q) * boost
@@ -360,12 +375,17 @@ class Planner:
             return F.when(inner.match(), finite(compile_script(q["script"], variable) * (boost * own))).otherwise(0.0)
 
         score()
-        return Node(inner.match, score)
+        return Node(inner.match, score, inner.needs)
 
 
 KINDS = {"match_all", "query_string", "multi_match", "dis_max", "term", "prefix", "wildcard", "regex", "phrase", "bool", "constant_score", "function_score", "rank_feature", "script_score", "vector"}
 
 
+def any_of(needs: list[frozenset | None]) -> frozenset | None:
+    """What a match of one of several nodes has a key of."""
+    return None if any(n is None for n in needs) else frozenset().union(*needs)
+
+
 def count_of(conditions: list[Column]) -> Column:
     out = F.lit(0)
     for c in conditions:

@@ -17,7 +17,7 @@ from ..operators.highlight import highlighted
 from ..operators.scoring import sum_of
 from ..operators.sorting import SortPlan
 from ..schema import Schema
-from .features import dictionary, expand, matching_terms, with_features
+from .features import Postings, dictionary, expand, matching_terms, with_features
 from .grammar import parse_query
 from .planner import Plan, Planner
 
@@ -56,16 +56,30 @@ class Result:
         return shown, self.order.cursor(rows[-1], self.generation, seen) if more and seen < MAX_CURSOR else None
 
 
+    def response(self) -> dict:
+        """The whole answer as plain objects, as it is written in JSON: hits of this page, cursor, totals, aggregations, suggestions and profile."""
+        hits, cursor = self.page()
+        out = {"total_hits": self.total, "hits": hits, "next_cursor": cursor, "total_groups": self.total_groups, "aggregations": self.aggregations, "suggest": self.suggest, "profile": self.profile}
+        return {k: v for k, v in out.items() if v or k in ("total_hits", "hits")}
+
+    def write(self, path: str) -> None:
+        """All hits that the request's limit allows as JSON lines, by the executors."""
+        self.hits.limit(self.size).drop(*self.order.names()).write.json(path)
+
+
 class Searcher:
     """Answers requests over one snapshot: documents with _gen and the id, and their schema."""
 
-    def __init__(self, docs: DataFrame, schema: Schema, generation: int = 1, postings: DataFrame | None = None) -> None:
+    def __init__(self, docs: DataFrame, schema: Schema, generation: int = 1, postings: DataFrame | None = None, stored: dict | None = None, buckets: dict | None = None) -> None:
         self.docs = docs if "_gen" in docs.columns else docs.withColumn("_gen", F.lit(1))
-        self.schema, self.generation, self.id_, self.postings = schema, generation, schema.doc_id_field, postings
+        self.schema, self.generation, self.id_ = schema, generation, schema.doc_id_field
+        self.postings = Postings(postings, buckets or {}, stored) if postings is not None else None
         self._terms: dict[str, DataFrame] = {}
 
     def terms(self, name: str) -> DataFrame:
         """(term, df) of a field of this snapshot."""
+        if name not in self._terms and self.postings and self.schema.fields[name].kind == "text":
+            self._terms[name] = self.postings.dictionary(self.docs, self.id_, name)
         if name not in self._terms:
             self._terms[name] = dictionary(self.docs, self.schema, name)
         return self._terms[name]
@@ -90,6 +104,8 @@ class Searcher:
         df = df.withColumn("_score", score.cast("double")).where("_score is not null") if need_score or plan.root.score else df.withColumn("_score", F.lit(0.0))
         if request.get("explain"):
             df = df.withColumn("_base", sum_of([plan.leaf_score(i) for i in range(plan.leaves)]) if plan.leaves else F.lit(0.0))
+            parts = [F.struct(F.lit(kind).alias("type"), F.lit(name).cast("string").alias("field"), F.when(match(), value()).alias("value")) for match, kind, name, value in plan.functions]
+            df = df.withColumn("_functions", F.filter(F.array(*parts), lambda x: x["value"].isNotNull()) if parts else F.lit(None).cast("array<struct<type:string,field:string,value:double>>"))
         return df.drop(*[c for c in df.columns if c.startswith(("_k", "_df", "_avg_", "_len_", "_tok_")) and (c not in self.docs.columns or c.startswith(("_len_", "_tok_")))] + ["_n"]), plan
 
     def search(self, request: dict) -> Result:
@@ -134,14 +150,16 @@ class Searcher:
             hits, result.groups = self._collapsed(hits.limit(max(window, limit) + 1), collapse, order)
         if request.get("explain"):
             base = F.col("_base") if "_base" in hits.columns else F.lit(None).cast("double")
-            hits = hits.withColumn("_explanation", F.struct(base.alias("base_score"), F.col("_score").alias("final_score")))
+            functions = F.col("_functions") if "_functions" in hits.columns else F.lit(None).cast("array<struct<type:string,field:string,value:double>>")
+            again = F.col("_rescore") if "_rescore" in hits.columns else F.lit(None).cast("struct<rescore_score:double,combined_score:double>")
+            hits = hits.withColumn("_explanation", F.struct(base.alias("base_score"), functions.alias("functions"), again.alias("rescore"), F.col("_score").alias("final_score")))
         result.hits = self._shown(hits, request, plan).limit(limit + 1)
         if request.get("aggs"):
             result.aggregations = Aggregator(self.schema, self.docs).run(aggregated, request["aggs"])
         for name, s in (request.get("suggest") or {}).items():
             result.suggest[name] = [r.asDict() for r in self.suggest(s).collect()]
         if request.get("profile"):
-            result.profile = {"planning_ms": round(1000 * (time.time() - began)), "scored_terms": len(plan.scored) if plan else 0}
+            result.profile = {"planning_ms": round(1000 * (time.time() - began)), "scored_terms": len(plan.scored) if plan else 0, "looked_up_terms": len(plan.keys) if plan else 0, "from_postings": bool(plan and self.postings and (plan.scored or plan.needs))}
         return result
 
     # ---- after ranking
@@ -152,7 +170,8 @@ class Searcher:
         if n < 1:
             raise RequestError("window_size must be at least 1")
         top = hits.limit(window + 1).withColumn("_rank", F.row_number().over(Window.orderBy(*order.order())))
-        again, _ = Searcher(self.docs, self.schema, self.generation, self.postings).matches_all(spec["query"])
+        # Only the window's documents are looked at again.
+        again, _ = self.matches_all(spec["query"], top.where(F.col("_rank") <= n).select(self.id_))
         both = top.join(again, self.id_, "left").withColumn("_in", F.col("_rank") <= n)
         a, b = F.col("_score"), F.col("_again")
         mode = spec.get("score_mode", "total")
@@ -160,17 +179,22 @@ class Searcher:
         if mode not in by:
             raise RequestError(f"unknown rescore mode {mode}")
         both = both.where(~F.col("_in") | F.col("_hit").isNull() | b.isNotNull())
-        both = both.withColumn("_score", F.when(F.col("_in") & F.col("_hit").isNotNull(), by[mode]).otherwise(a))
+        told = F.col("_in") & F.col("_hit").isNotNull()
+        if "_base" in hits.columns:
+            both = both.withColumn("_rescore", F.when(told, F.struct(b.alias("rescore_score"), by[mode].alias("combined_score"))))
+        both = both.withColumn("_score", F.when(told, by[mode]).otherwise(a))
         s = [F.col("_score").alias(x) if order.keys[i][2] == "_score" else F.col(x) for i, x in enumerate(order.names())]
-        both = both.select(*[c for c in hits.columns if c not in order.names()], *s, "_in", "_rank")
+        both = both.select(*[c for c in both.columns if c not in (*order.names(), "_again", "_hit", "_in", "_rank")], *s, "_in", "_rank")
         within = [F.when(F.col("_in"), F.col(x)) for x in order.names()]
         keys = [c.asc_nulls_last() if up else c.desc_nulls_last() for c, (_, up, _) in zip(within, order.keys)]
         return both.orderBy(F.desc("_in"), *keys, F.when(~F.col("_in"), F.col("_rank")), "_gen", self.id_).drop("_in", "_rank")
 
-    def matches_all(self, query) -> tuple[DataFrame, Plan]:
-        """(id, _hit, _again) of every document that the query matches; a null score says that it drops the document."""
+    def matches_all(self, query, within: DataFrame) -> tuple[DataFrame, Plan]:
+        """(id, _hit, _again) of those documents of `within` (ids) that the query matches; a null score says that it drops the document."""
         plan = self.plan(query)
-        df = with_features(self.docs, plan).where(plan.root.match())
+        # A document without the words that every match has is no match, but one without those that are scored may be.
+        postings = self.postings if plan.needs else None
+        df = with_features(self.docs, plan, postings, within).where(plan.root.match())
         score = plan.root.score() if plan.root.score else F.lit(1.0)
         return df.select(self.id_, F.lit(True).alias("_hit"), score.cast("double").alias("_again")), plan
 

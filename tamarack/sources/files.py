@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,19 @@ from ..errors import SchemaError
 from ..schema import Schema
 
 
+def workspace(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which all executors share. Where it is unset, in a local session, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="tamarack-")
+        atexit.register(shutil.rmtree, made, True)
+        folder = "file://" + made
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 class Folder:
     """A folder on a Hadoop file system: small texts are replaced by an atomic rename."""
 
@@ -58,16 +74,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
 
 def parse_lines(lines: DataFrame, schema: Schema) -> DataFrame:
     """From (value), and _seq where there is one."""
-    lines = lines.where(F.trim("value") != "")
+    lines = lines.withColumnRenamed("value", "_line").where(F.trim("_line") != "")
     declared = F.array(*[F.lit(n) for n in (schema.doc_id_field, *schema.fields)])
-    parsed = lines.withColumn("_doc", F.from_json("value", schema.struct(), {"mode": "PERMISSIVE"})).withColumn("_keys", F.json_object_keys("value"))
+    parsed = lines.withColumn("_doc", F.from_json("_line", schema.struct(), {"mode": "PERMISSIVE"})).withColumn("_keys", F.json_object_keys("_line"))
     extra = F.array_except("_keys", declared)
     trouble = F.when(F.col("_keys").isNull(), F.lit("not a JSON object")).when(F.size(extra) > 0, F.concat(F.lit("undeclared fields: "), F.array_join(extra, ", ")))
-    flat = parsed.select("value", *[c for c in ("_seq",) if c in lines.columns], "_doc.*", trouble.alias("_trouble"))
+    flat = parsed.select("_line", *[c for c in ("_seq",) if c in lines.columns], "_doc.*", trouble.alias("_trouble"))
     checked = flat.withColumn("_trouble", F.coalesce("_trouble", schema.problem(flat)))
-    message = F.concat(F.col("_trouble"), F.lit(" in: "), F.substring("value", 1, 200))
+    message = F.concat(F.col("_trouble"), F.lit(" in: "), F.substring("_line", 1, 200))
     # assert_true raises while the rows are read; its result is null, and the filter keeps it from being optimized away.
-    return checked.where(F.assert_true(F.col("_trouble").isNull(), message).isNull()).drop("value", "_trouble")
+    return checked.where(F.assert_true(F.col("_trouble").isNull(), message).isNull()).drop("_line", "_trouble")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

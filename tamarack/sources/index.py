@@ -1,6 +1,6 @@
 """An index in a folder: documents upserted by key, committed as immutable generations of Parquet files.
 
-    schema.json, manifest.json         the manifest lists the committed generations, and is replaced by a rename
+    schema.json, manifest.json         the manifest lists the committed generations with their statistics, and is replaced by a rename
     data/_gen=N                        documents of commit N with their tokens, one row a key
     postings/_gen=N/field=/bucket=     positions of each term in each document, by the hash of the term
     gone/_gen=N                        keys that commit N wrote or deleted: earlier rows of them are dead
@@ -18,12 +18,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import SchemaError
-from ..plans.features import analyzed, postings_of
+from ..plans.features import analyzed, bucket_of, postings_of
 from ..plans.search import Result, Searcher
 from ..schema import Schema
 from .files import Folder, as_json_line, check_documents, parse_lines, read_ids, read_jsonl
 
 
+#: Words for each bucket of postings, and for each file of a bucket: a frequent word's postings are spread over files.
+BUCKET_WORDS, FILE_WORDS = 1 << 20, 1 << 24
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, schema: Schema) -> None:
         self.spark, self.path, self.schema = spark, path, schema
@@ -56,8 +60,10 @@ class Index:
     def manifest(self) -> dict:
         return json.loads(self.folder.read("manifest.json"))
 
-    def _set_manifest(self, generations: list[int], last: int) -> None:
-        self.folder.write("manifest.json", json.dumps({"generations": generations, "last": last}))
+    def _set_manifest(self, generations: list[int], last: int, statistics: dict | None = None) -> None:
+        """statistics: by generation (as a text) its documents, buckets of postings, and [words, documents with the field] of each text field."""
+        known = {k: v for k, v in (statistics or {}).items() if int(k) in generations}
+        self.folder.write("manifest.json", json.dumps({"generations": generations, "last": last, "statistics": known}))
 
     # ---- pending operations
 
@@ -89,6 +95,10 @@ class Index:
     def delete_from_file(self, path: str) -> None:
         self._delete(read_ids(self.spark, path))
 
+    def delete_frame(self, ids: DataFrame) -> None:
+        """Deletes the keys in the column `id`."""
+        self._delete(ids.select("id"))
+
     def _delete(self, ids: DataFrame) -> None:
         columns = [F.col("id").alias(f.name) if f.name == self.schema.doc_id_field else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.struct()]
         self._append(ids.select(*columns, F.lit(0).cast("long").alias("_seq"), F.lit(True).alias("_delete")))
@@ -125,23 +135,31 @@ class Index:
         latest = Window.partitionBy(id_).orderBy(F.desc("_batch"), F.desc("_seq"))
         last = ops.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn", "_batch", "_seq")
         fresh = analyzed(last.where("not _delete").drop("_delete"), self.schema, self.schema.text_fields())
-        self._write(fresh, gen)
+        written = self._write(fresh, gen)
         ops.select(id_).distinct().write.mode("overwrite").parquet(f"{self.path}/gone/_gen={gen}")
-        self._set_manifest([*state["generations"], gen], gen)
+        self._set_manifest([*state["generations"], gen], gen, state.get("statistics", {}) | {str(gen): written})
         self.folder.delete("pending")
         return gen
 
-    def _write(self, docs: DataFrame, gen: int) -> None:
+    def _write(self, docs: DataFrame, gen: int) -> dict:
         for name in self.schema.text_fields():
             toks = F.col(f"_tok_{name}")
             alone = self.schema.fields[name].many and not self.schema.index_analyzer(name).stacked
             docs = docs.withColumn(f"_len_{name}", F.size(F.array_compact(toks)) if alone else F.size(toks))
         docs.write.mode("overwrite").parquet(f"{self.path}/data/_gen={gen}")
         written = self.spark.read.parquet(f"{self.path}/data/_gen={gen}")
+        names = self.schema.text_fields()
+        row = written.agg(F.count("*"), *[f(f"_len_{n}") for n in names for f in (F.sum, F.count)]).first()
+        lengths = {n: [row[2 * i + 1] or 0, row[2 * i + 2]] for i, n in enumerate(names)}
+        words = sum(n for n, _ in lengths.values())
+        buckets, files = min(4096, max(8, -(-words // BUCKET_WORDS))), max(1, -(-words // FILE_WORDS))
         postings = postings_of(written, self.schema)
         if postings is not None:
-            spread = postings.repartition("field", "bucket").sortWithinPartitions("field", "bucket", "term")
+            postings = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+            tasks = min(len(names) * buckets * files, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), len(names) * files))
+            spread = postings.repartition(tasks, "field", "bucket", F.pmod(F.xxhash64(self.schema.doc_id_field), F.lit(files))).sortWithinPartitions("field", "bucket", "term")
             spread.write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{self.path}/postings/_gen={gen}")
+        return {"docs": row[0], "buckets": buckets, "lengths": lengths}
 
     def compact(self) -> int:
         """Rewrites the live documents as one generation; nothing to do for one or none."""
@@ -149,10 +167,10 @@ class Index:
         if len(state["generations"]) <= 1:
             return state["last"]
         gen = state["last"] + 1
-        self._write(self._live(state["generations"]).drop("_gen"), gen)
+        written = self._write(self._live(state["generations"]).drop("_gen"), gen)
         empty = self.spark.createDataFrame([], f"`{self.schema.doc_id_field}` string")
         empty.write.mode("overwrite").parquet(f"{self.path}/gone/_gen={gen}")
-        self._set_manifest([gen], gen)
+        self._set_manifest([gen], gen, {str(gen): written})
         return gen
 
     # ---- reading
@@ -183,7 +201,11 @@ class Index:
     def reader(self) -> Searcher:
         """A snapshot: later commits don't change what it sees."""
         state = self.manifest()
-        return Searcher(self._live(state["generations"]), self.schema, state["last"], self._postings(state["generations"]))
+        known = state.get("statistics", {})
+        buckets = {g: known[str(g)]["buckets"] for g in state["generations"] if str(g) in known}
+        # Statistics stored at the commit are those of the snapshot where it is one generation: no row of it is dead.
+        stored = known.get(str(state["generations"][0])) if len(state["generations"]) == 1 else None
+        return Searcher(self._live(state["generations"]), self.schema, state["last"], self._postings(state["generations"]), stored, buckets)
 
     def search(self, request: dict) -> Result:
         return self.reader().search(request)
