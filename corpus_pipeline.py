@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: No SQL expresses signatures, clustered centroids and best-fit packing; tests/llm compares the stages with brute force.
+#: No SQL expresses signatures, clustered centroids and best-fit packing; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 

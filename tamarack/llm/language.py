@@ -220,16 +220,14 @@ def floors(similarity: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def _decide_batches(shared, columns: list[str], score: str, reject: bool):
+def _decide_batches(shared, text: str, columns: list[str], reject: bool):
     def run(batches):
         model = shared.value
         names = np.array([*model.languages, None], object)
         for batch in batches:
-            data, offsets = _lowered(batch, "text")
-            k, sim, ok = model.decide(data, offsets)
+            k, sim, ok = model.decide(*_lowered(batch, text))
             lang = pa.array(np.where(ok, names[k] if len(model.languages) else None, None), pa.string())
-            arrays = [lang if c == "lang" else pa.array(np.where(ok, sim, 0).astype(np.float64)) if c == score else batch.column(c) for c in columns]
-            out = pa.RecordBatch.from_arrays(arrays, columns)
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], lang, pa.array(np.where(ok, sim, 0).astype(np.float64))], [*columns, "lang", "similarity"])
             yield out.filter(pa.array(ok)) if reject else out
 
     return run
@@ -244,11 +242,14 @@ def identify(docs: DataFrame, model: Model | None = None, reject: bool = True, s
     """
     if model is None:
         model = fit(docs)
-    fields = [f for f in docs.schema if f.name not in ("lang", score)] + [T.StructField("lang", T.StringType()), T.StructField(score, T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in fields]
-    out = docs.mapInArrow(_decide_batches(shared, names, score, reject), T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
-    return out.select(*[col(c) for c in docs.columns if c != score], *([] if "lang" in docs.columns else ["lang"]), col(score))
+    code = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that need no quoting
+    kept = [f for f in docs.schema if f.name not in ("lang", score)]
+    columns = [code[f.name] for f in kept]
+    kinds = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(columns, kept)], T.StructField("lang", T.StringType()), T.StructField("similarity", T.DoubleType())])
+    out = docs.toDF(*code.values()).mapInArrow(_decide_batches(shared, code["text"], columns, reject), kinds)
+    order = [c for c in docs.columns if c != score] + ["lang"] * ("lang" not in code)
+    return out.select(*[F.col("lang" if c == "lang" else code[c]).alias(c) for c in order], F.col("similarity").alias(score))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

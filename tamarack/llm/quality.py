@@ -29,22 +29,21 @@ class Rule:
     words: int = 0
 
 
-#: The rules that the registered SQL states.
-LISTED = (
+#: A document is kept if each metric lies within its bounds (inclusive). Ratios of nothing are 0. Texts of under 20 words
+#: may lack stop words or have short words only.
+RULES = (
     Rule("n_words", low=1),
-    Rule("mean_word_length", low=1.0, high=40.0),
+    Rule("mean_word_length", high=20.0),
+    Rule("mean_word_length", low=2.5, words=20),
     Rule("symbol_ratio", high=0.05),
     Rule("upper_ratio", high=0.40),
     Rule("exclamation_ratio", high=0.04),
-    Rule("stop_word_ratio", low=0.0, high=1.0),
+    Rule("stop_word_ratio", low=0.05, words=20),
     Rule("repeated_word_ratio", high=0.20),
-    Rule("repeated_line_ratio", high=0.9),
-    Rule("bullet_line_ratio", high=0.95),
-    Rule("ellipsis_line_ratio", high=0.5),
+    Rule("repeated_line_ratio", high=0.4),
+    Rule("bullet_line_ratio", high=0.9),
+    Rule("ellipsis_line_ratio", high=0.3),
 )
-#: A document is kept if each metric lies within its bounds (inclusive). Ratios of nothing are 0. Of LISTED, the bounds of
-#: stop words never fail and those of repeated lines hardly ever; the ones added here decide. Texts of under 20 words may lack stop words.
-RULES = (*LISTED, Rule("stop_word_ratio", low=0.05, words=20), Rule("repeated_line_ratio", high=0.4))
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -113,7 +112,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *[F.round(F.col("_metrics")[n], 6).alias(n) if n != "n_words" else F.col("_metrics")[n].alias(n) for n in names])
 
 
-def _sql(rules=LISTED) -> str:
+def _sql(rules=RULES) -> str:
     q = lambda s: s.replace("'", "''")
     less = lambda s: f"length(t) - length(translate(t, '{q(s)}', ''))"
     ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b})::DOUBLE ELSE 0.0::DOUBLE END"

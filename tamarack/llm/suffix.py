@@ -234,13 +234,15 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR
     return lists.select(F.col("doc").alias("doc_id"), F.explode(joined).alias("r")).select("doc_id", "r.begin", "r.end")
 
 
-def _cut_batches(columns: list[str], cuts_: str):
+def _cut_batches(columns: list[str], text: str):
+    """Batches have the columns, `cuts` and `cut`; `cuts` is left out."""
+
     def run(batches):
         words = Tokenizer()
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            cuts = batch.column(cuts_).to_pylist()
-            texts = batch.column("text").to_pylist()
+            data, offsets = text_buffers(batch.column(text))
+            cuts = batch.column("cuts").to_pylist()
+            texts = batch.column(text).to_pylist()
             for i, ranges in enumerate(cuts):
                 if not ranges or texts[i] is None:
                     continue
@@ -252,8 +254,8 @@ def _cut_batches(columns: list[str], cuts_: str):
                     at = edge[min(r["end"], len(start))]
                 keep.append(raw[at:].tobytes())
                 texts[i] = b"".join(keep).decode()
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            arrays = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in (*columns, "cut")]
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "cut"])
 
     return run
 
@@ -263,12 +265,15 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
 
     A document of which nothing is left goes; one that was empty or null before stays as it was.
     """
-    of, cuts, cut = unused(docs.columns, "_doc", "_cuts", "_cut")
-    spans = repeated_spans(docs, passage).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("begin", "end")).alias(cuts))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[of], "left").select(*map(col, docs.columns), col(cuts), col(cuts).isNotNull().alias(cut))
-    kinds = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema], T.StructField(cut, T.BooleanType())])
-    out = joined.mapInArrow(_cut_batches([*docs.columns, cut], cuts), kinds).where(~col(cut) | (F.trim(F.translate("text", "\t\n\r\f", "    ")) != "")).drop(cut)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    (of,) = unused(docs.columns, "_doc")
+    spans = repeated_spans(docs, passage).groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
+    code = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that need no quoting
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[of], "left").select(*[col(c).alias(n) for c, n in code.items()], spans["cuts"].alias("cuts"), spans["cuts"].isNotNull().alias("cut"))
+    kinds = T.StructType([*[T.StructField(code[f.name], f.dataType) for f in docs.schema], T.StructField("cut", T.BooleanType())])
+    text = code["text"]
+    out = joined.mapInArrow(_cut_batches(list(code.values()), text), kinds).where(~F.col("cut") | (F.trim(F.translate(text, "\t\n\r\f", "    ")) != ""))
+    n_chars = lambda c: F.length(text).cast(docs.schema["n_chars"].dataType) if c == "n_chars" else F.col(code[c])
+    return out.select(*[n_chars(c).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,9 +145,9 @@ print(rows, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 102
     [
         ("simhash._signature_batches", "None"),
         ("suffix._anchor_batches(50, 25)", "None"),
-        ("language._decide_batches(Shared, ['doc_id', 'lang'], 'similarity', False)", "language.Model(np.ones(1 << 15, np.float32), np.ones((1 << 15, 3), np.float32), ['en'] * 3, np.zeros(20, np.float32))"),
-        ("lm._explode_batches(Shared, 64, True)", "(np.zeros(0, np.uint64), np.zeros(0, np.int64))"),
-        ("lm._count_batches(64)", "None"),
+        ("language._decide_batches(Shared, 'text', ['doc_id'], False)", "language.Model(np.ones(1 << 15, np.float32), np.ones((1 << 15, 3), np.float32), ['en'] * 3, np.zeros(20, np.float32))"),
+        ("lm._explode_batches(Shared, np.arange(64, dtype=np.int32), True)", "(np.zeros(0, np.uint64), np.zeros(0, np.int64))"),
+        ("lm._count_batches(np.arange(64, dtype=np.int32))", "None"),
     ],
 )
 def test_a_text_of_64_mb(call, shared):

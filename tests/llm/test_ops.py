@@ -119,6 +119,22 @@ def test_each_quality_rule_rejects(spark):
     assert {r.doc_id for r in quality.keep_good(blank, (quality.Rule("n_words", low=1),)).collect()} == {2}
     twice, nineteen, twenty = f"{line}\n{line}\n{line}\nIt is so.\nAll is well with it.", " ".join(f"wor{i}" for i in range(19)), " ".join(f"wor{i}" for i in range(20))
     assert {r.doc_id for r in quality.keep_good(docs_of(spark, [twice, nineteen, twenty])).collect()} == {0, 1}
+    # Each bound from both sides.
+    sides = {
+        "mean_word_length high": ("a" * 20, "a" * 21),
+        "mean_word_length low": (" ".join(["the", "on"] * 10), " ".join(["is", "on"] * 9 + ["the", "is"])),
+        "symbol_ratio": ("the one is in the on# as", "the one is in the on## as"),
+        "upper_ratio": ("ABcde", "ABCde"),
+        "exclamation_ratio": ("the cat is on the mat no!", "the cat is on the mat n!"),
+        "stop_word_ratio": (" ".join(["the", *nineteen.split()]), twenty),
+        "repeated_word_ratio": ("on on it as we", "on on it as"),
+        "repeated_line_ratio": ("a b\na b\na b\nc d\ne f", "a b\na b\na b\na b\nc d\ne f"),
+        "bullet_line_ratio": ("\n".join([f"- the house{i}" for i in "abcdefghi"] + ["the end"]), "\n".join(f"- the house{i}" for i in "abcdefghij")),
+        "ellipsis_line_ratio": ("\n".join([f"the house{i}..." for i in "abc"] + [f"the house{i}" for i in "defghij"]), "\n".join([f"the house{i}..." for i in "abcd"] + [f"the house{i}" for i in "efghij"])),
+    }
+    rows = docs_of(spark, [x for pair in sides.values() for x in pair])
+    kept = {r.doc_id for r in quality.keep_good(rows).collect()}
+    assert {k: (2 * i in kept, 2 * i + 1 in kept) for i, k in enumerate(sides)} == dict.fromkeys(sides, (True, False))
 
 
 # ---------------------------------------------------------------- 4
