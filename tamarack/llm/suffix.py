@@ -8,20 +8,27 @@
    modulo 3 are sorted and named, the names are sorted by recursion, the other suffixes are sorted from the ranks of
    their followers, and both are merged. The recursion ends once a name stands for at least PASSAGE words, as deeper
    order cannot matter. Neighbours in the suffix array are then compared over their first PASSAGE words.
+4. Anchors whose stretches hold more than HOT_WORDS words are no bucket of one worker: their suffixes are sorted by
+   dcsort, the same algorithm with every step of it distributed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import dcsort
 from .common import Tokenizer, chunks, col, materialize, mix64, partitions, row_bounds, table, text_buffers, unused
 
 PASSAGE = 50
 ANCHOR = 25
+#: Words of differing stretches in a bucket, about; and of one anchor, beyond which its suffixes are sorted by the whole cluster.
+BUCKET_WORDS, HOT_WORDS = 1 << 19, 1 << 19
 
 
 class Runs:
@@ -202,6 +209,33 @@ def _sort_bucket(passage: int):
     return run
 
 
+def _symbol_batches(batches):
+    for batch in batches:
+        words = [np.frombuffer(x, np.uint32) for x in batch.column("words").to_pylist()]
+        size = np.array([len(x) for x in words], np.int64)
+        i = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        c = np.concatenate(words).astype(np.int64) + 1 if len(words) else i
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("s").to_numpy(), size)), pa.array(i), pa.array(c)], ["s", "i", "c"])
+
+
+def _later_spans(passage: int):
+    def run(key, t):
+        doc, begin, end = spans_of(*(t.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "fd", "fs")), passage)
+        return pa.table({"doc": doc, "begin": begin.astype(np.int32), "end": end.astype(np.int32)})
+
+    return run
+
+
+def _sorted_by_all(stretches: DataFrame, passage: int) -> DataFrame:
+    """(doc, begin, end) as _sort_bucket() has them, from (doc, a, words)."""
+    strings = materialize(stretches.select(F.monotonically_increasing_id().alias("s"), "doc", "a", "words"))
+    order = dcsort.ranks(strings.mapInArrow(_symbol_batches, "s long, i long, c long"), passage)
+    windows = order.join(strings, "s").where(F.col("i") * 4 + 4 * passage <= F.length("words"))
+    windows = windows.select("r", "doc", (F.col("a") + F.col("i")).cast("int").alias("start"), F.expr(f"substring(words, cast(i * 4 + 1 as int), {4 * passage})").alias("prefix"))
+    later = dcsort.equal_prefixes(windows).where(F.struct("doc", "start") > F.col("first"))
+    return later.select("doc", "start", F.col("first.doc").alias("fd"), F.col("first.start").alias("fs")).groupBy("doc").applyInArrow(_later_spans(passage), "doc long, begin int, end int")
+
+
 def repeated_spans(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, begin, end): the word ranges to cut, disjoint and as long as possible.
 
@@ -220,11 +254,21 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, anchor: int = ANCHOR
     marked = materialize(marked.where("rn > 1 or kinds > 1").select("h", "doc", "a", "b", "first", "rn", "kinds"))
     begin = F.when((F.col("first.doc") == F.col("doc")) & (F.col("a") - F.col("first.a") < passage), F.col("first.a") + passage).otherwise(F.col("a"))
     copies = marked.where(F.col("rn") > 1).where(F.struct("doc", "a") > F.col("first")).select("doc", begin.cast("int").alias("begin"), (F.col("b") + passage).cast("int").alias("end"))
-    spots = marked.where((F.col("rn") == 1) & (F.col("kinds") > 1)).groupBy("doc").agg(F.collect_list(F.struct("h", "a", "b")).alias("spots"))
-    stretches = texts.join(spots, texts["doc_id"] == spots["doc"]).select("doc", "text", "spots").mapInArrow(_stretch_batches(passage), "h long, doc long, a int, words binary")
-    buckets = 4 * partitions(spark)
-    sorted_ = stretches.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_sort_bucket(passage), "doc long, begin int, end int")
-    lists = copies.unionByName(sorted_).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("ranges"))
+    differing = marked.where((F.col("rn") == 1) & (F.col("kinds") > 1)).select("h", "doc", "a", "b")
+    sizes = materialize(differing.groupBy("h").agg(F.sum(F.col("b") - F.col("a") + passage).alias("words")))
+    hot = sizes.where(F.col("words") > HOT_WORDS).select("h")
+    words, heavy = sizes.agg(F.sum(F.when(F.col("words") <= HOT_WORDS, F.col("words"))), F.count(F.when(F.col("words") > HOT_WORDS, 1))).first()
+
+    def stretches(of: DataFrame) -> DataFrame:
+        spots = of.groupBy("doc").agg(F.collect_list(F.struct("h", "a", "b")).alias("spots"))
+        return texts.join(spots, texts["doc_id"] == spots["doc"]).select("doc", "text", "spots").mapInArrow(_stretch_batches(passage), "h long, doc long, a int, words binary")
+
+    buckets = max(partitions(spark), -(-(words or 0) // BUCKET_WORDS))
+    small = stretches(differing.join(hot, "h", "left_anti") if heavy else differing)
+    parts = [copies, small.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(_sort_bucket(passage), "doc long, begin int, end int")]
+    if heavy:
+        parts.append(_sorted_by_all(stretches(differing.join(hot, "h", "left_semi")).drop("h"), passage))
+    lists = reduce(DataFrame.unionByName, parts).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("ranges"))
     empty = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
     joined = F.aggregate(
         "ranges",

@@ -484,7 +484,9 @@ def brute_spans(rows, passage):
     return out
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("hot", [1 << 19, 150])
+def test_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT_WORDS", hot)
     rng = random.Random(8)
     shared, other = words(rng, 60), words(rng, 75)
     texts = [f"{words(rng, 20)} {shared} {words(rng, 9)}", f"{words(rng, 5)} {shared} {other}", f"{other} {words(rng, 30)} {other}", "same " * 200, words(rng, 49), shared, shared, *ODD]
