@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.files import parse_lines
@@ -36,10 +35,3 @@ def upsert_batch(index: Index):
 def ingest(spark: SparkSession, folder: str, index: Index, checkpoint: str, once: bool = True) -> StreamingQuery:
     writer = documents(spark, folder, index).writeStream.foreachBatch(upsert_batch(index)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key by the given columns."""
-    names = [c for c in events.columns if c != key]
-    best = events.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("_row"))
-    return best.select(key, *[F.col("_row")[c].alias(c) for c in names])
