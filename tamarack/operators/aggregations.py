@@ -294,7 +294,10 @@ class Aggregator:
                 apart.append(self._top_hits(rows, path, name, x))
                 continue
             f = self.field(x["field"], "i64", "f64", *(["keyword"] if kind == "cardinality" else []))
-            if f.many and kind in ("percentiles", "percentile_ranks", "cardinality"):
+            if kind == "percentiles":
+                c = F.explode(self.values(f, x.get("missing"))) if f.many else F.coalesce(F.col(f"`{f.name}`").cast("double"), F.lit(x.get("missing")).cast("double"))
+                apart.append(self._percentiles(rows.select(*path, c.alias("_v")).withColumn("_v", F.col("_v").cast("double")), path, name, x))
+            elif f.many and kind in ("percentile_ranks", "cardinality"):
                 single = rows.select(*path, F.explode(self.values(f, x.get("missing"))).alias("_v"))
                 apart.append(single.groupBy(*path).agg(self._metric(kind, x, F.col("_v")).alias(f"_m_{name}")))
             elif f.many:
@@ -313,8 +316,28 @@ class Aggregator:
                 out = out.join(renamed, on, "left").drop(*[f"_j{p}" for p in path])
             else:
                 out = out.crossJoin(other)
+        for name, (kind, x) in metrics.items():
+            if kind == "percentiles":
+                out = out.withColumn(f"_m_{name}", F.coalesce(f"_m_{name}", F.array(*[F.lit(0.0) for _ in x.get("percents") or PERCENTS])))
         return out
 
+    @staticmethod
+    def _percentiles(values: DataFrame, path: list[str], name: str, x: dict) -> DataFrame:
+        """Exact ones, interpolated between the two values around each place. Equal values are counted before they are sorted, and nothing holds a bucket's values at once."""
+        ps = x.get("percents") or PERCENTS
+        if any(not 0 <= p <= 100 for p in ps):
+            raise bad("percents must lie between 0 and 100")
+        counted = values.where("_v is not null").groupBy(*path, "_v").agg(F.count("*").alias("_many"))
+        of = Window.partitionBy(*[F.col(p) for p in path]) if path else Window.partitionBy(F.lit(0))
+        placed = counted.withColumn("_upto", F.sum("_many").over(of.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_many").over(of))
+        at = [(F.lit(p / 100) * (F.col("_all") - 1)) for p in ps]
+        value = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+        ends = [c for i, a in enumerate(at) for c in (value(F.floor(a)).alias(f"_lo{i}"), value(F.ceil(a)).alias(f"_hi{i}"), F.max(a - F.floor(a)).alias(f"_share{i}"))]
+        found = placed.groupBy(*path).agg(*ends)
+        between = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_share{i}") for i in range(len(ps))]
+        whole = F.when(F.col("_lo0").isNotNull(), F.array(*between)) if ps else F.array().cast("array<double>")
+        return found.select(*path, whole.alias(f"_m_{name}"))
+
     def _metric(self, kind: str, x: dict, c: Column) -> Column:
         n = F.count(c)
         zero = lambda e: F.coalesce(e, F.lit(0.0))
