@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tamarack import llm
-from tamarack.llm import language, lm, mixing, mtree, packing, quality, sharding, simhash, suffix, urls
+from tamarack.llm import language, lm, mixing, mtree, packing, quality, sharding, suffix, urls
 from tamarack.llm.common import Tokenizer, col, unused
 
 from ..test_queries import SF, TABLES, plain
@@ -61,7 +61,7 @@ def test_pages_keep_clashing_columns(spark):
     assert [r.page_id for r in out.collect()] == [2]
 
 
-@pytest.mark.parametrize("name", ["assign", "keep_good", "drop_near_duplicates", "mix", "identify", "cut_repeats"])
+@pytest.mark.parametrize("name", ["assign", "keep_good", "mix"])
 def test_rows_keep_clashing_columns(docs, name):
     if name == "assign":
         df = clash(docs.withColumnRenamed("doc_id", "the.id"), sharding.LEVELS)
@@ -69,15 +69,9 @@ def test_rows_keep_clashing_columns(docs, name):
     elif name == "keep_good":
         df = clash(docs.withColumnRenamed("text", "the.text"))
         whole(quality.keep_good(df, text="the.text"), df.columns)
-    elif name == "mix":
+    else:
         df = clash(docs.withColumnRenamed("text", "the.text"))
         whole(mixing.mix(df, text="the.text"), df.columns)
-    elif name == "identify":
-        df = clash(docs)
-        whole(language.identify(df, score="my score").drop("my score"), df.columns)
-    else:
-        df = clash(docs)
-        whole({"drop_near_duplicates": simhash.drop_near_duplicates, "cut_repeats": suffix.cut_repeats}[name](df), df.columns)
 
 
 def test_stages_keep_clashing_columns(spark, docs):

@@ -500,7 +500,7 @@ def test_repeats(spark, monkeypatch, hot):
     assert suffix.repeated_spans(df.limit(0)).count() == 0 and suffix.cut_repeats(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_repeats_at_random(spark, seed):
     rng = random.Random(seed)
     pool = [words(rng, 12, 3).split() for _ in range(4)]
