@@ -1,13 +1,16 @@
-"""SimHash near-duplicates by exact tiled comparison.
+"""SimHash near-duplicates by exact search in blocks of the signature.
 
-Each document gets a 128-bit SimHash of its word pairs. Equal signatures are joined at once. The rest lie in strips
-by population count; every pair of strips that can hold a match is compared tile by tile with numpy exclusive-or and
-bit counts, and a pair of tiles whose population counts differ by more than the radius is skipped, since the Hamming
-distance is never less than that difference. No candidate is dropped: recall is 1 for the stated radius.
+Each document gets a 128-bit SimHash of its word pairs. Equal signatures are joined at once. A signature has 8 blocks of
+16 bits, and limits() shares the radius out among them: signatures within 26 bits of each other differ by at most 13 in
+their first half or by at most 12 in the second, and in that half by at most 3 (or 2) in one of its four blocks. So for
+each block, every signature is compared with those whose block is one of the 697 (or 137) values that near, about 4 % of
+all pairs together where values are spread evenly. No pair within the radius is left out: recall is 1 for the stated radius.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +19,14 @@ from pyspark.sql import functions as F
 from .common import GOLD, Tokenizer, chunks, col, materialize, mix64, partitions, row_bounds, release, table, text_buffers, unused, written
 
 RADIUS = 26
-TILE_ROWS, TILE_COLUMNS = 256, 4096
-STRIP_ROWS = 262_144
-STRIPS = 8
+BLOCKS, BLOCK_BITS = 8, 16
+#: Values of a block that are looked up at a time, and the signatures, more or less, that rows are compared with at a time.
+VALUES, NEAR = 256, 1 << 15
+#: Signatures of a cell, twice as many at most; their number decides by how many leading bits a block's values are dealt out.
+CELL_ROWS = 1 << 20
+CELL_BITS = 6
+#: Comparisons there are at least, for small tables to use all cores.
+TASKS = 24
 
 
 def signatures_of(data: np.ndarray, offsets: np.ndarray, words: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -95,38 +103,113 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int):
-    """Yields index pairs (i, j) with Hamming distance of a[i] and b[j] within the radius; a and b are sorted by population count."""
-    pa_, pb = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b))
-    same = a is b
-    for i in range(0, len(a), TILE_ROWS):
-        x, p = a[i : i + TILE_ROWS], pa_[i : i + TILE_ROWS]
-        for j in range(i // TILE_COLUMNS * TILE_COLUMNS if same else 0, len(b), TILE_COLUMNS):
-            y, q = b[j : j + TILE_COLUMNS], pb[j : j + TILE_COLUMNS]
-            if q[0] - p[-1] > radius or p[0] - q[-1] > radius:
-                continue
-            d = np.bitwise_count(x[:, 0, None] ^ y[None, :, 0])
-            k = np.flatnonzero(d.ravel() <= radius)
-            r, c = k // len(y), k % len(y)
-            near = d.ravel()[k].astype(np.int64) + np.bitwise_count(x[r, 1] ^ y[c, 1]) <= radius
-            r, c = r[near] + i, c[near] + j
-            if same:
-                r, c = r[r < c], c[r < c]
-            if len(r):
-                yield r, c
-
-
-def _pack(key, t):
-    sig = np.stack([t.column("hi").to_numpy(), t.column("lo").to_numpy()], 1).view(np.uint64)
-    order = np.argsort(np.bitwise_count(sig).sum(1), kind="stable")
-    return pa.table({"strip": [key[0].as_py()], "sig": [sig[order].tobytes()], "ids": [t.column("rep").to_numpy()[order].tobytes()]}, schema=pa.schema([("strip", pa.int32()), ("sig", pa.binary()), ("ids", pa.binary())]))
-
-
-def _compare(radius: int):
+def limits(radius: int) -> list[tuple[int, int]]:
+    """For each block, how many bits its half and it may differ by; a pair within the radius keeps both limits of some block. One below 0 is not needed."""
+
+    def shared(n: int, parts: int) -> list[int]:
+        return [(n + 1) // parts + (k < (n + 1) % parts) - 1 for k in range(parts)]
+
+    return [(half, block) for half in shared(radius, 2) for block in shared(half, BLOCKS // 2)]
+
+
+def block_values(sig: np.ndarray, block: int) -> np.ndarray:
+    return (sig[:, block // 4] >> np.uint64(BLOCK_BITS * (block % 4)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, blocks=range(BLOCKS), part: int = 0, parts: int = 1):
+    """Yields index pairs (i, j) with Hamming distance of a[i] and b[j] within the radius, those of i < j if a is b.
+
+    Each pair comes once for each of `blocks` whose limits it keeps. Of several parts, one takes the values of a's block that leave it as a remainder.
+    """
+    for block in blocks:
+        most, limit = limits(radius)[block]
+        if limit < 0 or not len(a) or not len(b):
+            continue
+        va, vb = block_values(a, block), block_values(b, block)
+        oa, ob = (np.argsort(v.astype(np.uint16), kind="stable") for v in (va, vb))
+        va, vb = va[oa], vb[ob]
+        half = block // 4
+        xs, ys, xo, yo = a[oa, half], b[ob, half], a[oa, 1 - half], b[ob, 1 - half]
+        turn = np.array([sum(1 << i for i in c) for n in range(min(limit, BLOCK_BITS) + 1) for c in combinations(range(BLOCK_BITS), n)], np.int64)
+        # Bits that all of a's and all of b's values have in common are turned in one way only.
+        fixed = int(va[0] ^ va[-1] | vb[0] ^ vb[-1]).bit_length()
+        turn = turn[turn >> fixed == (va[0] ^ vb[0]) >> fixed]
+        bounds = np.searchsorted(vb, np.arange((1 << BLOCK_BITS) + 1))
+        values, first, rows = np.unique(va, return_index=True, return_counts=True)
+        mine = values % parts == part
+        values, first, rows = values[mine], first[mine], rows[mine]
+        for s in range(0, len(values), VALUES):
+            v = values[s : s + VALUES, None]
+            to = turn ^ v
+            lo = bounds[to]
+            n = bounds[to + 1] - lo
+            if a is b:
+                n[to < v] = 0
+            width = n.sum(1)
+            for group in np.split(np.arange(len(v)), np.flatnonzero(np.diff(np.cumsum(width) // NEAR)) + 1):
+                # Values with many rows come first, so that those with an r-th row are always the first few.
+                group = group[np.argsort(-rows[s + group], kind="stable")]
+                w, starts, height = width[group], first[s + group], rows[s + group]
+                ends, each = np.cumsum(w), n[group].ravel()
+                if not ends[-1]:
+                    continue
+                at = np.repeat(lo[group].ravel() - np.cumsum(each) + each, each) + np.arange(ends[-1])
+                near = ys[at]
+                for r, m in enumerate(np.searchsorted(-height, -np.arange(height[0])).tolist()):
+                    d = np.bitwise_count(np.repeat(xs[starts[:m] + r], w[:m]) ^ near[: ends[m - 1]])
+                    k = np.flatnonzero(d <= most)
+                    if not len(k):
+                        continue
+                    i, j = starts[np.searchsorted(ends[:m], k, side="right")] + r, at[k]
+                    close = d[k].astype(np.int64) + np.bitwise_count(xo[i] ^ yo[j]) <= radius
+                    if a is b:  # two of one value meet twice, and each meets itself
+                        close &= i < j
+                    i, j = oa[i[close]], ob[j[close]]
+                    if len(i):
+                        yield (np.minimum(i, j), np.maximum(i, j)) if a is b else (i, j)
+
+
+def _deal(bits: int, first: np.ndarray, splits: np.ndarray):
+    """Signatures and ids by cell: a block, the leading bits of its value and, where these have too many rows, a split by hash."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            sig = np.stack([np.concatenate([x[k] for x in held]) for k in (0, 1)], 1).view(np.uint64)
+            ids = np.concatenate([x[2] for x in held])
+            cells, sigs, reps = [], [], []
+            for block in range(BLOCKS):
+                g = block_values(sig, block) >> (BLOCK_BITS - bits)
+                cell = first[block][g] + (mix64(sig[:, 0] ^ mix64(sig[:, 1])) % splits[block][g].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(cell, kind="stable")
+                used, start = np.unique(cell[order], return_index=True)
+                for c, o in zip(used.tolist(), np.split(order, start[1:])):
+                    cells.append(c)
+                    sigs.append(sig[o].tobytes())
+                    reps.append(ids[o].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(sigs, pa.binary()), pa.array(reps, pa.binary())], ["cell", "sig", "ids"])
+
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("hi", "lo", "rep")])
+            size += batch.num_rows
+            if size > 200_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _compare(radius: int, parts: int):
     def run(key, t):
-        sides = sorted(zip(t.column("strip").to_pylist(), t.column("sig").to_pylist(), t.column("ids").to_pylist()))
-        a, b = (np.frombuffer(s[1], np.uint64).reshape(-1, 2) for s in (sides[0], sides[-1]))
-        ids = np.concatenate([np.frombuffer(s[2], np.int64) for s in sides])
+        block, one, other, part = (k.as_py() for k in key)
+        cell, sigs, reps = (t.column(c).to_pylist() for c in ("cell", "sig", "ids"))
+        sides = [[k for k, c in enumerate(cell) if c == side] for side in ([one] if one == other else [one, other])]
+        a, b = (np.frombuffer(b"".join(sigs[k] for k in side), np.uint64).reshape(-1, 2) for side in (sides[0], sides[-1]))
+        ids = np.frombuffer(b"".join(reps[k] for side in sides for k in side), np.int64)
+        del sigs, reps
         shift = len(a) if len(sides) > 1 else 0
         if not shift:
             b = a
@@ -141,7 +224,7 @@ def _compare(radius: int):
             us, vs = [nodes[label != nodes]], [label[label != nodes]]
             held = len(us[0])
 
-        for r, c in close_pairs(a, b, radius):
+        for r, c in close_pairs(a, b, radius, [block], part, parts):
             us.append(r)
             vs.append(c + shift)
             held += len(r)
@@ -153,6 +236,27 @@ def _compare(radius: int):
     return run
 
 
+def close_edges(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): ids of signatures that hold together all groups of signatures within the radius; unique: (hi, lo, rep), distinct signatures."""
+    spark = unique.sparkSession
+    leading = [F.shiftrightunsigned("hi" if k < 4 else "lo", BLOCK_BITS * (k % 4) + BLOCK_BITS - CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1)) + F.lit(k << CELL_BITS) for k in range(BLOCKS)]
+    counts = np.zeros(BLOCKS << CELL_BITS, np.int64)
+    for r in unique.select(F.explode(F.array(*leading)).alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect():  # 512 rows at most
+        counts[r["at"]] = r["n"]
+    bits = min(CELL_BITS, max(0, int(-(-int(counts.sum()) // (BLOCKS * CELL_ROWS)) - 1).bit_length()))
+    splits = np.maximum(1, -(-counts.reshape(BLOCKS, 1 << bits, -1).sum(2) // (2 * CELL_ROWS)))
+    first = (np.cumsum(splits) - splits.ravel()).reshape(splits.shape)
+    cells = [[(g, int(first[k, g]) + s) for g in range(1 << bits) for s in range(splits[k, g])] for k in range(BLOCKS)]
+    meet = [(k, a, b) for k, (_, limit) in enumerate(limits(radius)) for i, (g, a) in enumerate(cells[k]) for h, b in cells[k][i:] if (g ^ h).bit_count() <= limit]
+    parts = -(-TASKS // max(1, len(meet)))
+    tasks = [(c, k, a, b, part) for k, a, b in meet for c in {a, b} for part in range(parts)]
+    tasks = spark.createDataFrame(tasks, "cell int, block int, a int, b int, part int")
+    dealt = unique.select("hi", "lo", "rep").mapInArrow(_deal(bits, first, splits), "cell int, sig binary, ids binary").join(F.broadcast(tasks), "cell")
+    # Where tasks are few, there are more partitions, so that hardly any two share one.
+    spread = dealt.repartition(max(partitions(spark), len(meet) * parts * (4 if len(meet) < 100 else 1)), "block", "a", "b", "part")
+    return spread.groupBy("block", "a", "b", "part").applyInArrow(_compare(radius, parts), "u long, v long")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each node's component, by alternating large and small stars until nothing changes."""
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -179,32 +283,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     text is null, empty or only white space, are compared with nothing. Rows that repeat a doc_id count as one document.
     Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     # A doc_id that comes with several texts has several signatures, all of them compared.
     sig = materialize(signatures(docs).distinct())
     unique = sig.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    unique = materialize(unique.withColumn("pc", (F.bit_count("hi") + F.bit_count("lo")).cast("int")))
-    counts = {r.pc: r.n for r in unique.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 129 rows at most
-    total = sum(counts.values())
-    strips = max(STRIPS, -(-total // STRIP_ROWS))
-    before, run = {}, 0
-    for pc in sorted(counts):
-        before[pc], run = run, run + counts[pc]
-    place = {pc: (before[pc] / max(1, total), counts[pc] / max(1, total)) for pc in counts}
-    low, high = [999] * strips, [-999] * strips
-    for pc, (b, c) in place.items():
-        for s in range(int(b * strips), min(strips - 1, int((b + c) * strips)) + 1):
-            low[s], high[s] = min(low[s], pc), max(high[s], pc)
-    bounds = spark.createDataFrame([(pc, b, c) for pc, (b, c) in place.items()] or [(-1, 0.0, 0.0)], "pc int, b double, c double")
-    u = F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    stripped = unique.join(F.broadcast(bounds), "pc").withColumn("strip", F.least(F.lit(strips - 1), F.floor((F.col("b") + u * F.col("c")) * strips)).cast("int"))
-    packed = stripped.select("strip", "hi", "lo", "rep").groupBy("strip").applyInArrow(_pack, "strip int, sig binary, ids binary")
-    lows, highs = F.array(*map(F.lit, low)), F.array(*map(F.lit, high))
-    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    gap = F.greatest(F.get(lows, F.col("other")) - F.get(highs, F.col("strip")), F.get(lows, F.col("strip")) - F.get(highs, F.col("other")))
-    pairs = pairs.where(gap <= radius).select(F.least("strip", "other").alias("a"), F.greatest("strip", "other").alias("b"), "strip", "sig", "ids")
-    spread = pairs.repartition(max(partitions(spark), strips * (strips + 1) // 2), "a", "b")
-    edges = spread.groupBy("a", "b").applyInArrow(_compare(radius), "u long, v long")
+    unique = materialize(unique)
+    edges = close_edges(unique, radius)
     # The same doc_id under two signatures joins their groups.
     split = sig.join(sig.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "doc_id").join(unique, ["hi", "lo"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     member = connected(edges.unionByName(split))

@@ -227,6 +227,43 @@ def test_all_close_pairs_are_found():
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 26)) if i < j}
 
 
+def test_few_pairs_are_compared(monkeypatch):
+    rng = np.random.default_rng(11)
+    a = rng.integers(0, 2**63, (20_000, 2)).astype(np.uint64)
+    a[10_000:] = a[:10_000]
+    for k in range(10_000):
+        for bit in rng.choice(126, k % 28, replace=False):
+            a[10_000 + k, bit // 63] ^= np.uint64(1) << np.uint64(bit % 63)
+    a = a[np.argsort(np.bitwise_count(a).sum(1), kind="stable")]
+    counted, count = [0], np.bitwise_count
+    with monkeypatch.context() as m:
+        m.setattr(np, "bitwise_count", lambda x, *more, **kw: (counted.__setitem__(0, counted[0] + x.size), count(x, *more, **kw))[1])
+        got = {(int(i), int(j)) for r, c in simhash.close_pairs(a, a, 26) for i, j in zip(r, c)}
+    want = set()
+    for i in range(0, len(a), 500):
+        d = np.bitwise_count(a[i : i + 500, None, 0] ^ a[None, :, 0]) + np.bitwise_count(a[i : i + 500, None, 1] ^ a[None, :, 1])
+        want |= {(int(r) + i, int(c)) for r, c in zip(*np.nonzero(d <= 26)) if r + i < c}
+    assert got == want and len(want) > 9_000
+    assert counted[0] < 0.1 * len(a) * len(a) / 2
+
+
+def test_cells_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 150)
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 2**63, (600, 2)).astype(np.uint64)
+    a[100:400, 0] = a[0, 0]  # a cell with too many rows
+    for k in range(400, 600):
+        a[k] = a[k - 400]
+        for bit in rng.choice(126, k % 29, replace=False):
+            a[k, bit // 63] ^= np.uint64(1) << np.uint64(bit % 63)
+    a = np.unique(a, axis=0)
+    df = spark.createDataFrame([(int(h), int(lo), i) for i, (h, lo) in enumerate(a.view(np.int64))], "hi long, lo long, rep long")
+    edges = simhash.close_edges(df).collect()
+    d = np.bitwise_count(a[:, None] ^ a[None]).sum(2)
+    u, v = np.nonzero(d <= 26)
+    assert np.array_equal(simhash.components(len(a), *np.array([(e.u, e.v) for e in edges]).T), simhash.components(len(a), u, v))
+
+
 # ---------------------------------------------------------------- 6
 
 
