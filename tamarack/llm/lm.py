@@ -75,6 +75,14 @@ def _lists(p: np.ndarray, order: np.ndarray, label: np.ndarray, whole: dict, som
     return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
+def places(p: np.ndarray, *flags: np.ndarray) -> np.ndarray:
+    """Indices in the order of p, then of each flag. Keys of 16 bits are sorted by radix."""
+    key = p
+    for flag in flags:
+        key = key * 2 + flag
+    return np.argsort(key.astype(np.uint16) if not len(key) or key.max() < 1 << 16 else key, kind="stable")
+
+
 def _count_batches(label: np.ndarray):
     def run(batches):
         words, kept, n = Tokenizer(), [], 0
@@ -162,7 +170,7 @@ def _explode_batches(shared, label: np.ndarray, rare: bool):
             second = np.where(w < 0, np.minimum(v, 0), 0)
             full = (u < 0) | (x < 0) | (second < 0)
             sparse = {"b": (tail, ~small), "ru": (u, full), "rx": (x, full)} | ({"rv": (second, full)} if rare else {})
-            yield _lists(p, np.lexsort((small, ~full, p)), label, {"doc": doc, "a": a} | ({"r": r} if rare else {}), sparse)
+            yield _lists(p, places(p, ~full, small), label, {"doc": doc, "a": a} | ({"r": r} if rare else {}), sparse)
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
@@ -210,13 +218,24 @@ def _scored(rows: DataFrame, rare: bool, total: int, alpha: float) -> DataFrame:
     """(doc, s, need, times) of each row: its part of the score, but for `times` the logarithm of the count of the word `need`."""
     pair = ["v", "w"] if rare else ["vw"]
 
-    def elsewhere(df: DataFrame, name: str, *more: str) -> DataFrame:
-        own, every = (Window.partitionBy(*pair, "p", *more, *d) for d in (["doc"], []))
-        # Counting _own keeps the two windows in this order, and so under one sort.
-        return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count(F.when(F.col("_own") > 0, 1)).over(every) - F.col("_own")).drop("_own")
+    def keyed(df: DataFrame, word: str) -> tuple[DataFrame, list[str]]:
+        """Columns of the pair and a word before or after it. A pair of frequent words and the third word's code are one number, that nearly always settles a sort."""
+        if rare:
+            return df, [*pair, "p", word]
+        return df.withColumn("_key", F.shiftleft("vw", 20).bitwiseOR(F.when(F.col(word) < 0, RARE).otherwise(F.col(word)))), ["_key", word, "p"]
 
-    rows = elsewhere(rows, "n3", "x").withColumn("next", (F.col("x") != 0) & (F.col("n3") > 0)).drop("x", "n3")
-    rows = elsewhere(elsewhere(rows, "c2"), "c3", "u")
+    def elsewhere(df: DataFrame, name: str, group: list[str]) -> DataFrame:
+        own, every = (Window.partitionBy(*group, *d) for d in (["doc"], []))
+        # Counting _own keeps the two windows in this order, and so under one sort.
+        return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count(F.when(F.col("_own") > 0, 1)).over(every) - F.col("_own")).drop("_own", "_key")
+
+    # A triple occurs elsewhere if not all its places are in one document. Rows in order of a key are in that of the pair, too, which the next sort starts from.
+    rows, triple = keyed(rows, "x")
+    docs = Window.partitionBy(*triple)
+    rows = rows.withColumn("next", (F.col("x") != 0) & (F.min("doc").over(docs) != F.max("doc").over(docs))).drop("x", "_key")
+    rows = elsewhere(rows, "c2", [*pair, "p"])
+    rows, triple = keyed(rows, "u")
+    rows = elsewhere(rows, "c3", triple)
     v, w = (F.col("v"), F.col("w")) if rare else (F.shiftrightunsigned("vw", 20), F.col("vw").bitwiseAND(F.lit(RARE)))
     has_u, has_v = F.col("u") != 0, v != 0
     log_a = float(np.log(alpha))
