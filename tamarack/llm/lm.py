@@ -211,11 +211,14 @@ def _scored(rows: DataFrame, rare: bool, total: int, alpha: float) -> DataFrame:
     pair = ["v", "w"] if rare else ["vw"]
 
     def elsewhere(df: DataFrame, name: str, *more: str) -> DataFrame:
-        own, every = (Window.partitionBy(*pair, "p", *more, *d) for d in (["doc"], []))
-        # Counting _own keeps the two windows in this order, and so under one sort.
-        return df.withColumn("_own", F.count("*").over(own)).withColumn(name, F.count(F.when(F.col("_own") > 0, 1)).over(every) - F.col("_own")).drop("_own")
-
-    rows = elsewhere(rows, "n3", "x").withColumn("next", (F.col("x") != 0) & (F.col("n3") > 0)).drop("x", "n3")
+        # One window, all of whose frames spill: rows of the group, and those up to the row's document without those before it.
+        group = Window.partitionBy(*pair, "p", *more).orderBy("doc")
+        count = lambda until: F.count("*").over(group.rangeBetween(Window.unboundedPreceding, until))
+        return df.withColumn(name, count(Window.unboundedFollowing) - count(Window.currentRow) + F.rank().over(group) - 1)
+
+    # Whether a triple occurs elsewhere is told by the least and the greatest document of its places.
+    places = Window.partitionBy(*pair, "p", "x")
+    rows = rows.withColumn("next", (F.col("x") != 0) & (F.min("doc").over(places) < F.max("doc").over(places))).drop("x")
     rows = elsewhere(elsewhere(rows, "c2"), "c3", "u")
     v, w = (F.col("v"), F.col("w")) if rare else (F.shiftrightunsigned("vw", 20), F.col("vw").bitwiseAND(F.lit(RARE)))
     has_u, has_v = F.col("u") != 0, v != 0

@@ -396,6 +396,17 @@ def test_backoff(spark, monkeypatch, hot):
     assert lm.stupid_backoff(df.limit(0)).count() == 0
 
 
+def test_counts_of_ngrams_take_one_window_each(spark):
+    rows = [(d, v << 20 | w, u, x) for d, v, w, u, x in [(1, 1, 2, 3, 4), (1, 1, 2, 3, 4), (1, 1, 2, 0, 5), (2, 1, 2, 3, 5), (3, 1, 2, 6, 0), (2, 7, 8, 3, 4), (2, 7, 8, 3, 4)]]
+    df = spark.createDataFrame([(0, *r) for r in rows], "p int, doc long, vw long, u long, x long").repartition(2, "p")
+    got = lm._scored(df, False, 100, 0.5)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window [") == 3
+    half = math.log(0.5)
+    # (logarithm of the counts that a row has, the word whose count is still missing, how often): by hand, with counts in other documents only
+    want = [(1, math.log(1), 2, 0), (1, math.log(1), 2, 0), (1, math.log(2) - math.log(2), 1, -1), (2, math.log(2) - math.log(4), 2, 0), (3, math.log(4) + half, 1, -1)] + [(2, 2 * half - math.log(100), 8, 1)] * 2
+    assert sorted((r.doc, round(r.s, 9), r.need, r.times) for r in got.collect()) == sorted((d, round(s, 9), n, t) for d, s, n, t in want)
+
+
 # ---------------------------------------------------------------- 8
 
 
