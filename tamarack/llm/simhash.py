@@ -5,6 +5,7 @@ Each document gets a 128-bit SimHash of its word pairs. Equal signatures are joi
 their first half or by at most 12 in the second, and in that half by at most 3 (or 2) in one of its four blocks. So for
 each block, every signature is compared with those whose block is one of the 697 (or 137) values that near, about 4 % of
 all pairs together where values are spread evenly. No pair within the radius is left out: recall is 1 for the stated radius.
+Signatures that found links hold together aren't compared again, so that a large group of near copies isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ RADIUS = 26
 BLOCKS, BLOCK_BITS = 8, 16
 #: Values of a block that are looked up at a time, and the signatures, more or less, that rows are compared with at a time.
 VALUES, NEAR = 256, 1 << 15
+#: A value with so many signatures near it, or so many comparisons, is compared by itself. A signature with more links than DENSE is the centre of a group.
+WIDE, MANY, DENSE = 1 << 12, 1 << 16, 64
 #: Signatures of a cell, twice as many at most; their number decides by how many leading bits a block's values are dealt out.
 CELL_ROWS = 1 << 20
 CELL_BITS = 6
@@ -116,10 +119,68 @@ def block_values(sig: np.ndarray, block: int) -> np.ndarray:
     return (sig[:, block // 4] >> np.uint64(BLOCK_BITS * (block % 4)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, blocks=range(BLOCKS), part: int = 0, parts: int = 1):
+def _value_pairs(rows: range, at: np.ndarray, sides: tuple, label: tuple, most: int, radius: int, forest: bool):
+    """Of one value's rows and those near it, NEAR at most: pairs within the radius, as close_pairs() has them, by their places in the order of values.
+
+    label: of each signature on both sides, 0 or the centre to which pairs that were yielded tie it. A row with a label is not
+    compared with those of the same one; a row with many links gives its label, or a new one, to those without.
+    """
+    xs, ys, xo, yo = sides
+    la, lb = label
+    same = la is lb
+    near, left = ys[at], {}
+    x, c = np.empty(NEAR, np.uint64), np.empty(NEAR, np.uint8)
+
+    def hits(r: int, end: int, those: np.ndarray) -> np.ndarray:
+        m = (end - r) * len(those)
+        np.bitwise_xor(xs[r:end, None], those, out=x[:m].reshape(end - r, len(those)))
+        return np.flatnonzero(np.bitwise_count(x[:m], out=c[:m]) <= most)
+
+    def within(i, j) -> np.ndarray:
+        return np.bitwise_count(xs[i] ^ ys[j]) + np.bitwise_count(xo[i] ^ yo[j]) <= radius
+
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = NEAR // len(at)
+    for first in range(rows.start, rows.stop, step):
+        end = min(first + step, rows.stop)
+        if not (forest and la[first:end].any()):
+            k = hits(first, end, near)
+            if not (forest and len(k) > DENSE * (end - first)):
+                us.append(first + k // len(at))
+                vs.append(at[k % len(at)])
+                continue
+        for r in range(first, end):
+            mine = int(la[r])
+            if mine and mine not in left:
+                to = at[lb[at] != mine]
+                left[mine] = to, ys[to]
+            to, those = left[mine] if mine else (at, near)
+            j = to[hits(r, r + 1, those)]
+            if len(j) > DENSE:
+                j = j[within(r, j) & (j != r if same else True)]
+                if len(j) > DENSE:
+                    known = lb[j]
+                    if not mine:
+                        la[r] = mine = int(known.max()) or r + 1
+                    lb[j[known == 0]] = mine
+                    # Of those that have a label, one of each is enough.
+                    j = np.concatenate([j[known == 0], j[np.unique(known, return_index=True)[1]]])
+                    yield np.full(len(j), r), j
+                    continue
+            us.append(np.full(len(j), r))
+            vs.append(j)
+    i, j = np.concatenate(us), np.concatenate(vs)
+    close = within(i, j)
+    if same:  # two of one value meet twice, and each meets itself
+        close &= i < j if not forest else i != j
+    yield i[close], j[close]
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, blocks=range(BLOCKS), part: int = 0, parts: int = 1, forest: bool = False):
     """Yields index pairs (i, j) with Hamming distance of a[i] and b[j] within the radius, those of i < j if a is b.
 
     Each pair comes once for each of `blocks` whose limits it keeps. Of several parts, one takes the values of a's block that leave it as a remainder.
+    With `forest`, a pair that other pairs of its block hold together may be left out or come again.
     """
     for block in blocks:
         most, limit = limits(radius)[block]
@@ -134,6 +195,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, blocks=range(BLOCKS),
         # Bits that all of a's and all of b's values have in common are turned in one way only.
         fixed = int(va[0] ^ va[-1] | vb[0] ^ vb[-1]).bit_length()
         turn = turn[turn >> fixed == (va[0] ^ vb[0]) >> fixed]
+        label = (np.zeros(len(a), np.int64),) * 2 if a is b else (np.zeros(len(a), np.int64), np.zeros(len(b), np.int64))
         bounds = np.searchsorted(vb, np.arange((1 << BLOCK_BITS) + 1))
         values, first, rows = np.unique(va, return_index=True, return_counts=True)
         mine = values % parts == part
@@ -146,12 +208,22 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, blocks=range(BLOCKS),
             if a is b:
                 n[to < v] = 0
             width = n.sum(1)
-            for group in np.split(np.arange(len(v)), np.flatnonzero(np.diff(np.cumsum(width) // NEAR)) + 1):
+            wide = (width >= WIDE) | (width * rows[s : s + VALUES] >= MANY)
+            for g in np.flatnonzero(wide).tolist():
+                at = np.repeat(lo[g] - np.cumsum(n[g]) + n[g], n[g]) + np.arange(width[g])
+                of = range(first[s + g], first[s + g] + rows[s + g])
+                for k in range(0, len(at), NEAR):
+                    for i, j in _value_pairs(of, at[k : k + NEAR], (xs, ys, xo, yo), label, most, radius, forest):
+                        i, j = oa[i], ob[j]
+                        if len(i):
+                            yield (np.minimum(i, j), np.maximum(i, j)) if a is b else (i, j)
+            narrow = np.flatnonzero(~wide)
+            for group in np.split(narrow, np.flatnonzero(np.diff(np.cumsum(width[narrow]) // NEAR)) + 1):
                 # Values with many rows come first, so that those with an r-th row are always the first few.
                 group = group[np.argsort(-rows[s + group], kind="stable")]
                 w, starts, height = width[group], first[s + group], rows[s + group]
                 ends, each = np.cumsum(w), n[group].ravel()
-                if not ends[-1]:
+                if not len(ends) or not ends[-1]:
                     continue
                 at = np.repeat(lo[group].ravel() - np.cumsum(each) + each, each) + np.arange(ends[-1])
                 near = ys[at]
@@ -224,7 +296,7 @@ def _compare(radius: int, parts: int):
             us, vs = [nodes[label != nodes]], [label[label != nodes]]
             held = len(us[0])
 
-        for r, c in close_pairs(a, b, radius, [block], part, parts):
+        for r, c in close_pairs(a, b, radius, [block], part, parts, forest=True):
             us.append(r)
             vs.append(c + shift)
             held += len(r)

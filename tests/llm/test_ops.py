@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tamarack.llm import language, lm, mixing, mtree, packing, quality, sharding, simhash, suffix, urls
@@ -247,6 +248,43 @@ def test_few_pairs_are_compared(monkeypatch):
     assert counted[0] < 0.1 * len(a) * len(a) / 2
 
 
+def test_large_groups_are_not_compared_pair_by_pair(monkeypatch):
+    for name, n in (("WIDE", 64), ("MANY", 1024)):
+        monkeypatch.setattr(simhash, name, n, raising=False)
+    rng = np.random.default_rng(13)
+
+    def turned(x, most):
+        x = x.copy()
+        for k in range(len(x)):
+            for bit in rng.choice(128, rng.integers(0, most + 1), replace=False):
+                x[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        return x
+
+    centres = rng.integers(0, 2**63, (3, 2)).astype(np.uint64)
+    a = np.concatenate([turned(centres[rng.integers(0, 3, 1500)], 16), turned(np.repeat(centres[:1], 300, 0), 40), rng.integers(0, 2**63, (300, 2)).astype(np.uint64)])
+    a = rng.permutation(np.unique(a, axis=0))
+    d = np.bitwise_count(a[:, None] ^ a[None]).sum(2)
+    near = d <= 26
+    want = simhash.components(len(a), *np.nonzero(near))
+    assert near.sum() > 0.15 * near.size and len(set(want.tolist())) > 300
+    half = len(a) // 2
+    halves = [(0, np.arange(half)), (1, np.arange(half, len(a)))]
+    counted, count = [0], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x, *more, **kw: (counted.__setitem__(0, counted[0] + x.size), count(x, *more, **kw))[1])
+
+    def edges(cells, one, other):
+        t = pa.table({"cell": [c for c, _ in cells], "sig": [a[i].tobytes() for _, i in cells], "ids": [i.tobytes() for _, i in cells]})
+        found = [simhash._compare(26, 1)([pa.scalar(x) for x in (block, one, other, 0)], t) for block in range(8)]
+        return np.concatenate([np.stack([f["u"].to_numpy(), f["v"].to_numpy()]) for f in found], 1)
+
+    whole = edges([(0, np.arange(len(a)))], 0, 0)
+    few = counted[0]
+    split = np.concatenate([edges([x], x[0], x[0]) for x in halves] + [edges(halves, 0, 1)], 1)
+    for u, v in (whole, split):
+        assert np.array_equal(simhash.components(len(a), u, v), want)
+    assert few < 2 * near.sum()
+
+
 def test_cells_meet(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_ROWS", 150)
     rng = np.random.default_rng(12)
