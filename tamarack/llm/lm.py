@@ -10,18 +10,22 @@ are taken off, else every text would predict itself); single words are counted i
 the first two words of a document start at the order that they have words for. The document's score is the sum of
 natural logarithms.
 
-1. Words are counted: hashes with partial counts go to partitions of the hash, where they are added.
+1. Words are counted: hashes with partial counts go to partitions of the hash, where they are added. So are pairs of
+   words, by PAIR_BUCKETS buckets of their hash.
 2. The documents are exploded into n-grams, a row (u, v, w, x) for each word w, with the two words before it and the one
    after, partitioned by the hash of the pair (v, w). So one shuffle brings together all that the counts of v w, u v w
    and v w x need: they are counts over groups of that partitioning, joined to the rows that they are counted from, and
-   the word after x finds its denominator, count(v w), in the same place. Rows travel as arrays and are unpacked by a generator.
+   the word after x finds its denominator, count(v w), in the same place. Rows travel as arrays. A partition's groups are
+   sorted and counted in numpy, in the worker's memory. Pairs with a rare word, and those of a bucket with over HEAVY_PAIR
+   words, which could be too many for that, are unpacked by a generator and counted by windows, which spill.
 3. Counts of single words are joined by word. The HOT_WORDS most frequent words have numbers of 20 bits and their counts
    are broadcast, which is a fixed bound; all other words are 63 bits of their hash. Pairs with such a rare word are
    partitioned by it, where its occurrences are counted; of a pair of two rare words that occurs elsewhere, the first
    word goes through a join with the counts of rare words, which no frequent word is in.
 4. The documents' parts are added.
 
-There is one way at all sizes; what is broadcast is never more than HOT_WORDS words.
+What is broadcast is never more than HOT_WORDS words. Which pairs take which way is a matter of their own counts, and
+both ways give the same scores; the more words a corpus has, the more of its pairs are counted by windows.
 """
 
 from __future__ import annotations
@@ -37,9 +41,13 @@ ALPHA = 0.4
 #: Words that have a number; the highest one stands for all others.
 HOT_WORDS = (1 << 20) - 2
 RARE = (1 << 20) - 1
-#: Words of the corpus for each partition of n-grams, and words exploded at a time: what bounds a worker's memory.
+#: Words of the corpus for each partition of n-grams, words exploded at a time, and n-grams counted at a time: what bounds a worker's memory.
 PART_WORDS = 1_500_000
 FLUSH_WORDS = 400_000
+SLICE_WORDS = 250_000
+#: Pairs are counted by buckets of their hash; those of a bucket with more words than HEAVY_PAIR are counted by windows.
+PAIR_BUCKETS = 1 << 16
+HEAVY_PAIR = 500_000
 SIGN = -(1 << 63)
 RESULT = "doc_id long, n_words long, log_score double, mean_log_score double"
 
@@ -75,9 +83,20 @@ def _lists(p: np.ndarray, order: np.ndarray, label: np.ndarray, whole: dict, som
     return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
+def _pair_buckets(row: np.ndarray, h: np.ndarray, before: np.uint64 | None) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word's pair with the word before it, and whether its text has one; `before` is the one before the first, if that one's text goes on."""
+    pair = np.empty(len(h), bool)
+    pair[:1], pair[1:] = before is not None, row[1:] == row[:-1]
+    previous = np.append(np.uint64(before or 0), h[:-1])
+    return (mix64(previous * GOLD + h) % np.uint64(PAIR_BUCKETS)).astype(np.int64), pair
+
+
 def _count_batches(label: np.ndarray):
+    """Counts of words, and those of pairs by bucket, whose p are negative."""
+
     def run(batches):
-        words, kept, n = Tokenizer(), [], 0
+        words, kept, n, before = Tokenizer(), [], 0, None
+        pairs = np.zeros(PAIR_BUCKETS, np.int64)
 
         def flush():
             h, at = np.unique(np.concatenate([x[0] for x in kept]), return_inverse=True)
@@ -87,8 +106,13 @@ def _count_batches(label: np.ndarray):
 
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            for a, b, lo, hi, _ in spans(data, offsets):
-                _, _, _, h = words.words(data[lo:hi], local(offsets, a, b, lo, hi))
+            for a, b, lo, hi, ends in spans(data, offsets):
+                row, _, _, h = words.words(data[lo:hi], local(offsets, a, b, lo, hi))
+                if len(h):
+                    bucket, pair = _pair_buckets(row, h, before)
+                    pairs += np.bincount(bucket[pair], minlength=PAIR_BUCKETS)
+                    before = h[-1]
+                before = None if ends else before
                 h, c = np.unique(h, return_counts=True)
                 kept.append((h, c))
                 n += len(h)
@@ -97,16 +121,19 @@ def _count_batches(label: np.ndarray):
                     kept, n = [], 0
         if n:
             yield flush()
+        met = np.flatnonzero(pairs)
+        if len(met):
+            yield _lists(met >> 8, np.arange(len(met)), -1 - np.arange(-(-PAIR_BUCKETS >> 8), dtype=np.int32), {"h": met, "c": pairs[met]})
 
     return run
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, c): 64-bit hash of each word and its count over all documents."""
+    """(h, c, pairs): 64-bit hash of each word and its count over all documents; where `pairs` is true, each bucket of pairs and its words."""
     parts = partitions(docs.sparkSession)
     packed = _texts(docs).mapInArrow(_count_batches(labels(docs.sparkSession, parts)), "p int, h array<long>, c array<long>").repartition(parts, "p")
     rows = packed.select("p", "c", F.posexplode("h").alias("i", "h")).select("p", "h", F.get("c", F.col("i")).alias("n"))
-    return rows.groupBy("h", "p").agg(F.sum("n").alias("c")).select("h", "c")
+    return rows.groupBy("h", "p").agg(F.sum("n").alias("c")).select("h", "c", (F.col("p") < 0).alias("pairs"))
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -121,12 +148,12 @@ def frequent(counts: DataFrame) -> DataFrame:
     return counts.where(level >= least).select(F.row_number().over(Window.orderBy(F.desc("c"), "h")).cast("long").alias("id"), "h", "c")
 
 
-def _explode_batches(shared, label: np.ndarray, rare: bool):
-    """The n-grams whose pair has no rare word, or those whose pair has one."""
+def _explode_batches(shared, label: np.ndarray, rare: bool, heavy: np.ndarray | None = None, wanted: bool = False):
+    """The n-grams whose pair has no rare word, or those whose pair has one; of the former, where `heavy` tells them apart by their buckets, those that are heavy as `wanted`."""
 
     def run(batches):
         known, ids = shared.value  # sorted hashes and their numbers
-        words, held, size, texts, skip = Tokenizer(), [], 0, 0, 0
+        words, held, size, texts, skip, before = Tokenizer(), [], 0, 0, 0, None
 
         def number(h: np.ndarray) -> np.ndarray:
             unique, at = np.unique(h, return_inverse=True)
@@ -138,16 +165,16 @@ def _explode_batches(shared, label: np.ndarray, rare: bool):
         def flush(ends: bool):
             """The rows of the words held. Where the last text goes on, its last three words stay for the next time, when only the last is still to come."""
             nonlocal held, size, skip
-            doc, w, text = (np.concatenate([x[k] for x in held]) for k in range(3))
+            doc, w, text, often = (np.concatenate([x[k] for x in held]) for k in range(4))
             done, todo = skip, len(w) if ends else len(w) - 1
-            held, size = ([], 0) if ends else ([(doc[-3:], w[-3:], text[-3:])], 0)
+            held, size = ([], 0) if ends else ([(doc[-3:], w[-3:], text[-3:], often[-3:])], 0)
             skip = 0 if ends else min(3, len(w)) - 1
             same, n = text[1:] == text[:-1], len(w)
             v, u, x = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             v[1:] = np.where(same, w[:-1], 0)
             u[2:] = np.where(same[1:] & same[:-1], w[:-2], 0)
             x[:-1] = np.where(same, w[1:], 0)
-            mine = done + np.flatnonzero((((v < 0) | (w < 0)) == rare)[done:todo])
+            mine = done + np.flatnonzero(((((v < 0) | (w < 0)) == rare) & (often == wanted))[done:todo])
             if not len(mine):
                 return
             doc, u, v, w, x = doc[mine], u[mine], v[mine], w[mine], x[mine]
@@ -170,8 +197,14 @@ def _explode_batches(shared, label: np.ndarray, rare: bool):
             for a, b, lo, hi, ends in spans(data, offsets):
                 row, _, _, h = words.words(data[lo:hi], local(offsets, a, b, lo, hi))
                 if len(h):
-                    held.append((doc_ids[a + row], number(h), texts + row))
+                    often = np.zeros(len(h), bool)
+                    if heavy is not None and not rare:
+                        bucket, pair = _pair_buckets(row, h, before)
+                        often = heavy[bucket] & pair
+                        before = h[-1]
+                    held.append((doc_ids[a + row], number(h), texts + row, often))
                     size += len(h)
+                before = None if ends else before
                 texts += ends * (b - a)
                 if size > FLUSH_WORDS:
                     yield from flush(ends)
@@ -181,16 +214,24 @@ def _explode_batches(shared, label: np.ndarray, rare: bool):
     return run
 
 
-def _exploded(docs: DataFrame, shared, parts: int, rare: bool) -> DataFrame:
-    """The n-grams, partitioned by p: (p, doc, vw, u, x), vw being the pair, or (p, doc, r, v, w, u, x) where r is its rare word, the second one if both are.
+def _packed(docs: DataFrame, shared, parts: int, rare: bool, heavy: np.ndarray | None = None, wanted: bool = False) -> DataFrame:
+    """The n-grams of _explode_batches() as arrays, partitioned by p.
 
-    Words are numbers, those of rare ones negative, 0 for none. Values of 16 bits each fill one number; others have
-    20 bits, of which the last 16 are in b, and come first in a row's arrays, those with further rare words before all.
+    Values of 16 bits each fill one number, a; others have 20 bits, of which the last 16 are in b, and come first in a
+    row's arrays, those with further rare words before all.
     """
     kinds = {"doc": "bigint", "a": "bigint", "b": "smallint", "ru": "bigint", "rx": "bigint"} | ({"r": "bigint", "rv": "bigint"} if rare else {})
     kinds = {"p": "int"} | {c: f"array<{kinds[c]}>" for c in ["doc", "a", *(["r"] if rare else []), "b", "ru", "rx", *(["rv"] if rare else [])]}
-    packed = _texts(docs).mapInArrow(_explode_batches(shared, labels(docs.sparkSession, parts), rare), ", ".join(f"{c} {k}" for c, k in kinds.items())).repartition(parts, "p")
-    rows = packed.select(*[c for c in kinds if c != "a"], F.posexplode("a").alias("i", "a"))
+    explode = _explode_batches(shared, labels(docs.sparkSession, parts), rare, heavy, wanted)
+    return _texts(docs).mapInArrow(explode, ", ".join(f"{c} {k}" for c, k in kinds.items())).repartition(parts, "p")
+
+
+def _exploded(packed: DataFrame, rare: bool) -> DataFrame:
+    """A row for each n-gram: (p, doc, vw, u, x), vw being the pair, or (p, doc, r, v, w, u, x) where r is its rare word, the second one if both are.
+
+    Words are numbers, those of rare ones negative, 0 for none.
+    """
+    rows = packed.select(*[c for c in packed.columns if c != "a"], F.posexplode("a").alias("i", "a"))
     at = lambda c: F.get(c, F.col("i"))
     bits = lambda shift, mask: F.shiftrightunsigned("a", shift).bitwiseAND(F.lit(mask))
     small = F.col("i") >= F.size("b")
@@ -237,6 +278,135 @@ def _scored(rows: DataFrame, rare: bool, total: int, alpha: float) -> DataFrame:
     return rows.select("doc", s.alias("s"), need.alias("need"), times.alias("times"))
 
 
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(doc, vw, u, x) of the n-grams in the arrays, as _exploded() has them."""
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column(name)
+        return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+
+    (doc, n), (a, _), (b, long), (ru, full), (rx, _) = (flat(c) for c in ("doc", "a", "b", "ru", "rx"))
+    a = a.view(np.uint64)
+    at = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+    is_long, is_full = at < np.repeat(long, n), at < np.repeat(full, n)
+    tail = np.zeros(len(a), np.uint64)
+    tail[is_long] = b.view(np.uint16)
+
+    def code(short: int, more: int) -> np.ndarray:
+        return np.where(is_long, a >> np.uint64(more) & np.uint64(RARE), a >> np.uint64(short) & np.uint64(0xFFFF)).view(np.int64)
+
+    vw, u = code(48, 44) << 20 | code(32, 24), code(16, 4)
+    x = np.where(is_long, (a & np.uint64(15)) << np.uint64(16) | tail, a & np.uint64(0xFFFF)).view(np.int64)
+    u[is_full], x[is_full] = ru, rx
+    return doc, vw, u, x
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by non-negative keys, as one packed number where 64 bits hold them."""
+    bits = [int(k.max()).bit_length() for k in keys]
+    if sum(bits) > 64:
+        return np.lexsort(keys[::-1])
+    packed = np.zeros(len(keys[0]), np.uint64)
+    for k, n in zip(keys, bits):
+        packed = packed << np.uint64(n) | k.view(np.uint64)
+    return np.argsort(packed)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins, and the end."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _elsewhere(group: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each row its group's rows without those of its own run, from the starts of both."""
+    n = np.diff(group)
+    own_n = np.diff(own)
+    return np.repeat(n, n) - np.repeat(own_n, own_n)
+
+
+def _small(y: np.ndarray) -> np.ndarray:
+    """Numbers for words, with those of rare words after all others."""
+    rare = y < 0
+    if rare.any():
+        y = y.copy()
+        y[rare] = RARE + 1 + np.unique(y[rare], return_inverse=True)[1]
+    return y
+
+
+def _parts(vw: np.ndarray, d: np.ndarray, u: np.ndarray, x: np.ndarray, logs: np.ndarray, log_total: float, log_a: float) -> np.ndarray:
+    """The parts of scores that _scored() tells, with logarithms of words' counts by their numbers, of all n-grams of some pairs, in the order of (vw, d)."""
+    v, w = vw >> 20, vw & RARE
+    pairs = _starts(vw)
+    c2 = _elsewhere(pairs, _starts(vw, d))
+    c2[v == 0] = 0
+    g = np.repeat(np.arange(len(pairs) - 1), np.diff(pairs))
+    c3, following = np.zeros(len(vw), np.int64), np.zeros(len(vw), bool)
+    # A triple can only occur elsewhere where its pair does.
+    at = np.flatnonzero((c2 > 0) & (u != 0))
+    if len(at):
+        gu, uu, du = g[at], _small(u[at]), d[at]
+        by = _order(gu, uu, du)
+        gu, uu, du = gu[by], uu[by], du[by]
+        c3[at[by]] = _elsewhere(_starts(gu, uu), _starts(gu, uu, du))
+    at = np.flatnonzero((c2 > 0) & (x != 0))
+    if len(at):
+        gx, xx, dx = g[at], _small(x[at]), d[at]
+        by = _order(gx, xx, dx)
+        gx, xx, dx = gx[by], xx[by], dx[by]
+        places = _starts(gx, xx)
+        following[at[by]] = np.repeat(dx[places[:-1]] < dx[places[1:] - 1], np.diff(places))
+    third, second, has_u = c3 > 0, c2 > 0, u != 0
+    log2 = np.log(np.maximum(c2, 1))
+    unseen = np.where(has_u, 2 * log_a, np.where(v != 0, log_a, 0.0)) - log_total + logs[w]
+    s = np.where(third, np.log(np.maximum(c3, 1)), np.where(second, log2 + np.where(has_u, log_a, 0.0) - logs[v], unseen))
+    return s - np.where(following, log2, 0.0)
+
+
+def _sums(doc: np.ndarray, vw: np.ndarray, u: np.ndarray, x: np.ndarray, logs: np.ndarray, log_total: float, log_a: float) -> tuple[np.ndarray, ...]:
+    """(doc, s, n): parts of scores and words, added by document. Pairs are sorted at once and counted some at a time, about SLICE_WORDS."""
+    runs = _starts(doc)
+    docs, d = np.unique(doc[runs[:-1]], return_inverse=True)
+    d = np.repeat(d, np.diff(runs))
+    order = _order(vw, d)
+    pairs = _starts(vw[order])
+    cuts = np.unique(np.append(pairs[np.searchsorted(pairs, np.arange(0, len(vw), SLICE_WORDS))], len(vw)))
+    del pairs
+    s = np.zeros(len(docs))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = order[a:b]
+        s += np.bincount(d[at], _parts(vw[at], d[at], u[at], x[at], logs, log_total, log_a), len(docs))
+    return docs, s, np.bincount(d, minlength=len(docs))
+
+
+def _sum_batches(counts: np.ndarray, words: np.ndarray, total: int, alpha: float):
+    """The n-grams of a partition, added by document. Words have numbers by descending count: `counts`, and how many words have each."""
+
+    def run(batches):
+        logs = np.append(0.0, np.repeat(np.log(counts), words))
+
+        def added(*columns: np.ndarray) -> pa.RecordBatch:
+            sums = _sums(*columns, logs, float(np.log(total)), float(np.log(alpha)))
+            return pa.RecordBatch.from_arrays([pa.array(y) for y in sums], ["doc", "s", "n"])
+
+        held = []
+        for batch in batches:
+            columns = _unpacked(batch)
+            first = columns[1] <= RARE  # these have no pair to be counted, and there is no bound on those of a doc_id that many rows have
+            if first.any():
+                yield added(*(y[first] for y in columns))
+            held.append([y[~first] for y in columns])
+        if any(len(x[0]) for x in held):
+            columns = [np.concatenate(y) for y in zip(*held)]
+            del held
+            yield added(*columns)
+
+    return run
+
+
 def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of each document that has a word.
 
@@ -245,7 +415,8 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     document they don't predict each other. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    counts = materialize(word_counts(docs))
+    counted = materialize(word_counts(docs))
+    counts = counted.where(~F.col("pairs")).drop("pairs")
     size, total = counts.agg(F.count("*"), F.sum("c")).first()
     if not total:
         return spark.createDataFrame([], RESULT)
@@ -254,14 +425,20 @@ def stupid_backoff(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     h = t.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], t.column("id").to_numpy()[order]))
+    levels, words = (y[::-1] for y in np.unique(t.column("c").to_numpy(), return_counts=True))
     parts = max(partitions(spark), -(-int(total) // PART_WORDS))
     logs = F.broadcast(hot.select(F.col("id").alias("need"), F.log("c").alias("log_c")))
+    heavy = np.zeros(PAIR_BUCKETS, bool)
+    heavy[[r["h"] for r in counted.where(F.col("pairs") & (F.col("c") > HEAVY_PAIR)).select("h").collect()]] = True
+    heavy = heavy if heavy.any() else None
 
     def numbered(rare: bool) -> DataFrame:
-        rows = _scored(_exploded(docs, shared, parts, rare), rare, int(total), alpha)
+        rows = _scored(_exploded(_packed(docs, shared, parts, rare, None if rare else heavy, not rare), rare), rare, int(total), alpha)
         return rows.join(logs, "need", "left").withColumn("s", F.col("s") + F.col("times") * F.coalesce("log_c", F.lit(0.0)))
 
-    out = numbered(False).select("doc", "s", F.lit(1).cast("long").alias("n"))
+    out = _packed(docs, shared, parts, False, heavy).mapInArrow(_sum_batches(levels, words, int(total), alpha), "doc long, s double, n long")
+    if heavy is not None:
+        out = out.unionByName(numbered(False).select("doc", "s", F.lit(1).cast("long").alias("n")))
     if len(h) < size:
         # What needs no rare word's count meets none in the join, and is spread by document.
         key = F.when((F.col("need") < 0) & (F.col("times") != 0), F.col("need")).otherwise(F.shiftrightunsigned(F.xxhash64("doc"), 1))

@@ -445,6 +445,77 @@ def test_counts_of_ngrams_take_one_window_each(spark):
     assert sorted((r.doc, round(r.s, 9), r.need, r.times) for r in got.collect()) == sorted((d, round(s, 9), n, t) for d, s, n, t in want)
 
 
+def test_only_heavy_pairs_are_counted_by_windows(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [words(rng, rng.randint(1, 40), 14) for _ in range(40)] + ["w1 w2 " * 60, "solo"] + ODD
+    df = docs_of(spark, texts, extra=True)
+    windows = lambda x: x._jdf.queryExecution().sparkPlan().toString().count("Window [")
+    scores = lambda x: {r.doc_id: (r.n_words, round(r.log_score, 8)) for r in x.collect()}
+    # In a corpus without rare words nothing takes a window: each partition is counted at once.
+    plain = lm.stupid_backoff(df)
+    assert windows(plain) == 0
+    want = scores(plain)
+    packed: list = []
+    monkeypatch.setattr(lm, "_packed", lambda *a, f=lm._packed: packed.append(f(*a)) or packed[-1])
+    n_grams = lambda x: sum(len(r.a) for r in x.select("a").collect())
+    # Some pairs are heavy, then all of them; with few numbers most words are rare besides.
+    for heavy, hot in [(15, 1 << 20), (15, 4), (0, 1 << 20)]:
+        packed.clear()
+        monkeypatch.setattr(lm, "HEAVY_PAIR", heavy)
+        monkeypatch.setattr(lm, "HOT_WORDS", hot)
+        got = lm.stupid_backoff(df)
+        assert windows(got) >= 3 and scores(got) == want
+        light, by_windows, *_ = map(n_grams, packed)
+        assert sum(map(n_grams, packed)) == sum(n for n, _ in want.values())
+        firsts = sum(bool((r.text or "").split()) for r in df.where("doc_id is not null").collect())
+        assert by_windows and (light == firsts if not heavy else light > firsts or hot == 4)
+
+
+def test_pairs_of_a_text_cut_in_pieces():
+    """The pair across a cut is counted, and goes where the others of its bucket go."""
+    text = "".join(f"x{i % 7} " for i in range(800_000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, "y z", "z"]})
+    rows = [(p, h, c) for b in lm._count_batches(np.arange(4, dtype=np.int32))(iter([batch])) for r in b.to_pylist() for p, h, c in zip([r["p"]] * len(r["h"]), r["h"], r["c"])]
+    assert sum(c for p, _, c in rows if p >= 0) == 800_003 and sum(c for p, _, c in rows if p < 0) == 800_000
+    heavy = np.zeros(lm.PAIR_BUCKETS, bool)
+    heavy[[h for p, h, c in rows if p < 0 and c > 1000]] = True
+    shared = type("Shared", (), {"value": (np.sort(Tokenizer().words(np.frombuffer(b"x0 x1 x2 x3 x4 x5 x6 y z", np.uint8), np.array([0, 24]))[3]), np.arange(1, 10))})
+    size = lambda wanted: sum(len(a) for b in lm._explode_batches(shared, np.arange(4, dtype=np.int32), False, heavy, wanted)(iter([batch])) for a in b.column("a").to_pylist())
+    assert (size(True), size(False)) == (799_999, 4)
+
+
+@pytest.mark.parametrize("at_a_time", [70, 1 << 20])
+def test_partition_of_ngrams_against_loops(monkeypatch, at_a_time):
+    """Sums of a partition, counted once more by loops: more documents, pairs and rare words than small numbers hold, and keys of over 64 bits."""
+    monkeypatch.setattr(lm, "SLICE_WORDS", at_a_time)
+    rng = np.random.default_rng(3)
+    n = 3000
+    some = lambda k, top: rng.integers(0, 1 << 62, k)[rng.integers(0, k, n)] % top
+    v, w = some(12, lm.RARE), 1 + some(8, lm.RARE - 1)
+    u, x = np.where(rng.random(n) < 0.3, -1 - some(5, 1 << 62), some(5, lm.RARE)), np.where(rng.random(n) < 0.3, -1 - some(5, 1 << 62), some(4, 3))
+    v[:50], u[:200], x[200:400] = 0, 0, 0
+    u[v == 0] = 0
+    doc = rng.integers(-30, 30, n) << 40
+    logs = np.append(0.0, rng.random(lm.RARE))
+    docs, s, size = lm._sums(doc, v << 20 | w, u, x, logs, 9.0, -0.5)
+    rows, want = list(zip(doc.tolist(), v.tolist(), w.tolist(), u.tolist(), x.tolist())), {}
+    two, three, after = {}, {}, {}
+    for d, a, b, c, e in rows:
+        for t, k in ((two, (a, b)), (three, (c, a, b)), (after, (a, b, e))):
+            t.setdefault(k, {}).setdefault(d, 0)
+            t[k][d] += 1
+    other = lambda t, k, d: sum(t[k].values()) - t[k][d]
+    for d, a, b, c, e in rows:
+        c2, c3 = other(two, (a, b), d) if a else 0, other(three, (c, a, b), d) if a and c else 0
+        part = math.log(c3) if c3 else math.log(c2) - logs[a] - 0.5 * bool(c) if c2 else logs[b] - 9.0 - (1.0 if c else 0.5 if a else 0)
+        part -= math.log(c2) if c2 and e and other(after, (a, b, e), d) else 0
+        want[d] = [want.get(d, [0, 0])[0] + part, want.get(d, [0, 0])[1] + 1]
+    assert docs.tolist() == sorted(want) and size.tolist() == [want[d][1] for d in sorted(want)]
+    assert s.tolist() == pytest.approx([want[d][0] for d in sorted(want)])
+    wide = [np.array(k, np.int64) for k in ([1 << 40, 3, 3, 3], [5, 1 << 30, 9, 9], [0, 1, 2, 1])]
+    assert lm._order(*wide).tolist() == [3, 2, 1, 0]
+
+
 # ---------------------------------------------------------------- 8
 
 
