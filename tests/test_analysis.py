@@ -55,3 +55,27 @@ def test_search_with_analyzers(spark):
     term = lambda f, v: {"type": "term", "field": f, "value": v}
     assert found(term("body", "run")) == ["1"] and found(term("place", "york")) == ["1"] and found(term("title", "rust")) == ["1"]
     assert found({"type": "phrase", "field": "s", "terms": ["state", "art"]}) == ["1"]
+
+
+def test_synonyms_of_a_long_text_in_one_pass(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    words = ["w"] * 40_000 + ["new", "york", "nyc"]
+    for rules in ([{"from": ["nyc"], "to": ["nyc", "city"]}], [{"from": ["new", "york"], "to": ["nyc"]}, {"from": ["nyc"], "to": ["city"]}]):
+        analyzer = Registry([{"name": "x", "filters": [{"synonyms": rules}]}]).get("x")
+        began = time.time()
+        want = analyzer.run(" ".join(words))
+        assert time.time() - began < 10
+        got = spark.createDataFrame([(" ".join(words),), (None,)], "t string").select(analyzer.column(F.col("t")).alias("x")).collect()
+        assert [(x.t, x.p) for x in got[0].x] == want and got[1].x == []
+
+
+def test_filters_behind_stacked_tokens(spark):
+    from pyspark.sql import functions as F
+
+    filters = [{"synonyms": [{"from": "b", "to": ["bb", "c"]}, {"from": "b", "to": "never"}]}, {"stopwords": ["a", "b"]}, {"edge_ngram": {"min": 1, "max": 1}}]
+    for analyzer in (Registry([{"name": "x", "filters": filters[:n]}]).get("x") for n in (1, 2, 3)):
+        r = spark.createDataFrame([("a b d",)], "t string").select(analyzer.column(F.col("t")).alias("x")).first()
+        assert [(x.t, x.p) for x in r.x] == analyzer.run("a b d")
