@@ -79,3 +79,32 @@ def test_filters_behind_stacked_tokens(spark):
     for analyzer in (Registry([{"name": "x", "filters": filters[:n]}]).get("x") for n in (1, 2, 3)):
         r = spark.createDataFrame([("a b d",)], "t string").select(analyzer.column(F.col("t")).alias("x")).first()
         assert [(x.t, x.p) for x in r.x] == analyzer.run("a b d")
+
+
+@pytest.mark.parametrize("filters", [[{"edge_ngram": {"min": 2, "max": 4}}], [{"synonyms": [{"from": "b", "to": ["b", "cab", "cab"]}]}], ["lowercase", {"type": "stemmer", "language": "english"}], [{"stopwords": ["a"]}], [{"synonyms": [{"from": ["a", "b"], "to": ["cab"]}]}]])
+def test_a_scan_finds_terms_without_all_tokens(spark, filters):
+    from tamarack.plans.features import with_features
+    from tamarack.plans.planner import Planner
+
+    texts = ["a b CABS cab Ünder", "cabins b a b", "c ca cabbing", "", None]
+    schema = {"analyzers": [{"name": "x", "filters": filters}], "text_fields": [{"name": "body", "analyzer": "x", "search_analyzer": "whitespace"}]}
+    s = in_memory(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "_id string, body string"), schema)
+    run = [s.schema.index_analyzer("body").run(t or "") for t in texts]
+    for term in ("a", "b", "ca", "cab", "cabs", "cabbi", "cabin", "Ünd", "none"):
+        plan = Planner(s.schema, None).build({"type": "term", "field": "body", "value": term})
+        want = {str(i): ([p for t, p in x if t == term], len(x)) for i, x in enumerate(run)}
+        df = with_features(s.docs, plan)
+        assert {r["_id"]: (sorted(r["_k0"]), r["_len_body"]) for r in df.collect()} == want
+        some = with_features(s.docs, plan, wanted=(plan.scored, plan.needs)).collect()
+        found = {i: x for i, x in want.items() if x[0]}
+        assert {r["_id"]: (sorted(r["_k0"]), r["_len_body"]) for r in some if r["_k0"]} == found
+        average = sum(map(len, run)) / len(run)
+        assert all((r["_n"], r["_df0"], round(r["_avg_body"], 9)) == (5.0, float(len(found)), round(average, 9)) for r in some)
+        assert {r["term"]: r["df"] for r in s.terms("body", "ca").collect()} == {t: sum(t in dict(x) for x in run) for t in {t for x in run for t, _ in x} if t.startswith("ca")}
+
+
+def test_what_a_stem_keeps():
+    from tamarack.functions.stemmer import kept
+
+    for w in "skies dying early happily relational possibilities agreed hoping conflated yes analogies knives idiotically".split():
+        assert w.startswith(kept(stem(w)))
